@@ -22,8 +22,8 @@ def assign_graph(df: DataFrame, graphs: DataFrame, column: str = "pointer") -> D
     """
     lengths = F.array_sort(F.collect_set(F.length("pointer_prefix")))
     known = graphs.select(lengths.alias("l")).scalar()
-    pointers = df.select(F.col(column).alias("_p")).distinct()
-    prefixes = pointers.select("_p", F.explode(F.filter(known, lambda n: n <= F.length("_p"))).alias("_n"))
+    pointers = df.select(F.col(column).alias("_p")).distinct().withColumn("_known", known)
+    prefixes = pointers.select("_p", F.explode(F.filter("_known", lambda n: n <= F.length("_p"))).alias("_n"))
     prefixes = prefixes.withColumn("_prefix", F.expr("substring(_p, 1, _n)"))
     owners = graphs.select(F.col("pointer_prefix").alias("_prefix"), F.struct(
         F.col("graph_uuid").alias("resolved_graph_uuid"), F.col("graph_key").alias("resolved_graph_key"),

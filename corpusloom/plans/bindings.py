@@ -174,11 +174,21 @@ def triple_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf: str) -> Corpus:
     """The whole benchmark corpus; each table is derived and stored when first read."""
-    derived = {name: (lambda name=name: derive(spark, sf)[name]) for name in [*_LOADED, "reference_occurrences"]}
+    derived = {name: (lambda name=name: _derived(spark, sf)[name]) for name in _LOADED}
     derived["reference_occurrences"] = lambda: build_reference_index(corpus(spark, sf))
     return Corpus(spark, StoredTables(spark, sf, derived), NAMESPACE, CORPUS_ID)
 
 
+_plans: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def _derived(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _plans:
+        _plans[key] = derive(spark, sf)
+    return _plans[key]
+
+
 _LOADED = ("node_identity", "node_revision", "graphs", "graph_membership", "staging_queue", "predicate_registry", "triples",
            "node_tags", "tag_registry", "sentinel_guidance", "operation_ledger", "semantic_snapshots", "change_sets",
            "change_set_receipts", "corpus_workstreams")
