@@ -16,6 +16,7 @@ from corpusloom.functions import ids
 from corpusloom.functions.durable import StoredTables
 from corpusloom.functions.ordered import grouped_previous, grouped_rank
 from corpusloom.operators.references import build_reference_index
+from corpusloom.operators.search import SearchIndex, build_search_index, searchable
 from corpusloom.schema import BRANCH_TABLES, CORPUS_TABLES
 
 NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"  # the public URL namespace
@@ -176,9 +177,21 @@ def corpus(spark: SparkSession, sf: str) -> Corpus:
     """The whole benchmark corpus; each table is derived and stored when first read."""
     derived = {name: (lambda name=name: _derived(spark, sf)[name]) for name in _LOADED}
     derived["reference_occurrences"] = lambda: build_reference_index(corpus(spark, sf))
+    index = lambda: build_search_index(indexed_nodes(corpus(spark, sf)))
+    derived["search_postings"], derived["search_docs"] = lambda: index().postings, lambda: index().docs
     return Corpus(spark, StoredTables(spark, sf, derived), NAMESPACE, CORPUS_ID)
 
 
+def indexed_nodes(c: Corpus) -> DataFrame:
+    """What the search index covers: promoted nodes other than users."""
+    return searchable(c).where("NOT pointer RLIKE '^U[0-9]'")
+
+
+def search_index(c: Corpus) -> SearchIndex:
+    """The stored index."""
+    return SearchIndex(c.tables["search_postings"], c.tables["search_docs"])
+
+
 _plans: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
@@ -266,7 +279,7 @@ def request_log(spark: SparkSession, sf: str) -> DataFrame:
 def request_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Ledger, snapshot chain, change sets, receipts and workstreams told by the event log.
 
-    Each event commits one operation; each user's work is one change set; sign-ups complete it.
+    Each event commits one operation; each user's work is one change set, complete once it ends in a sign-up.
     """
     events = table(spark, sf, "events")
     moment = _text(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "000Z")
@@ -286,7 +299,7 @@ def request_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
                             F.col("event_type").alias("tool_name"), F.col("at").alias("created_at"))
     sets = rows.groupBy("user_id", "change_set_uuid").agg(
         F.min_by("snapshot_uuid", "event_id").alias("base_snapshot_uuid"), F.min("at").alias("created_at"),
-        F.max(F.col("event_type") == "signup").alias("done"), F.max("at").alias("last_at"))
+        (F.max_by("event_type", "event_id") == "signup").alias("done"), F.max("at").alias("last_at"))
     sets = sets.select("change_set_uuid", _text("Work of user ", F.col("user_id")).alias("title"), F.lit("track events").alias("intent"),
                        F.when(F.col("done"), "completed").otherwise("open").alias("status"), "base_snapshot_uuid", "created_at",
                        F.when(F.col("done"), F.col("last_at")).alias("resolved_at"), F.lit("").alias("resolution"))

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from corpusloom.plans import node_queries
+from corpusloom.plans import node_queries, set_queries
 from corpusloom.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "node_queries"]
+__all__ = ["QUERIES", "SQL", "node_queries", "set_queries"]

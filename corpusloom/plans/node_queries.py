@@ -131,7 +131,7 @@ def reserved(spark: SparkSession, sf: str) -> DataFrame:
     return views.reserved_pointers(b.corpus(spark, sf))
 
 
-_SETS = """SELECT 'Work of user '||user_id AS title, CASE WHEN bool_or(event_type='signup') THEN 'completed' ELSE 'open' END AS status,
+_SETS = """SELECT 'Work of user '||user_id AS title, CASE WHEN arg_max(event_type, event_id)='signup' THEN 'completed' ELSE 'open' END AS status,
     count(*) AS operation_count, min(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')||'000Z') AS created_at FROM events GROUP BY user_id"""
 
 
@@ -293,8 +293,8 @@ def bare_rejections(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- search -----------------------------------------------------------------------
 def _index(spark: SparkSession, sf: str) -> tuple[search.SearchIndex, DataFrame]:
-    nodes = search.searchable(b.corpus(spark, sf)).where("NOT pointer RLIKE '^U[0-9]'")
-    return search.build_search_index(nodes), nodes
+    c = b.corpus(spark, sf)
+    return b.search_index(c), b.indexed_nodes(c)
 
 
 def _benchmark_queries(spark: SparkSession, sf: str, joint: str) -> DataFrame:
@@ -314,7 +314,8 @@ _RANKED = """SELECT query_id, pointer, rank, position, total FROM (SELECT *, row
 
 @query("f1_postings", with_ctes("tok", "SELECT pointer, term, count(*) AS tf FROM tok GROUP BY pointer, term"))
 def postings(spark: SparkSession, sf: str) -> DataFrame:
-    index, nodes = _index(spark, sf)
+    nodes = b.indexed_nodes(b.corpus(spark, sf))
+    index = search.build_search_index(nodes)
     return index.postings.join(nodes.select("uuid", "pointer"), "uuid").select("pointer", "term", "tf")
 
 
