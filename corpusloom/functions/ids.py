@@ -21,16 +21,16 @@ def _col(value: Column | str) -> Column:
 
 def _v5(namespace_bytes: Column, name: Column) -> Column:
     digest = F.sha1(F.concat(namespace_bytes, F.encode(name, "UTF-8")))
-    # Version nibble is 5; the variant nibble keeps its low two bits under 10xx.
-    variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
-    return F.concat_ws(
-        "-",
-        F.substring(digest, 1, 8),
-        F.substring(digest, 9, 4),
-        F.concat(F.lit("5"), F.substring(digest, 14, 3)),
-        F.concat(variant, F.substring(digest, 18, 3)),
-        F.substring(digest, 21, 12),
-    )
+
+    def spelled(d: Column) -> Column:
+        # Version nibble is 5; the variant nibble keeps its low two bits under 10xx.
+        variant = F.translate(F.substring(d, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+        return F.concat(F.substring(d, 1, 8), F.lit("-"), F.substring(d, 9, 4), F.lit("-5"), F.substring(d, 14, 3), F.lit("-"),
+                        variant, F.substring(d, 18, 3), F.lit("-"), F.substring(d, 21, 12))
+
+    # Through a one-element array the digest is computed once, though six pieces of it are used;
+    # ids nest, so copies would multiply.
+    return F.transform(F.array(digest), spelled)[0]
 
 
 def uuid5_col(namespace: str, name: Column | str) -> Column:

@@ -21,16 +21,18 @@ _FIELD_GAP = 1 << 32
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """``postings(term, uuid, tf, positions)`` and ``docs(uuid, pointer, title, length)``."""
+    """``postings(term, uuid, tf)``, ``occurrences(term, uuid, at)`` for phrases, ``docs(uuid, pointer, title, length)``."""
 
     postings: DataFrame
+    occurrences: DataFrame
     docs: DataFrame
 
     def write(self, path: str, buckets: int = 64) -> None:
-        """Postings clustered by term bucket, so that a query reads only its terms' buckets."""
-        clustered = self.postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-        (clustered.repartitionByRange("bucket", "term", "uuid").sortWithinPartitions("bucket", "term")
-                  .write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/postings"))
+        """Term tables clustered by term bucket, so that a query reads only its terms' buckets."""
+        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+        for name, rows in (("postings", self.postings), ("occurrences", self.occurrences)):
+            clustered = rows.withColumn("bucket", bucket).repartitionByRange("bucket", "term", "uuid")
+            clustered.sortWithinPartitions("bucket", "term").write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/{name}")
         self.docs.write.mode("errorifexists").parquet(f"{path}/docs")
 
 
@@ -38,20 +40,33 @@ def searchable(c: Corpus) -> DataFrame:
     return current_nodes(c).where("lifecycle_state = 'promoted'").select("uuid", "pointer", "title", "description")
 
 
-def build_search_index(nodes: DataFrame) -> SearchIndex:
-    """Index of ``nodes(uuid, pointer, title, description)``."""
-    fields = [text.words(F.col(name)) for name in ("pointer", "title", "description")]
+FIELDS = ("pointer", "title", "description")
 
-    def placed(words: Column, field: int) -> Column:
+
+def occurrences(nodes: DataFrame) -> DataFrame:
+    """Every search word of ``nodes(uuid, pointer, title, description)`` with its position: (term, uuid, at)."""
+    def placed(field: int, name: str) -> Column:
         base = F.lit(field * _FIELD_GAP)
-        return F.transform(words, lambda w, i: F.struct(w.alias("term"), (base + i).alias("at")))
+        return F.transform(text.words(F.col(name)), lambda w, i: F.struct(w.alias("term"), (base + i).alias("at")))
+
+    everything = F.concat(*[placed(i, name) for i, name in enumerate(FIELDS)])
+    return nodes.select("uuid", F.explode(everything).alias("t")).select("t.term", "uuid", "t.at")
+
+
+def count_terms(found: DataFrame) -> DataFrame:
+    """Term counts per node. A node's words leave one task already summed up."""
+    return found.groupBy("term", "uuid").agg(F.count(F.lit(1)).alias("tf"))
+
 
-    tokens = nodes.select("uuid", F.explode(F.concat(*[placed(w, i) for i, w in enumerate(fields)])).alias("t"))
-    # One (term, node) group never exceeds one node's text.
-    postings = tokens.groupBy(F.col("t.term").alias("term"), "uuid").agg(
-        F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("t.at")).alias("positions"))
-    docs = nodes.select("uuid", "pointer", "title", sum((F.size(w) for w in fields), F.lit(0)).cast("long").alias("length"))
-    return SearchIndex(postings, docs)
+def documents(nodes: DataFrame) -> DataFrame:
+    length = sum((F.size(text.words(F.col(name))) for name in FIELDS), F.lit(0)).cast("long")
+    return nodes.select("uuid", "pointer", "title", length.alias("length"))
+
+
+def build_search_index(nodes: DataFrame) -> SearchIndex:
+    """Index of ``nodes(uuid, pointer, title, description)``."""
+    found = occurrences(nodes)
+    return SearchIndex(count_terms(found), found, documents(nodes))
 
 
 def query_units(queries: DataFrame) -> DataFrame:
@@ -61,25 +76,19 @@ def query_units(queries: DataFrame) -> DataFrame:
     return units.select("query_id", "unit", "words", F.size("words").alias("n_words"))
 
 
-def _phrase_starts(words: DataFrame, postings: DataFrame, on: list[str], keep: list[str]) -> DataFrame:
-    """Phrases whose words all occur, with the positions at which the whole phrase starts.
-
-    One group is one phrase in one node: at most its words times that node's text.
-    """
-    found = words.join(postings.select("term", "uuid", "positions"), on)
-    shifted = F.transform("positions", lambda p: p - F.col("nth"))
-    gathered = found.groupBy(*keep, "uuid", "unit", "n_words").agg(F.collect_list(shifted).alias("starts"))
-    common = F.reduce(F.slice("starts", F.lit(2), F.size("starts")), F.col("starts")[0], lambda a, b: F.array_intersect(a, b))
-    return gathered.where(F.size("starts") == F.col("n_words")).withColumn("starts", common).where(F.size("starts") > 0)
+def _phrase_starts(words: DataFrame, found: DataFrame, on: list[str], keep: list[str]) -> DataFrame:
+    """Places at which whole phrases start: all words of ``words(nth, term)`` at consecutive positions."""
+    placed = words.join(found, on).withColumn("start", F.col("at") - F.col("nth"))
+    return placed.groupBy(*keep, "uuid", "unit", "n_words", "start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.col("n_words"))
 
 
-def _unit_hits(units: DataFrame, postings: DataFrame) -> DataFrame:
+def _unit_hits(units: DataFrame, index: SearchIndex) -> DataFrame:
     """Occurrences of each unit in each node: single words by count, phrases by adjacent positions."""
     single = units.where("n_words = 1").withColumn("term", F.col("words")[0])
-    hits = single.join(postings.select("term", "uuid", "tf"), "term").select("query_id", "unit", "uuid", "tf")
+    hits = single.join(index.postings, "term").select("query_id", "unit", "uuid", "tf")
     words = units.where("n_words > 1").select("query_id", "unit", "n_words", F.posexplode("words").alias("nth", "term"))
-    phrases = _phrase_starts(words, postings, ["term"], ["query_id"])
-    return hits.unionByName(phrases.select("query_id", "unit", "uuid", F.size("starts").cast("long").alias("tf")))
+    starts = _phrase_starts(words, index.occurrences, ["term"], ["query_id"])
+    return hits.unionByName(starts.groupBy("query_id", "unit", "uuid").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def search(index: SearchIndex, queries: DataFrame, limit: int = 20, cursor: int = 0) -> DataFrame:
@@ -90,7 +99,7 @@ def search(index: SearchIndex, queries: DataFrame, limit: int = 20, cursor: int
     """
     units = query_units(queries)
     counts = units.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_units"), F.min("n_words").alias("least"))
-    hits = _unit_hits(units, index.postings)
+    hits = _unit_hits(units, index)
     stats = index.docs.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
     n_docs, avg_length = stats.select(F.col("n")).scalar(), stats.select(F.col("avg_length")).scalar()
     df = hits.groupBy("query_id", "unit").agg(F.count(F.lit(1)).alias("df"))
@@ -138,7 +147,7 @@ def search_coverage(nodes: DataFrame, index: SearchIndex) -> DataFrame:
     needed = units.groupBy("uuid", "query_id").agg(F.count(F.lit(1)).alias("n_units"))
     words = units.select("uuid", "query_id", "unit", "n_words", F.posexplode("words").alias("nth", "term"))
     # Joined on term and node, so a probe meets only its own node.
-    hits = _phrase_starts(words, index.postings, ["term", "uuid"], ["query_id"])
+    hits = _phrase_starts(words, index.occurrences, ["term", "uuid"], ["query_id"]).select("uuid", "query_id", "unit").distinct()
     got = hits.groupBy("uuid", "query_id").agg(F.count(F.lit(1)).alias("n_hits"))
     missed = needed.join(got, ["uuid", "query_id"], "left").where(F.coalesce("n_hits", F.lit(0)) < F.col("n_units"))
     return missed.join(nodes.select("uuid", "pointer"), "uuid").select("pointer", F.col("query_id").alias("code"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.corpus import Corpus
 from corpusloom.functions import text
 from corpusloom.functions.durable import checkpointed
+from corpusloom.functions.rows import computed_once
 from corpusloom.operators.views import resolve
 
 
@@ -20,13 +21,11 @@ def extract_traversals(nodes: DataFrame) -> DataFrame:
 
 def tokenise(df: DataFrame) -> DataFrame:
     """Adds ``tokens`` of ``notation`` without blanks and without the outer bracket pair."""
-    source = text.notation_source(F.col("notation"))
-    opened, closed = source.startswith("["), source.endswith("]")
-    inner = F.when(opened & closed & (F.length(source) > 1), F.expr("substring(_s, 2, length(_s) - 2)")).otherwise(F.col("_s"))
-    return (df.withColumn("_s", source)
-              .withColumn("unbalanced_brackets", opened != closed)
-              .withColumn("tokens", F.regexp_extract_all(inner, F.lit(text.NOTATION_TOKEN), F.lit(0)))
-              .drop("_s"))
+    rows = computed_once(df, "_s", text.notation_source(F.col("notation")))
+    opened, closed = F.col("_s").startswith("["), F.col("_s").endswith("]")
+    inner = F.when(opened & closed & (F.length("_s") > 1), F.expr("substring(_s, 2, length(_s) - 2)")).otherwise(F.col("_s"))
+    rows = computed_once(rows, "tokens", F.regexp_extract_all(inner, F.lit(text.NOTATION_TOKEN), F.lit(0)))
+    return rows.withColumn("unbalanced_brackets", opened != closed).drop("_s")
 
 
 # What may follow a token: "(" a term or a sequence, a pointer closes its term, a term is followed
@@ -62,7 +61,7 @@ def check_traversals(df: DataFrame) -> DataFrame:
         return F.struct(kind.alias("before"), depth.alias("depth"), (acc["at"] + F.length(token)).alias("at"),
                         found.alias("reason"), first.alias("offset"))
 
-    folded = df.withColumn("_f", F.aggregate("tokens", start, step))
+    folded = computed_once(df, "_f", F.aggregate("tokens", start, step))
     reason = (F.when(F.trim("notation") == "", "empty_notation").when(F.col("unbalanced_brackets"), "unmatched_bracket")
                .when(F.size("tokens") == 0, "empty_notation").when(F.col("_f.reason").isNotNull(), F.col("_f.reason"))
                .when(F.col("_f.depth") != 0, "unmatched_parentheses")
@@ -104,16 +103,17 @@ def traversal_index(lawful: DataFrame) -> DataFrame:
     keys = ["uuid", "block"]
     terms = lawful.where("lawful").select(*keys, F.posexplode(F.aggregate("tokens", start, step)["terms"]).alias("position", "t"))
     terms = terms.select(*keys, "position", F.col("t.path").alias("path"), F.col("t.pointer").alias("pointer"))
-    terms = terms.withColumn("parent", F.slice("path", F.lit(1), F.size("path") - 1))
-    # Closings give every term once; pointer rows say which of them are plain pointers.
-    closings = terms.where("pointer IS NULL")
-    pointers = terms.where("pointer IS NOT NULL").withColumn("sibling", F.element_at("path", -1))
-    sequences = closings.groupBy(*keys, "parent").agg(F.count(F.lit(1)).cast("int").alias("arity"))
-    middle = pointers.where("sibling = 1").select(*keys, "parent", F.lit(True).alias("middle_is_pointer"))
-    shaped_ = pointers.join(sequences, [*keys, "parent"]).join(middle, [*keys, "parent"], "left")
-    triad = (F.col("arity") == 3) & F.coalesce("middle_is_pointer", F.lit(False))
+    terms = terms.withColumn("parent", F.slice("path", F.lit(1), F.size("path") - 1)).withColumn("sibling", F.element_at("path", -1))
+    # One group is one sequence of one expression. Closings give every term once.
+    plain = F.col("pointer").isNotNull()
+    member = F.struct("position", "path", "sibling", "pointer")
+    sequences = terms.groupBy(*keys, "parent").agg(
+        F.count_if(~plain).cast("int").alias("arity"), F.max(plain & (F.col("sibling") == 1)).alias("middle"),
+        F.collect_list(F.when(plain, member)).alias("members"))
+    rows = sequences.select(*keys, "arity", "middle", F.explode("members").alias("m")).select(*keys, "arity", "middle", "m.*")
+    triad = (F.col("arity") == 3) & F.col("middle")
     role = F.when(~triad, "term").when(F.col("sibling") == 1, "operator").otherwise("operand")
-    return shaped_.select(*keys, "position", F.size("path").alias("depth"), "path", "sibling", "arity", "pointer", role.alias("role"))
+    return rows.select(*keys, "position", F.size("path").alias("depth"), "path", "sibling", "arity", "pointer", role.alias("role"))
 
 
 def resolve_traversals(index: DataFrame, c: Corpus) -> DataFrame:

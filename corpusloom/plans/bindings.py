@@ -16,7 +16,7 @@ from corpusloom.functions import ids
 from corpusloom.functions.durable import StoredTables
 from corpusloom.functions.ordered import grouped_previous, grouped_rank
 from corpusloom.operators.references import build_reference_index
-from corpusloom.operators.search import SearchIndex, build_search_index, searchable
+from corpusloom.operators.search import SearchIndex, count_terms, documents, occurrences, searchable
 from corpusloom.schema import BRANCH_TABLES, CORPUS_TABLES
 
 NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"  # the public URL namespace
@@ -177,8 +177,9 @@ def corpus(spark: SparkSession, sf: str) -> Corpus:
     """The whole benchmark corpus; each table is derived and stored when first read."""
     derived = {name: (lambda name=name: _derived(spark, sf)[name]) for name in _LOADED}
     derived["reference_occurrences"] = lambda: build_reference_index(corpus(spark, sf))
-    index = lambda: build_search_index(indexed_nodes(corpus(spark, sf)))
-    derived["search_postings"], derived["search_docs"] = lambda: index().postings, lambda: index().docs
+    derived["search_occurrences"] = lambda: occurrences(indexed_nodes(corpus(spark, sf)))
+    derived["search_postings"] = lambda: count_terms(corpus(spark, sf).tables["search_occurrences"])
+    derived["search_docs"] = lambda: documents(indexed_nodes(corpus(spark, sf)))
     return Corpus(spark, StoredTables(spark, sf, derived), NAMESPACE, CORPUS_ID)
 
 
@@ -189,7 +190,7 @@ def indexed_nodes(c: Corpus) -> DataFrame:
 
 def search_index(c: Corpus) -> SearchIndex:
     """The stored index."""
-    return SearchIndex(c.tables["search_postings"], c.tables["search_docs"])
+    return SearchIndex(*[c.tables[f"search_{part}"] for part in ("postings", "occurrences", "docs")])
 
 
 _plans: dict[tuple[str, str], dict[str, DataFrame]] = {}
