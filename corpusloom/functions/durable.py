@@ -32,7 +32,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-class StoredTables(Mapping):
+class LazyTables(Mapping):
+    """Tables whose plans are built when first asked for."""
+
+    def __init__(self, builders: dict[str, Callable[[], DataFrame]]):
+        self.builders, self._built = builders, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self.builders[name]()
+        return self._built[name]
+
+    def __contains__(self, name: object) -> bool:
+        return name in self.builders
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.builders)
+
+    def __len__(self) -> int:
+        return len(self.builders)
+
+
+class StoredTables(LazyTables):
     """Derived tables, each written once per application when first asked for, then read back.
 
     Later queries scan columnar files with pruning and pushdown instead of deriving rows again.
@@ -41,7 +62,8 @@ class StoredTables(Mapping):
     _written: dict[tuple[str, str, str], str] = {}
 
     def __init__(self, spark: SparkSession, label: str, builders: dict[str, Callable[[], DataFrame]]):
-        self.spark, self.label, self.builders = spark, label, builders
+        super().__init__(builders)
+        self.spark, self.label = spark, label
 
     def __getitem__(self, name: str) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.label, name)
@@ -51,12 +73,3 @@ class StoredTables(Mapping):
             self.builders[name]().write.mode("overwrite").parquet(path)
             self._written[key] = path
         return self.spark.read.parquet(self._written[key])
-
-    def __contains__(self, name: object) -> bool:
-        return name in self.builders
-
-    def __iter__(self) -> Iterator[str]:
-        return iter(self.builders)
-
-    def __len__(self) -> int:
-        return len(self.builders)

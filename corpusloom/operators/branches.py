@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.corpus import Branch, Corpus, Head, shaped
 from corpusloom.functions import ids
+from corpusloom.functions.durable import LazyTables, checkpointed
 from corpusloom.operators.fingerprints import fingerprint, row_digest
 from corpusloom.operators.views import current_nodes
 from corpusloom.schema import BRANCH_TABLES, COMPOSED_TABLES
@@ -19,34 +20,40 @@ def _united(branches: list[Branch], name: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [b[name].select(*b.spec(name).names) for b in branches])
 
 
+def _folded(branches: list[Branch], name: str) -> DataFrame:
+    """Rows by key with the least and greatest row digest. Shared rows fold map-side before the shuffle."""
+    spec = BRANCH_TABLES[name]
+    rest = [n for n in spec.names if n not in spec.key]
+    rows = _united(branches, name).withColumn("_d", row_digest(*spec.names))
+    return rows.groupBy(*spec.key).agg(F.min("_d").alias("_low"), F.max("_d").alias("_high"), *[F.min_by(n, "_d").alias(n) for n in rest])
+
+
+def collisions(branches: list[Branch]) -> DataFrame:
+    """Keys of immutable rows that branches hold with different content: (table_name, key)."""
+    parts = []
+    for name in COMPOSED_TABLES:
+        collided = _folded(branches, name).where(F.col("_low") != F.col("_high"))
+        parts.append(collided.select(F.lit(name).alias("table_name"), F.concat_ws("|", *BRANCH_TABLES[name].key).alias("key")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def collisions_by_table(branches: list[Branch]) -> DataFrame:
+    return collisions(branches).groupBy("table_name").agg(F.count(F.lit(1)).alias("collisions"))
+
+
 def compose(branches: list[Branch], operation_uuid: str, at: str) -> tuple[Branch, DataFrame]:
     """``(composition, collisions)``.
 
-    Immutable rows are united by key. A key that occurs with different content is a collision
-    ``(table_name, key, variants)``; a composition with collisions must not be used.
+    Immutable rows are united by key. A key that occurs with different content is a collision, and
+    a composition with collisions must not be used.
     """
     if not branches:
         raise ValueError("composition needs at least one branch")
-    tables, collisions = {}, []
-    for name in COMPOSED_TABLES:
-        spec = BRANCH_TABLES[name]
-        rows = _united(branches, name).withColumn("_d", row_digest(*spec.names))
-        rest = [n for n in spec.names if n not in spec.key]
-        # Shared rows repeat once per branch; they fold map-side before the shuffle.
-        folded = rows.groupBy(*spec.key).agg(F.min("_d").alias("_low"), F.max("_d").alias("_high"), *[F.min_by(n, "_d").alias(n) for n in rest])
-        tables[name] = shaped(folded, spec)
-        collided = folded.where(F.col("_low") != F.col("_high"))
-        collisions.append(collided.select(F.lit(name).alias("table_name"), F.concat_ws("|", *spec.key).alias("key")))
-    collided_rows = reduce(DataFrame.unionByName, collisions)
-    return _with_composition_rows(branches, tables, operation_uuid, at), collided_rows
-
-
-def collisions_by_table(branches: list[Branch]) -> DataFrame:
-    _, rows = compose(branches, "00000000-0000-0000-0000-000000000000", "")
-    return rows.groupBy("table_name").agg(F.count(F.lit(1)).alias("collisions"))
+    tables = LazyTables({name: (lambda name=name: shaped(_folded(branches, name), BRANCH_TABLES[name])) for name in COMPOSED_TABLES})
+    return _with_composition_rows(branches, tables, operation_uuid, at), collisions(branches)
 
 
-def _with_composition_rows(branches: list[Branch], tables: dict[str, DataFrame], operation_uuid: str, at: str) -> Branch:
+def _with_composition_rows(branches: list[Branch], tables: LazyTables, operation_uuid: str, at: str) -> Branch:
     """Adds the composite corpus, its multi-parent snapshot, and the composition's own record."""
     spark = branches[0].spark
     flat = _united(branches, "corpus_components").select("component_corpus_uuid").distinct()
@@ -58,32 +65,36 @@ def _with_composition_rows(branches: list[Branch], tables: dict[str, DataFrame],
         components=F.lit(",".join(components)), parents=F.lit(",".join(parents)), sources=F.lit(";".join("/".join(s) for s in sources)))
     snapshot, composition = _uuid5(operation_uuid, "snapshot"), _uuid5(operation_uuid, "composition")
     replica = _uuid5(operation_uuid, "replica")
-    one = spark.range(1)
+    head = Head(corpus_id, snapshot, 1 + max(b.head.sequence for b in branches))
+    base = Branch(spark, tables, branches[0].namespace, corpus_id, head=head, workspace_uuid=_uuid5(operation_uuid, "workspace"), replica_uuid=replica)
 
     def rows(name: str, **values: object) -> DataFrame:
         columns = [(v if not isinstance(v, (str, int)) else F.lit(v)).alias(k) for k, v in values.items()]
-        return shaped(one.select(*columns), BRANCH_TABLES[name])
+        return shaped(spark.range(1).select(*columns), BRANCH_TABLES[name])
+
+    def local(name: str, listed: list[tuple], columns: str) -> DataFrame:
+        return shaped(spark.createDataFrame(listed, columns), BRANCH_TABLES[name])
 
-    sequence = 1 + max(b.head.sequence for b in branches)
-    base = Branch(spark, tables, branches[0].namespace, corpus_id, head=Head(corpus_id, snapshot, sequence),
-                  workspace_uuid=_uuid5(operation_uuid, "workspace"), replica_uuid=replica)
-    state = fingerprint(base).select("fingerprint").scalar()
     own = {
-        "replicas": rows("replicas", replica_uuid=replica, label="composition", created_at=at),
-        "semantic_operations": rows("semantic_operations", operation_uuid=operation_uuid, origin_replica_uuid=replica,
-                                    operation_kind="workspace.compose", payload_hash=F.sha2(plan, 256), payload_json=plan, created_at=at),
-        "semantic_snapshots": rows("semantic_snapshots", snapshot_uuid=snapshot, corpus_uuid=corpus_id, operation_uuid=operation_uuid,
-                                   state_fingerprint=state, created_at=at),
-        "snapshot_parents": shaped(spark.createDataFrame([(snapshot, p, i) for i, p in enumerate(parents)],
-                                                         "snapshot_uuid STRING, parent_snapshot_uuid STRING, ordinal INT"), BRANCH_TABLES["snapshot_parents"]),
+        "replicas": lambda: rows("replicas", replica_uuid=replica, label="composition", created_at=at),
+        "semantic_operations": lambda: rows("semantic_operations", operation_uuid=operation_uuid, origin_replica_uuid=replica,
+                                            operation_kind="workspace.compose", payload_hash=F.sha2(plan, 256), payload_json=plan, created_at=at),
+        "semantic_snapshots": lambda: rows("semantic_snapshots", snapshot_uuid=snapshot, corpus_uuid=corpus_id, operation_uuid=operation_uuid,
+                                           state_fingerprint=fingerprint(base).select("fingerprint").scalar(), created_at=at),
+        "snapshot_parents": lambda: local("snapshot_parents", [(snapshot, p, i) for i, p in enumerate(parents)],
+                                          "snapshot_uuid STRING, parent_snapshot_uuid STRING, ordinal INT"),
     }
-    full = {name: tables[name].unionByName(own[name]) if name in own else tables[name] for name in tables}
-    full["corpus_components"] = spark.createDataFrame([(corpus_id, x) for x in components], BRANCH_TABLES["corpus_components"].schema)
-    full["composition_records"] = rows("composition_records", composition_uuid=composition, operation_uuid=operation_uuid,
-                                       output_snapshot_uuid=snapshot, source_count=len(branches), plan_digest=F.sha2(plan, 256), created_at=at)
-    full["composition_inputs"] = shaped(spark.createDataFrame([(composition, *s) for s in sources],
-        "composition_uuid STRING, source_workspace_uuid STRING, source_corpus_uuid STRING, source_snapshot_uuid STRING"), BRANCH_TABLES["composition_inputs"])
-    return Branch(spark, full, base.namespace, corpus_id, head=base.head, workspace_uuid=base.workspace_uuid, replica_uuid=replica)
+
+    def full(name: str) -> DataFrame:
+        return tables[name].unionByName(own[name]()) if name in own else tables[name]
+
+    builders = {name: (lambda name=name: full(name)) for name in tables}
+    builders["corpus_components"] = lambda: local("corpus_components", [(corpus_id, x) for x in components], "composite_corpus_uuid STRING, component_corpus_uuid STRING")
+    builders["composition_records"] = lambda: rows("composition_records", composition_uuid=composition, operation_uuid=operation_uuid, output_snapshot_uuid=snapshot,
+                                                   source_count=len(branches), plan_digest=F.sha2(plan, 256), created_at=at)
+    builders["composition_inputs"] = lambda: local("composition_inputs", [(composition, *s) for s in sources],
+        "composition_uuid STRING, source_workspace_uuid STRING, source_corpus_uuid STRING, source_snapshot_uuid STRING")
+    return Branch(spark, LazyTables(builders), base.namespace, corpus_id, head=head, workspace_uuid=base.workspace_uuid, replica_uuid=replica)
 
 
 def _uuid5(namespace: str, name: str) -> str:
@@ -149,16 +160,17 @@ def verify_state(b: Branch) -> DataFrame:
 def merge_laws(branches: list[Branch]) -> DataFrame:
     """``(law, holds)``: composition must be idempotent, commutative and associative by fingerprint."""
     operation, at = "00000000-0000-0000-0000-000000000000", ""
-    digest = lambda bs: fingerprint(compose(bs, operation, at)[0]).select("fingerprint").scalar()
+    united = lambda bs: compose(bs, operation, at)[0]
     a, b, c = branches[0], branches[1], branches[-1]
-    whole = digest([a, b, c])
-    left = compose([a, b], operation, at)[0]
-    right = compose([b, c], operation, at)[0]
-    laws = [("idempotent", digest([a, a]), fingerprint(a).select("fingerprint").scalar()),
-            ("commutative", digest([a, b]), digest([b, a])), ("associative_left", digest([left, c]), whole),
-            ("associative_right", digest([a, right]), whole)]
-    one = a.spark.range(1)
-    return reduce(DataFrame.unionByName, [one.select(F.lit(law).alias("law"), (x == y).alias("holds")) for law, x, y in laws])
+    states = {"a": a, "aa": united([a, a]), "ab": united([a, b]), "ba": united([b, a]), "abc": united([a, b, c]),
+              "(ab)c": united([united([a, b]), c]), "a(bc)": united([a, united([b, c])])}
+    digests = reduce(DataFrame.unionByName, [fingerprint(s).select(F.lit(name).alias("state"), "fingerprint") for name, s in states.items()])
+    digests = checkpointed(digests)
+    laws = a.spark.createDataFrame([("idempotent", "aa", "a"), ("commutative", "ab", "ba"), ("associative_left", "(ab)c", "abc"),
+                                    ("associative_right", "a(bc)", "abc")], "law STRING, left STRING, right STRING")
+    side = lambda name: digests.select(F.col("state").alias(name), F.col("fingerprint").alias(f"{name}_digest"))
+    joined = laws.join(side("left"), "left").join(side("right"), "right")
+    return joined.select("law", (F.col("left_digest") == F.col("right_digest")).alias("holds"))
 
 
 # ---- corpora side by side ---------------------------------------------------------

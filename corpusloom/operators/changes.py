@@ -31,6 +31,7 @@ OPERATION = flat_schema(
     "scope STRING, tracking_note STRING, request_uuid STRING")
 
 CREATING = ("node.create", "node.stage", "tag.create", "graph.create", "sentinel.create")
+TEXT_CHANGING = ("node.update", "traversal.embed")
 # Revisions of one node form a hash chain, so one node's operations are taken one after another.
 # A batch may hold any number of nodes, but at most this many operations on one of them.
 MAX_PER_NODE = 50
@@ -174,17 +175,28 @@ def _link_findings(c: Corpus, history: DataFrame, known: DataFrame) -> DataFrame
                                           "link_index", "index", "node_uuid", "lifecycle_state"))
 
 
-def plan_changes(c: Corpus, ops: DataFrame, at: str = "2000-01-01 00:00:00") -> Changes:
-    """Deltas and rejections of a batch. ``at`` dates it; the index supplies distinct nanoseconds."""
+def plan_changes(c: Corpus, ops: DataFrame, at: str = "2000-01-01 00:00:00", kinds: set[str] | None = None) -> Changes:
+    """Deltas and rejections of a batch. ``at`` dates it; the index supplies distinct nanoseconds.
+
+    ``kinds`` names the operations the batch may hold, if known; steps no such operation needs are
+    then planned over empty tables, which the optimizer removes.
+    """
     ops = _default_graph(operations(ops))
-    ops, missing_targets = _as_updates(c, ops)
+    none = c.spark.createDataFrame([], OPERATION)
+    kinds = kinds or {*CREATING, *TEXT_CHANGING, "node.revert", "node.promote", "triple.add", "tag.assign"}
+    of = lambda *names: ops.where(F.col("operation").isin(*names)) if kinds & set(names) else none
+    ops, missing_targets = _as_updates(c, ops) if "node.revert" in kinds else (ops, _rejected(none, "", F.lit("")))
     known_ops = ops.where(F.col("operation").isin(*CREATING, "node.update", "traversal.embed", "triple.add", "tag.assign", "node.promote"))
     unsupported = _rejected(ops.join(known_ops.select("index"), "index", "left_anti"), "unsupported_operation", F.col("operation"))
-    embeds = check_traversals(tokenise(known_ops.where("operation = 'traversal.embed'").withColumn("uuid", F.col("pointer")).withColumn("block", F.lit(0))))
-    canon = canonical_notation(embeds).select("index", F.when(F.col("lawful"), F.col("canonical")).alias("canonical"))
-    known_ops = checkpointed(known_ops.join(canon, "index", "left").withColumn("notation", F.coalesce("canonical", "notation")).drop("canonical"))
-
-    history = checkpointed(_histories(c, known_ops, at))
+    embeds = check_traversals(tokenise(of("traversal.embed").withColumn("uuid", F.col("pointer"))))
+    if "traversal.embed" in kinds:
+        canon = canonical_notation(embeds).select("index", F.when(F.col("lawful"), F.col("canonical")).alias("canonical"))
+        known_ops = known_ops.join(canon, "index", "left").withColumn("notation", F.coalesce("canonical", "notation")).drop("canonical")
+    known_ops = ops = checkpointed(known_ops)
+
+    writes = bool(kinds & {*CREATING, *TEXT_CHANGING, "node.revert"})
+    history = _histories(c, known_ops if writes else none, at)
+    history = checkpointed(history) if writes else c.spark.createDataFrame([], history.schema)
     known = _known_from(c, history)
     rejections = [missing_targets, unsupported,
                   _rejected(embeds.where("NOT lawful"), "unlawful_notation", F.concat_ws("@", "reason", "offset")),
@@ -205,7 +217,7 @@ def plan_changes(c: Corpus, ops: DataFrame, at: str = "2000-01-01 00:00:00") ->
     graph_rows = new_graphs.select(F.col("uuid").alias("graph_uuid"), "graph_key", "pointer_prefix", "description")
     graphs = c["graphs"].select("graph_uuid", "graph_key", "pointer_prefix", "description").unionByName(graph_rows)
 
-    promotions, promote_rejections = _promotions(c, known_ops)
+    promotions, promote_rejections = _promotions(c, of("node.promote"))
     rejections += promote_rejections
     placed = created.where("graph_key IS NOT NULL OR operation != 'node.stage'").select("index", "pointer", "graph_key", "uuid", "operation").unionByName(
         promotions.select("index", "pointer", "graph_key", "uuid", F.lit("node.promote").alias("operation")))
@@ -217,7 +229,8 @@ def plan_changes(c: Corpus, ops: DataFrame, at: str = "2000-01-01 00:00:00") ->
                                  F.floor(F.col("index") / ORDINAL_BUCKET))
 
     # Links: promoted texts must be sound, staged texts collect issues.
-    findings = checkpointed(_link_findings(c, history, known))
+    findings = _link_findings(c, history, known)
+    findings = checkpointed(findings) if writes else c.spark.createDataFrame([], findings.schema)
     strict = findings.where("lifecycle_state = 'promoted'")
     rejections.append(_rejected(strict, F.col("code"), F.col("target_pointer")))
 
@@ -227,8 +240,8 @@ def plan_changes(c: Corpus, ops: DataFrame, at: str = "2000-01-01 00:00:00") ->
     unknown = used.join(first_known, "pointer", "left").where("since IS NULL OR since > index")
     rejections.append(_rejected(unknown, "node_not_found", F.col("pointer")))
 
-    triples, triple_rejections, triple_results = _triples(c, known_ops, known, at)
-    tags, tag_rejections = _tag_assignments(c, known_ops, known, history, at)
+    triples, triple_rejections, triple_results = _triples(c, of("triple.add"), known, at)
+    tags, tag_rejections = _tag_assignments(c, of("tag.assign"), known, history, at)
     rejections += [*triple_rejections, *tag_rejections]
 
     moved = history.where("code IS NULL")
@@ -288,7 +301,7 @@ def plan_changes(c: Corpus, ops: DataFrame, at: str = "2000-01-01 00:00:00") ->
 
 
 def _promotions(c: Corpus, ops: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    wanted = ops.where("operation = 'node.promote'").select("index", "pointer", "graph_key")
+    wanted = ops.select("index", "pointer", "graph_key")
     nodes = current_nodes(c).select("pointer", "uuid", "revision_uuid", "description", "lifecycle_state")
     queue = c["staging_queue"].select(F.col("node_uuid").alias("uuid"), "intended_graph_key")
     rows = wanted.join(nodes, "pointer", "left").join(queue, "uuid", "left")
@@ -305,7 +318,7 @@ def _promotions(c: Corpus, ops: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 
 
 def _triples(c: Corpus, ops: DataFrame, known: DataFrame, at: str) -> tuple[DataFrame, list[DataFrame], DataFrame]:
-    rows = ops.where("operation = 'triple.add'").select("index", "operation", "request_uuid", "subject_pointer", "predicate_pointer", "object_pointer")
+    rows = ops.select("index", "operation", "request_uuid", "subject_pointer", "predicate_pointer", "object_pointer")
     since = known.groupBy("pointer").agg(F.min_by("uuid", "since").alias("uuid"), F.min("since").alias("since"))
     rejections = []
     for role in ("subject", "predicate", "object"):
@@ -330,7 +343,7 @@ def _triples(c: Corpus, ops: DataFrame, known: DataFrame, at: str) -> tuple[Data
 
 
 def _tag_assignments(c: Corpus, ops: DataFrame, known: DataFrame, history: DataFrame, at: str) -> tuple[DataFrame, list[DataFrame]]:
-    rows = ops.where("operation = 'tag.assign'").select("index", "request_uuid", "subject_pointer", "tag_pointer")
+    rows = ops.select("index", "request_uuid", "subject_pointer", "tag_pointer")
     since = known.groupBy("pointer").agg(F.min_by("uuid", "since").alias("uuid"), F.min("since").alias("since"))
     rejections = []
     for role in ("subject", "tag"):
@@ -360,7 +373,7 @@ def _audit(c: Corpus, ops: DataFrame, history: DataFrame, at: str) -> DataFrame:
 
 # ---- single-kind batches ----------------------------------------------------------
 def _of_kind(c: Corpus, df: DataFrame, operation: str, at: str) -> Changes:
-    return plan_changes(c, df.withColumn("operation", F.lit(operation)), at)
+    return plan_changes(c, df.withColumn("operation", F.lit(operation)), at, {operation})
 
 
 def create_nodes(c: Corpus, df: DataFrame, at: str = "2000-01-01 00:00:00") -> Changes:
