@@ -326,7 +326,17 @@ BRANCH_RULES = {
 }
 
 
+_branches: dict[tuple[str, str, str, bool], Branch] = {}
+
+
 def branch(spark: SparkSession, sf: str, label: str, tampered: bool = False) -> Branch:
+    key = (spark.sparkContext.applicationId, sf, label, tampered)
+    if key not in _branches:
+        _branches[key] = _derive_branch(spark, sf, label, tampered)
+    return _branches[key]
+
+
+def _derive_branch(spark: SparkSession, sf: str, label: str, tampered: bool) -> Branch:
     """Orders of one slice as branch objects.
 
     Objects, aliases and first revisions are shared between slices. Urgent orders get a further
