@@ -9,6 +9,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.durable import checkpointed
 from corpusloom.functions.text import ReferenceProfile
 from corpusloom.schema import BRANCH_TABLES, CORPUS_TABLES, Table
 
@@ -39,6 +40,10 @@ class Corpus:
     def with_tables(self, **tables: DataFrame) -> Corpus:
         return replace(self, tables=ChainMap(tables, self.tables))
 
+    def settled(self) -> Corpus:
+        """The same state with every table checkpointed, so that further batches start from short plans."""
+        return replace(self, tables={name: checkpointed(df) for name, df in self.tables.items()})
+
     def spec(self, name: str) -> Table:
         return self.layout[name]
 

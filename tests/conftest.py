@@ -49,5 +49,5 @@ def make_corpus(spark):
             "predicate_registry": registry(predicates, "predicate_uuid"), "tag_registry": registry(tags, "tag_uuid"),
         }
         tables = {n: shaped(df, CORPUS_TABLES[n]) for n, df in built.items()}
-        return Corpus(spark, tables, NAMESPACE, CORPUS_ID, head=Head(CORPUS_ID, "00000000-0000-0000-0000-000000000001", 0))
+        return Corpus(spark, tables, NAMESPACE, CORPUS_ID, head=Head(CORPUS_ID, "00000000-0000-0000-0000-000000000001", 0)).settled()
     return build
