@@ -32,6 +32,7 @@ OPERATION = flat_schema(
 
 CREATING = ("node.create", "node.stage", "tag.create", "graph.create", "sentinel.create")
 TEXT_CHANGING = ("node.update", "traversal.embed")
+SUPPORTED = (*CREATING, *TEXT_CHANGING, "node.revert", "node.promote", "triple.add", "tag.assign")
 # Revisions of one node form a hash chain, so one node's operations are taken one after another.
 # A batch may hold any number of nodes, but at most this many operations on one of them.
 MAX_PER_NODE = 50
@@ -183,7 +184,7 @@ def plan_changes(c: Corpus, ops: DataFrame, at: str = "2000-01-01 00:00:00", kin
     """
     ops = _default_graph(operations(ops))
     none = c.spark.createDataFrame([], OPERATION)
-    kinds = kinds or {*CREATING, *TEXT_CHANGING, "node.revert", "node.promote", "triple.add", "tag.assign"}
+    kinds = kinds or set(SUPPORTED)
     of = lambda *names: ops.where(F.col("operation").isin(*names)) if kinds & set(names) else none
     ops, missing_targets = _as_updates(c, ops) if "node.revert" in kinds else (ops, _rejected(none, "", F.lit("")))
     known_ops = ops.where(F.col("operation").isin(*CREATING, "node.update", "traversal.embed", "triple.add", "tag.assign", "node.promote"))

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.corpus import Corpus, shaped
+from corpusloom.functions.durable import checkpointed
 from corpusloom.functions.ordered import grouped_rank
-from corpusloom.operators.changes import dedupe_requests, ledger_rows, next_head, plan_changes
+from corpusloom.operators.changes import SUPPORTED, Changes, dedupe_requests, ledger_rows, next_head, plan_changes
 from corpusloom.schema import CORPUS_TABLES
 from corpusloom.sources.oplog import REQUEST, as_operations, hashed_requests, split_bad
 from corpusloom.sources.snapshots import _latest, commit_changes, read_corpus
@@ -62,13 +63,12 @@ def apply_batch(c: Corpus, batch: DataFrame, root: str, batch_key: str) -> Corpu
         if at is None:
             return c
         stamp = at.strftime("%Y-%m-%d %H:%M:%S")
-        sound, refused = _sound(c, ordered, stamp)
+        sound, refused, changes = _sound(c, ordered, stamp)
         reasons = conflicts.unionByName(refused)
         if not reasons.isEmpty():
             reasons.write.mode("overwrite").parquet(f"{root}/refused/{request}")
         if sound.isEmpty():
             return c
-        changes = plan_changes(c, as_operations(sound), stamp)
         digest = hashlib.sha256(batch_key.encode()).hexdigest()
         head, transition = next_head(c, c.head, request, "batch.apply", digest, {"batch": batch_key})
         listed = sound.select("index", F.col("request_id").alias("request_uuid"), F.col("tool").alias("tool_name"), "input_hash",
@@ -88,13 +88,16 @@ def apply_batch(c: Corpus, batch: DataFrame, root: str, batch_key: str) -> Corpu
         batch.unpersist()
 
 
-def _sound(c: Corpus, requests: DataFrame, stamp: str) -> tuple[DataFrame, DataFrame]:
-    """Requests that pass, and refusals. Refusing one can unsettle a later one that built on it, so repeat."""
+def _sound(c: Corpus, requests: DataFrame, stamp: str) -> tuple[DataFrame, DataFrame, Changes]:
+    """Requests that pass, refusals, and the plan. Refusing one can unsettle a later one that built on it, so repeat."""
+    requests = checkpointed(requests)
+    known = requests.where(F.col("tool").isin(*SUPPORTED)).select("tool").distinct()
+    kinds = {r["tool"] for r in known.collect()}  # at most the supported names
     refused = None
     while True:
-        rejections = plan_changes(c, as_operations(requests), stamp).rejections
-        bad = rejections.join(requests.select("index", "request_id"), "index").select("request_id", "code", "detail").persist()
+        plan = plan_changes(c, as_operations(requests), stamp, kinds)
+        bad = checkpointed(plan.rejections.join(requests.select("index", "request_id"), "index").select("request_id", "code", "detail"))
         if bad.isEmpty():
-            return requests, refused if refused is not None else bad
+            return requests, refused if refused is not None else bad, plan
         refused = bad if refused is None else refused.unionByName(bad)
-        requests = requests.join(bad.select("request_id").distinct(), "request_id", "left_anti")
+        requests = checkpointed(requests.join(bad.select("request_id").distinct(), "request_id", "left_anti"))
