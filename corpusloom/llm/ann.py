@@ -170,8 +170,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     n = rows.count()
     share = int(1_000_000 * min(1.0, settings.sample_rows / max(1, n)))
     sample = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000)) < share).orderBy("id").select("v").toPandas()["v"]
-    x = np.array(list(sample), float).reshape(len(sample), -1)
-    x = np.unique(x, axis=0) if len(x) else x  # copies would only fill the graph with themselves
+    # Copies would only fill the graph with themselves.
+    x = np.unique(np.array(list(sample), float), axis=0) if len(sample) else np.zeros((0, 1))
     parts = max(1, min(n // settings.part_rows, len(x) // 64))
     shared = spark.sparkContext.broadcast(fit_router(x, parts, settings))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.durable import shared_folder
 
+LETTERS = re.compile(r"[^\W\d_]+")
+# Lowers ASCII letters and makes blanks of all other ASCII, so that split() gives runs of letters and of what lies beyond.
+_LETTERS_ONLY = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
+
 # A word of the size, quality and packing contracts: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -38,3 +43,13 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     path = f"{folder}/{name}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def rough_words(text: str) -> list[bytes]:
+    """Runs of letters in UTF-8, found fast; runs with bytes beyond ASCII may hold capitals and other characters."""
+    return text.encode("utf-8", "surrogatepass").translate(_LETTERS_ONLY).split()
+
+
+def exact_words(rough: bytes) -> list[str]:
+    """The lower-case words of letters in a rough one."""
+    return [rough.decode()] if rough.isascii() else [w for w in LETTERS.findall(rough.decode("utf-8", "surrogatepass").lower()) if any(map(str.isalpha, w))]

@@ -7,9 +7,9 @@ probabilities are fitted by expectation maximisation: expected piece counts over
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -17,12 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import exact_words, rough_words
+
 UNDETERMINED = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"  # the vocabulary's mark of a word's first piece
 RUN = 48  # a longer run of letters is scored as consecutive runs of so many
-MEMORY = 300_000  # words whose scores a task keeps
-CHARS_AT_ONCE = 1_000_000
+MEMORY = 600_000  # rough words whose scores a worker keeps
+CHARS_AT_ONCE = 2_000_000
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def public_pieces(path: str | None = None) -> list[str]:
@@ -37,28 +39,52 @@ def public_pieces(path: str | None = None) -> list[str]:
     return sorted({p for p in pieces if p.removeprefix(START).isalpha() and p == p.lower()})
 
 
+def _codes(words: Sequence[str]) -> np.ndarray:
+    """Code points of words of one length, a row each."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1).astype(np.uint64)
+
+
+def _hashes(codes: np.ndarray, longest: int) -> Iterator[np.ndarray]:
+    """For lengths 1, 2, ...: hashes of the substrings of that length, by the place where they begin."""
+    mixed = (codes + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(29)
+    value = np.zeros_like(mixed)
+    for k in range(min(longest, codes.shape[1])):
+        value = value[:, :codes.shape[1] - k] * _BASE + mixed[:, k:]
+        yield value
+
+
 @dataclass
 class Pieces:
-    """Looks up the pieces of words; ids count from 1, and 0 stands for no piece."""
+    """Looks up the pieces of words by 64-bit hashes of their characters.
+
+    Ids count from 2; id 1 is any character that is no piece, and 0 stands for no piece.
+    """
 
-    ids: dict[str, int]
+    hashes: np.ndarray
+    ids: np.ndarray
     longest: int
+    names: list[str]
 
     @classmethod
     def of(cls, pieces: Sequence[str]) -> Pieces:
-        return cls({p: i + 2 for i, p in enumerate(pieces)}, max(map(len, pieces), default=1))
+        keys = np.array([list(_hashes(_codes([p]), len(p)))[-1][0, 0] for p in pieces], np.uint64)
+        order = np.argsort(keys)
+        return cls(keys[order], (order + 2).astype(np.int32), max(map(len, pieces), default=1), list(pieces))
 
     @property
     def size(self) -> int:
-        return len(self.ids) + 2
+        return len(self.names) + 2
 
     def lattice(self, words: Sequence[str]) -> np.ndarray:
-        """Ids of the pieces that end at each place, by length, of marked words of one length; an unknown character has id 1."""
-        n, get = len(words[0]), self.ids.get
-        most = min(n, self.longest)
-        out = np.zeros((len(words), n, most), np.int32)
-        for row, word in zip(out, words, strict=True):
-            row[:] = [[get(word[i - k:i + 1], 0) if i >= k else 0 for k in range(most)] for i in range(n)]
+        """Ids of the pieces that end at each place, by length, of marked words of one length."""
+        codes = _codes(words)
+        out = np.zeros((*codes.shape, min(codes.shape[1], self.longest)), np.int32)
+        if len(self.names):
+            for k, value in enumerate(_hashes(codes, self.longest)):
+                at = np.searchsorted(self.hashes, value)
+                at[at == len(self.hashes)] = 0
+                out[:, k:, k] = np.where(self.hashes[at] == value, self.ids[at], 0)
         out[:, :, 0][out[:, :, 0] == 0] = 1
         return out
 
@@ -107,9 +133,12 @@ class Model:
     languages: list[str]
     pieces: Pieces
     chance: np.ndarray
+    known: dict[bytes, int] = field(default_factory=dict, repr=False)  # rough words seen by this worker, with their rows in
+    scores: np.ndarray | None = field(default=None, repr=False)  # their scores
+    lettered: np.ndarray | None = field(default=None, repr=False)  # and whether they hold a letter
 
     @classmethod
-    def fit(cls, languages: Sequence[str], pieces: Sequence[str], words: dict[str, np.ndarray], rounds: int = 4, smooth: float = 0.05) -> Model:
+    def fit(cls, languages: Sequence[str], pieces: Sequence[str], words: dict[str, np.ndarray], rounds: int = 3, smooth: float = 0.05) -> Model:
         """``words``: occurrences per language of each training word."""
         index = Pieces.of(pieces)
         chance = np.full((index.size, len(languages)), 1.0 / index.size)
@@ -143,30 +172,43 @@ class Model:
         return out
 
     def predict(self, texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
-        scores = np.zeros((0, len(self.languages)))
         for series in texts:
             picked, sure = [], []
             for chunk in _chunks(series):
-                tokens = [[w for w in LETTERS.findall(t.lower()) if w in known or any(map(str.isalpha, w))] if t else [] for t in chunk]
-                if len(known) > MEMORY:
-                    known, scores = {}, scores[:0]
-                new = sorted(set().union(*tokens) - known.keys())
-                if new:
-                    known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-                    scores = np.concatenate([scores, self.word_scores(new)])
-                for words in tokens:
-                    if not words or not self.languages:
+                counts = [Counter(rough_words(t)) if t else Counter() for t in chunk]
+                self._remember(counts)
+                known, scores, lettered = self.known, self.scores, self.lettered
+                for c in counts:
+                    at = np.fromiter(map(known.__getitem__, c), np.int64, len(c))
+                    if not self.languages or not lettered[at].any():
                         picked.append(UNDETERMINED)
                         sure.append(0.0)
                         continue
-                    total = scores[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(0)
+                    total = np.fromiter(c.values(), np.float64, len(c)) @ scores[at]
                     odds = np.exp(total - total.max())
                     best = int(total.argmax())
                     picked.append(self.languages[best])
                     sure.append(float(odds[best] / odds.sum()))
             yield pd.DataFrame({"lang_pred": picked, "score": sure})
 
+    def _remember(self, counts: Sequence[Counter]) -> None:
+        if self.scores is None or len(self.known) > MEMORY:
+            self.known, self.scores, self.lettered = {}, np.zeros((0, len(self.languages))), np.zeros(0, bool)
+        new = list({w for c in counts for w in c if w not in self.known})
+        if new:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            more, letters = self._rough_scores(new)
+            self.scores, self.lettered = np.concatenate([self.scores, more]), np.concatenate([self.lettered, letters])
+
+    def _rough_scores(self, rough: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of rough words, summed over the words in them, and whether there are any."""
+        inside = [exact_words(w) for w in rough]
+        flat = [w for words in inside for w in words]
+        owner = np.repeat(np.arange(len(rough)), [len(words) for words in inside])
+        out = np.zeros((len(rough), len(self.languages)))
+        np.add.at(out, owner, self.word_scores(flat))
+        return out, np.bincount(owner, minlength=len(rough)) > 0
+
 
 def _chunks(series: pd.Series) -> Iterator[list[str | None]]:
     part, size = [], 0
@@ -180,7 +222,7 @@ def _chunks(series: pd.Series) -> Iterator[list[str | None]]:
         yield part
 
 
-def train(examples: DataFrame, pieces: Sequence[str], docs_per_language: int = 1_500, words_per_language: int = 30_000) -> Model:
+def train(examples: DataFrame, pieces: Sequence[str], docs_per_language: int = 1_500, words_per_language: int = 15_000) -> Model:
     """Fit on rows of (doc_id, text, lang); null languages and null texts teach nothing, no rows give a model that predicts nothing.
 
     Two bounds keep the fit small: about ``docs_per_language`` documents of each language, picked by a hash of the id, and the

@@ -54,35 +54,35 @@ def copies(rate: Column, key: Column, seed: str) -> Column:
 
 
 def with_copies(rows: DataFrame, sizes: DataFrame, weights: Sequence[float], share: float, limit: float, seed: str) -> DataFrame:
-    """``rows`` (with doc_id and source) with their source's plan as ``_size``, ``_target`` and the number of copies as ``_copies``.
+    """Rows of (doc_id, source, row) with their source's plan and the number of copies: ``row, source_size, target, copies``.
 
     A plan of few sources is broadcast after its rows have been counted; a longer one is joined by shuffle, where adaptive
     execution splits a hot source.
     """
-    plan = checkpointed(source_plan(sizes, weights, share, limit)).select(
-        F.col("source").alias("_source"), F.col("source_size").alias("_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"))
+    plan = checkpointed(source_plan(sizes, weights, share, limit)).withColumnRenamed("source", "of")
     plan = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
-    joined = rows.join(plan, rows["source"].eqNullSafe(plan["_source"]))
-    return joined.withColumn("_copies", copies(F.col("_rate"), F.col("doc_id"), seed)).drop("_source", "_rate")
+    joined = rows.join(plan, rows["source"].eqNullSafe(plan["of"]))
+    return joined.select("row", "source_size", "target", copies(F.col("rate"), F.col("doc_id"), seed).alias("copies"))
 
 
 def plan_mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, seed: str = "mix") -> DataFrame:
     """Per document: ``doc_id, size, source_size, target, taken``.
 
-    Null texts have size 0; a null source is a source of its own; repeated rows each count and draw alike.
+    Null texts have size 0; a null source is a source of its own; repeated rows each count and draw alike. An empty table
+    gives an empty result. Other columns of ``docs`` play no part.
     """
     sized = checkpointed(docs.select("doc_id", "source", n_words("text").alias("size")))
-    return with_copies(sized, sized, weights, share, limit, seed).select(
-        "doc_id", "size", F.col("_size").alias("source_size"), F.col("_target").alias("target"),
-        (F.col("size") * F.col("_copies")).cast("long").alias("taken"))
+    rows = sized.select("doc_id", "source", F.struct("doc_id", "size").alias("row"))
+    return with_copies(rows, sized, weights, share, limit, seed).select(
+        "row.doc_id", "row.size", "source_size", "target", (F.col("row.size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, seed: str = "mix") -> DataFrame:
     """The documents of the mix with all their columns, each as often as it is taken (not at all, once, twice, ...)."""
     sizes = docs.select("source", n_words("text").alias("size"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    taken = with_copies(docs, sizes, weights, share, limit, seed)
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*columns)
+    rows = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    taken = with_copies(rows, sizes, weights, share, limit, seed).where("copies > 0")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
 SQL = f"""

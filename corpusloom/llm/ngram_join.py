@@ -326,6 +326,6 @@ def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     joined = join(docs, settings)
     known = lambda c: F.coalesce(c.cast("long"), F.lit(-(1 << 63)))
     kept = joined.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(known(F.col("doc_id")).alias("_id")).distinct()
-    rows = docs.withColumn("_id", known(docs["doc_id"])).join(kept, "_id", "left_semi")
-    first = F.row_number().over(W.partitionBy("_id", F.xxhash64("text")).orderBy(F.lit(0)))
-    return rows.withColumn("_first", first).where("_first = 1").drop("_id", "_first")
+    rows = docs.select(known(F.col("doc_id")).alias("_id"), F.xxhash64("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    first = F.row_number().over(W.partitionBy("_id", "_text").orderBy(F.lit(0)))
+    return rows.join(kept, "_id", "left_semi").withColumn("_first", first).where("_first = 1").select("row.*")

@@ -19,8 +19,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORDS = re.compile(r"[^\W\d_]+")
+from corpusloom.llm.common import LETTERS, exact_words, rough_words
+
 CLAUSES = re.compile(r"[.!?;:\n]+")
+MEMORY = 600_000
 STEMS = (6, 5, 4)  # lengths of stems, tried from the longest
 
 # Closed classes of four languages.
@@ -102,6 +104,7 @@ class Model:
     words: dict[str, float]
     stems: dict[str, float]
     bias: float
+    memory: dict[bytes, bool] = field(default_factory=dict, repr=False)  # whether rough words that a worker has seen mark a text
 
     def weight(self, word: str) -> float:
         found = self.words.get(word, 0.0)
@@ -130,19 +133,23 @@ class Model:
                 total += weight * factor
         return total
 
-    def score(self, text: str | None, memory: dict[str, float]) -> float:
-        evidence = 0.0
+    def score(self, text: str | None) -> float:
+        """Only texts with an insult or a threat are read clause by clause."""
+        evidence, memory = 0.0, self.memory
+        if len(memory) > MEMORY:
+            memory.clear()
         if text:
-            lowered = text.lower()
-            distinct = set(WORDS.findall(lowered))
-            for word in distinct - memory.keys():
-                memory[word] = self.weight(word)
-            insults = {w: memory[w] for w in distinct if memory[w]}
-            if insults or not distinct.isdisjoint(THREATS):
-                marks = insults.keys() | THREATS
-                for part in CLAUSES.split(lowered):
-                    words = WORDS.findall(part)
-                    if not marks.isdisjoint(words):
+            marked = False
+            for word in set(rough_words(text)):
+                hit = memory.get(word)
+                if hit is None:
+                    hit = memory[word] = any(w in THREATS or self.weight(w) > 0 for w in exact_words(word))
+                marked |= hit
+            if marked:
+                for part in CLAUSES.split(text.lower()):
+                    words = LETTERS.findall(part)
+                    insults = {w: x for w in words if (x := self.weight(w)) > 0}
+                    if insults or not THREATS.isdisjoint(words):
                         evidence += self.clause(words, insults)
         return 1 / (1 + math.exp(-min(60.0, self.bias + evidence)))
 
@@ -158,7 +165,7 @@ def _significance(a: int, b: int, n1: int, n0: int) -> float:
 
 def patterns(text: str) -> set[tuple[int, str]]:
     """The words (0, word) and stems (length, stem) of a text."""
-    words = {w for w in WORDS.findall(text.lower()) if len(w) > 2}
+    words = {w for rough in set(rough_words(text)) for w in exact_words(rough) if len(w) > 2}
     return {(0, w) for w in words} | {(n, w[:n]) for n in STEMS for w in words if len(w) >= n}
 
 
@@ -171,8 +178,8 @@ def learn(rows: list[tuple[str, int]], least: float = 18.0, precise: float = 0.8
     """
     once: dict[tuple[int, int], str] = {}
     for text, toxic in rows:
-        words = text.split()
-        mark = min((hash_of(" ".join(words[i:i + 3])) for i in range(max(1, len(words) - 2))), default=0)
+        words = text.encode("utf-8", "surrogatepass").split()
+        mark = min(map(zlib.crc32, map(b" ".join, zip(words, words[1:], words[2:], strict=False))), default=zlib.crc32(b" ".join(words)))
         once[mark, toxic] = max(text, once.get((mark, toxic), ""))
     texts = sorted((mark, toxic, text) for (mark, toxic), text in once.items())
     n1 = sum(toxic for _, toxic, _ in texts)
@@ -202,10 +209,6 @@ def learn(rows: list[tuple[str, int]], least: float = 18.0, precise: float = 0.8
     return Model(words, stems, min(-1.0, math.log(n1 / n0)))
 
 
-def hash_of(text: str) -> int:
-    return zlib.crc32(text.encode())
-
-
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = 8_000) -> Model:
     """Learn from at most about ``train_docs`` labelled documents, picked by a hash of the id: that many texts reach the driver.
 
@@ -228,13 +231,7 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text") -> Column:
 
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memory: dict[str, float] = {}
         for series in texts:
-            out = []
-            for value in series:
-                if len(memory) > 500_000:
-                    memory.clear()
-                out.append(shared.value.score(value, memory))
-            yield pd.Series(out, dtype="float64")
+            yield pd.Series([shared.value.score(value) for value in series], dtype="float64")
 
     return scored(F.col(text))

@@ -187,3 +187,15 @@ def round_trip(pages: DataFrame) -> DataFrame:
     folder = run_folder(pages.sparkSession, "warc")
     index = write_archives(pages, folder)
     return payload_facts(read_records(index, folder))
+
+
+SQL = f"""
+WITH sized AS (
+  SELECT page_id, url, sha256(coalesce(html, '')) AS payload_digest, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages
+), first AS (
+  SELECT payload_digest, min(page_id) AS first_id FROM sized WHERE payload_bytes >= {LEAST_SHARED} GROUP BY payload_digest
+)
+SELECT page_id, url, payload_bytes, payload_digest, CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first_id THEN first_id END AS refers_to
+FROM sized LEFT JOIN first USING (payload_digest)
+"""
