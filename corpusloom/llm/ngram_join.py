@@ -18,7 +18,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -91,13 +91,16 @@ def min_hashes(shingles: np.ndarray, hashes: int) -> np.ndarray:
     return (best >> np.uint64(32)).astype(np.uint32)
 
 
+_BAND_BITS = 6
+
+
 def band_keys(signatures: np.ndarray, s: Settings) -> np.ndarray:
-    """A 64-bit key for each band of each signature; bands never share keys except by chance, which verification undoes."""
+    """A 64-bit key for each band of each signature; its last bits are the number of the band."""
     parts = signatures.reshape(len(signatures), s.bands, s.rows).astype(np.uint64)
     key = np.arange(1, s.bands + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
     for i in range(s.rows):
         key = _mixed(key ^ parts[:, :, i]) + key
-    return _mixed(key).view(np.int64)
+    return ((_mixed(key) << np.uint64(_BAND_BITS)) | np.arange(s.bands, dtype=np.uint64)[None, :]).view(np.int64)
 
 
 @lru_cache
@@ -143,7 +146,7 @@ def _signatures(column: pd.Series, s: Settings) -> np.ndarray:
 
 
 def compare_tile(left: pd.DataFrame, right: pd.DataFrame | None, band: int, s: Settings) -> pd.DataFrame:
-    """Counts of links between two blocks (or within one) that share ``band``: ``print, links, root``.
+    """Counts of links between two blocks (or within one) that share ``band``: ``id, links, root``.
 
     A pair counts in the first band that it shares. Overlaps of whole blocks come from products of membership matrices over the
     shingles that at least two sets hold.
@@ -166,7 +169,7 @@ def compare_tile(left: pd.DataFrame, right: pd.DataFrame | None, band: int, s: S
         member = np.zeros((len(rows), 4_096), np.float32)
         member[owner[lo:hi], common[lo:hi] - start] = 1
         overlap += member[:nl] @ member[columns].T
-    copies, prints = rows["copies"].to_numpy(), rows["print"].tolist()
+    copies, ids = rows["copies"].to_numpy(), rows["id"].tolist()
     links, root = np.zeros(len(rows), np.int64), list(range(len(rows)))
 
     def top(i: int) -> int:
@@ -189,10 +192,37 @@ def compare_tile(left: pd.DataFrame, right: pd.DataFrame | None, band: int, s: S
         for j in js:
             a, b = top(i), top(int(j))
             if a != b:
-                a, b = (a, b) if prints[a] < prints[b] else (b, a)
+                a, b = (a, b) if ids[a] < ids[b] else (b, a)
                 root[b] = a
     linked = np.flatnonzero(links)
-    return pd.DataFrame({"print": [prints[i] for i in linked], "links": links[linked], "root": [prints[top(i)] for i in linked]})
+    return pd.DataFrame({"id": [ids[i] for i in linked], "links": links[linked], "root": [ids[top(i)] for i in linked]})
+
+
+def id_filter(ids: DataFrame, most_bits: int = 1 << 26) -> np.ndarray:
+    """A bitmap over hashes of ``_id`` (a long), about eight bits an id and at most ``most_bits``.
+
+    It only saves work: an id that is missing from it is surely not among ``ids``, others have to be joined.
+    """
+    bits = min(most_bits, max(1 << 16, 1 << (8 * ids.count()).bit_length()))
+    place = F.pmod(_spread("_id"), F.lit(bits))
+    words = ids.select(F.floor(place / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 32).cast("int")).alias("b"))
+    out = np.zeros(bits // 32, np.int64)
+    for row in words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas().itertuples(index=False):
+        out[row.w] = row.b
+    return out
+
+
+def _spread(column: str) -> Column:
+    """A hash that numpy can repeat."""
+    x = F.col(column)
+    return x.bitwiseXOR(F.shiftrightunsigned(x, 17)).bitwiseXOR(F.shiftrightunsigned(x, 41))
+
+
+def in_filter(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    x = ids.astype(np.int64).view(np.uint64)
+    x = (x ^ (x >> np.uint64(17)) ^ (x >> np.uint64(41))).view(np.int64)
+    place = np.mod(x, len(words) * 32)
+    return (words[place // 32] >> (place % 32)) & 1 == 1
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -243,7 +273,7 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         for batch in batches:
             if len(batch):
                 keys = band_keys(_signatures(batch["sig"], s), s)
-                yield pd.DataFrame({"print": np.repeat(batch["print"].to_numpy(), s.bands), "band": np.tile(np.arange(s.bands), len(batch)), "key": keys.ravel()})
+                yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), s.bands), "key": keys.ravel()})
 
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -254,7 +284,8 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     def shingles_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memory = _Words()
         for batch in batches:
-            sets = [shingle_set(text, s.words, memory).tobytes() for text in batch["text"]]
+            maybe = batch["text"][in_filter(bitmap.value, batch["_id"].to_numpy())]
+            sets = [shingle_set(text, s.words, memory).tobytes() for text in maybe]
             yield pd.DataFrame({"print": [xxhash.xxh3_128_digest(x) for x in sets], "shingles": sets})
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -265,35 +296,38 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = stored(texts.mapInPandas(sketch, "doc_id long, print binary, sig binary"), folder, "sketches")
     sets = stored(sketches.where("print IS NOT NULL").groupBy("print").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("sig").alias("sig")), folder, "sets")
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("sig").alias("sig")).withColumn("id", F.monotonically_increasing_id()), folder, "sets")
 
-    keyed = sets.select("print", "sig").mapInPandas(bands, "print binary, band int, key long")
+    keyed = sets.select("id", "sig").mapInPandas(bands, "id long, key long")
     crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     meets = stored(keyed.join(crowded, "key"), folder, "meets")
+    band = F.col("key").bitwiseAND((1 << _BAND_BITS) - 1).cast("int")
 
     few = meets.where(F.col("n") <= s.few)
-    left, right = few.select("key", "band", F.col("print").alias("a")), few.select("key", F.col("print").alias("b"))
-    pairs = left.join(right, "key").where("a < b").groupBy("a", "b").agg(F.min("band").alias("band"))
-    signed = (pairs.join(sets.select(F.col("print").alias("a"), F.col("sig").alias("sig_a")), "a")
-                   .join(sets.select(F.col("print").alias("b"), F.col("sig").alias("sig_b")), "b"))
-    likely = stored(signed.select("a", "b", "band", "sig_a", "sig_b").mapInPandas(prune, "a binary, b binary"), folder, "likely")
+    left, right = few.select("key", F.col("id").alias("a")), few.select("key", F.col("id").alias("b"))
+    pairs = left.join(right, "key").where("a < b").groupBy("a", "b").agg(F.min(band).alias("band"))
+    signed = (pairs.join(sets.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
+                   .join(sets.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b"))
+    likely = stored(signed.select("a", "b", "band", "sig_a", "sig_b").mapInPandas(prune, "a long, b long"), folder, "likely")
 
     many = meets.where(F.col("n") > s.few)
-    wanted = likely.select(F.col("a").alias("print")).unionByName(likely.select(F.col("b").alias("print"))).unionByName(many.select("print")).distinct()
-    wanted = stored(wanted.join(sets, "print"), folder, "wanted")
+    wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).unionByName(many.select("id")).distinct()
+    wanted = stored(wanted.join(sets, "id"), folder, "wanted")
     known = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
-    ids = wanted.select(known(F.col("rep")).alias("_id"))
-    own = texts.where("text IS NOT NULL").join(ids, known(F.col("doc_id")) == F.col("_id"), "left_semi")
-    held = stored(own.mapInPandas(shingles_of, "print binary, shingles binary").join(wanted, "print").dropDuplicates(["print"]), folder, "held")
+    # Only texts that may be wanted are cut into shingles again and leave their task.
+    bitmap = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select(known(F.col("rep")).alias("_id"))))
+    again = texts.where("text IS NOT NULL").select(known(F.col("doc_id")).alias("_id"), "text").mapInPandas(shingles_of, "print binary, shingles binary")
+    held = stored(again.join(wanted, "print").dropDuplicates(["id"]), folder, "held")
 
-    side = lambda x: held.select(F.col("print").alias(x), F.col("shingles").alias(f"set_{x}"), F.col("copies").alias(f"copies_{x}"))
+    side = lambda x: held.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}"), F.col("copies").alias(f"copies_{x}"))
     checked = likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "copies_a", "copies_b", "set_a", "set_b")
-    links = stored(checked.mapInPandas(verify, "a binary, b binary, copies_a long, copies_b long"), folder, "links")
+    links = stored(checked.mapInPandas(verify, "a long, b long, copies_a long, copies_b long"), folder, "links")
 
     blocks = F.ceil(F.col("n") / s.tile).cast("int")
-    placed = many.withColumn("block", F.pmod(F.xxhash64("print"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.join(held, "print").select("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                                               "block", "print", "sig", "shingles", "copies")
+    placed = many.withColumn("band", band).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.join(held, "id").select("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                                            "block", "id", "sig", "shingles", "copies")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         i, j, band = (int(rows[c].iloc[0]) for c in ("i", "j", "band"))
@@ -301,18 +335,18 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             return compare_tile(rows.reset_index(drop=True), None, band, s)
         one, other = rows[rows["block"] == i], rows[rows["block"] == j]
         if one.empty or other.empty:
-            return pd.DataFrame({"print": [], "links": [], "root": []})
+            return pd.DataFrame({"id": [], "links": [], "root": []})
         return compare_tile(one.reset_index(drop=True), other.reset_index(drop=True), band, s)
 
-    tiles = stored(placed.groupBy("key", "i", "j").applyInPandas(compare, "print binary, links long, root binary"), folder, "tiles")
+    tiles = stored(placed.groupBy("key", "i", "j").applyInPandas(compare, "id long, links long, root long"), folder, "tiles")
 
-    per = (links.select(F.col("a").alias("print"), F.col("copies_b").alias("links"))
-                .unionByName(links.select(F.col("b").alias("print"), F.col("copies_a").alias("links")))
-                .unionByName(tiles.select("print", "links")).groupBy("print").agg(F.sum("links").alias("links")))
-    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(tiles.select(F.col("print").alias("u"), F.col("root").alias("v")))
-    rooted = components(edges).select(F.col("node").alias("print"), "root").join(sets.select("print", "rep"), "print")
-    classes = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("class_id")), "root").select("print", "class_id")
-    facts = sets.select("print", "rep", "copies").join(per, "print", "left").join(classes, "print", "left").select(
+    per = (links.select(F.col("a").alias("id"), F.col("copies_b").alias("links"))
+                .unionByName(links.select(F.col("b").alias("id"), F.col("copies_a").alias("links")))
+                .unionByName(tiles.select("id", "links")).groupBy("id").agg(F.sum("links").alias("links")))
+    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(tiles.select(F.col("id").alias("u"), F.col("root").alias("v")))
+    rooted = components(edges).select(F.col("node").alias("id"), "root").join(sets.select("id", "rep"), "id")
+    classes = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("class_id")), "root").select("id", "class_id")
+    facts = sets.select("id", "print", "rep", "copies").join(per, "id", "left").join(classes, "id", "left").select(
         "print", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     bare = sketches.where("print IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return sketches.where("print IS NOT NULL").select("doc_id", "print").join(facts, "print").select("doc_id", "class_id", "n_links").unionByName(bare)
@@ -329,3 +363,23 @@ def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     rows = docs.select(known(F.col("doc_id")).alias("_id"), F.xxhash64("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     first = F.row_number().over(W.partitionBy("_id", "_text").orderBy(F.lit(0)))
     return rows.join(kept, "_id", "left_semi").withColumn("_first", first).where("_first = 1").select("row.*")
+
+
+SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingle AS (
+  SELECT DISTINCT r, hash(unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w] ELSE list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) END)) AS s
+  FROM doc
+), size AS (
+  SELECT r, count(*) AS n FROM shingle GROUP BY r
+), link AS (
+  SELECT o.a, o.b FROM (SELECT x.r AS a, y.r AS b, count(*) AS k FROM shingle x JOIN shingle y ON x.s = y.s AND x.r <> y.r GROUP BY ALL) o
+  JOIN size p ON p.r = o.a JOIN size q ON q.r = o.b WHERE k / (p.n + q.n - k) >= 0.8
+), reach AS (
+  SELECT r AS a, r AS b FROM doc UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+)
+SELECT d.doc_id, (SELECT min(e.doc_id) FROM reach JOIN doc e ON e.r = reach.b WHERE reach.a = d.r) AS class_id,
+  (SELECT count(*) FROM link WHERE link.a = d.r) AS n_links
+FROM doc d
+"""

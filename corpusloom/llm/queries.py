@@ -67,4 +67,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_warc, op3_nearest_neighbours, op4_toxicity, op5_language_id, op6_packing,
                                    op7_ngram_join, op8_license_scan, op9_quality_cascade, op10_mixing)}
-SQL = {"op2_warc": warc.SQL, "op10_mixing": mixing.SQL}
+SQL = {"op2_warc": warc.SQL, "op7_ngram_join": ngram_join.SQL, "op10_mixing": mixing.SQL}

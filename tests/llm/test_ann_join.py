@@ -144,8 +144,8 @@ def test_pruning_bounds():
 
 
 def test_components_of_a_path_and_a_star(spark):
-    edges = [(bytes([i]), bytes([i + 1])) for i in range(40)] + [(bytes([100]), bytes([k])) for k in range(101, 160)]
-    got = {bytes(r["node"])[0]: bytes(r["root"])[0] for r in ngram_join.components(spark.createDataFrame(edges, "u BINARY, v BINARY")).collect()}
+    edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)]
+    got = {r["node"]: r["root"] for r in ngram_join.components(spark.createDataFrame(edges, "u LONG, v LONG")).collect()}
     assert got == {i: 0 for i in range(41)} | {k: 100 for k in range(100, 160)}
 
 
@@ -154,7 +154,7 @@ def test_tile_of_one_block_equals_two():
     rng = random.Random(5)
     texts = list(near_copies(rng, [f"w{i}" for i in range(150)], 30, 6))
     sets = [ngram_join.shingle_set(t, 5) for t in texts]
-    frame = pd.DataFrame({"print": [bytes([i]) for i in range(30)], "sig": [ngram_join.min_hashes(x, s.hashes).tobytes() for x in sets],
+    frame = pd.DataFrame({"id": range(30), "sig": [ngram_join.min_hashes(x, s.hashes).tobytes() for x in sets],
                           "shingles": [x.tobytes() for x in sets], "copies": 1})
     total = lambda frames: sum(f["links"].sum() for f in frames)
     one = [ngram_join.compare_tile(frame, None, b, s) for b in range(s.bands)]
@@ -162,3 +162,10 @@ def test_tile_of_one_block_equals_two():
     parts = [f for b in range(s.bands) for f in (ngram_join.compare_tile(halves[0], None, b, s), ngram_join.compare_tile(halves[1], None, b, s), ngram_join.compare_tile(*halves, b, s))]
     want = sum(2 for i in range(30) for j in range(i) if ngram_join.jaccard(sets[i], sets[j]) >= 0.8)
     assert total(one) == total(parts) == want
+
+
+def test_filter_holds_all_ids(spark):
+    ids = [0, -1, 5, 1 << 40, -(1 << 63), *range(1000, 3000, 7)]
+    words = ngram_join.id_filter(spark.createDataFrame([(i,) for i in ids], "_id LONG"))
+    assert ngram_join.in_filter(words, np.array(ids)).all()
+    assert ngram_join.in_filter(words, np.arange(100_000, 200_000)).mean() < 0.2
