@@ -51,8 +51,8 @@ def grouped_page(df: DataFrame, keys: Sequence[str], order: Sequence[Column], li
 
     Shallow pages rank only the leading rows of every map task; deep pages need a ``bucket``.
     """
-    limit = max(1, min(limit, 100))
-    cursor = max(0, cursor)
+    if limit < 1 or cursor < 0:
+        raise ValueError("a page has at least one row and starts at 0 or later")
     last = cursor + limit
     if last <= GROUP_LIMIT or bucket is None:
         ranked = df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))

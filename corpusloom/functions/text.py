@@ -61,10 +61,10 @@ _CODE_SPAN = r"(?<!`)(`+)(?!`).+?(?<!`)\3(?!`)|`+"
 _AUTOLINK = r"<[A-Za-z][A-Za-z0-9+.-]*:[^\s<>]*>"
 _ANCHOR = r"(?:[^\[\]\\`]|\\.|`[^`\n]*`|\[(?:[^\[\]\\`])*+\])*+"
 _TARGET = r"\([ \n]*(?:<[^<>\n]*>|[^\s()<>]*(?:\([^\s()<>]*\)[^\s()<>]*)*+)(?:[ \n]+(?:\"[^\"]*\"|'[^']*'))?[ \n]*\)"
-_LINK = rf"!?\[{_ANCHOR}\]{_TARGET}"
+LINK = rf"!?\[{_ANCHOR}\]{_TARGET}"
 _PLAIN = r"(?:[^\\`<!\[\n]|\n(?! {0,3}(?:```|~~~)|\n(?: {4}|\t)))++"
 MARKDOWN_SCAN = "(?s)" + "|".join(
-    [_BACKTICK_FENCE, _TILDE_FENCE, _INDENTED, _ESCAPE, _CODE_SPAN, _AUTOLINK, _LINK, _PLAIN, "."]
+    [_BACKTICK_FENCE, _TILDE_FENCE, _INDENTED, _ESCAPE, _CODE_SPAN, _AUTOLINK, LINK, _PLAIN, "."]
 )
 LINK_PARTS = rf"(?s)^\[({_ANCHOR})\]\([ \n]*(<[^<>\n]*>|[^\s()<>]*(?:\([^\s()<>]*\)[^\s()<>]*)*+)"
 # Inline markup changes the rendered anchor, so its source span cannot be found again.

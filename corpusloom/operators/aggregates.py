@@ -45,7 +45,7 @@ def change_sets(c: Corpus, status: str | None = None) -> DataFrame:
         sets = sets.where(F.col("status") == status)
     counts = c["change_set_receipts"].groupBy("change_set_uuid").agg(F.count("request_uuid").alias("operation_count"))
     return (sets.join(counts, "change_set_uuid", "left").withColumn("operation_count", F.coalesce("operation_count", F.lit(0)))
-                .withColumnRenamed("change_set_uuid", "change_set_id").orderBy(F.desc("created_at")))
+                .withColumnRenamed("change_set_uuid", "change_set_id"))
 
 
 def receipts(c: Corpus, change_set_ids: DataFrame | None = None) -> DataFrame:

@@ -123,10 +123,10 @@ def frontier_conflicts(b: Branch) -> DataFrame:
 
 
 def objects(b: Branch, limit: int | None = None) -> DataFrame:
-    """Objects with their scoped aliases and frontier, oldest first."""
-    listed = b["semantic_objects"].select("object_uuid", "object_kind", "created_at").orderBy("created_at", "object_uuid")
+    """Objects with their scoped aliases and frontier; all, or the ``limit`` oldest."""
+    listed = b["semantic_objects"].select("object_uuid", "object_kind", "created_at")
     if limit is not None:
-        listed = listed.limit(max(1, min(limit, 1000)))
+        listed = listed.orderBy("created_at", "object_uuid").limit(limit)
     alias = F.struct("scope_replica_uuid", F.col("alias_text").alias("alias"))
     aliases = b["object_alias_assertions"].groupBy("object_uuid").agg(F.array_sort(F.collect_set(alias)).alias("aliases"))
     tip = F.struct("revision_uuid", "title", "description", "created_at")
@@ -190,19 +190,19 @@ def compare_report(a: Corpus, b: Corpus, cap: int = 200) -> DataFrame:
     return rows.orderBy("pointer").limit(cap).withColumn("candidate_count", total)
 
 
-def lineage(c: Corpus, limit: int = 50) -> DataFrame:
-    """Newest workstreams and materializations: (kind, id, snapshot_id, created_at)."""
+def lineage(c: Corpus, limit: int | None = None) -> DataFrame:
+    """Workstreams and materializations (kind, id, snapshot_id, created_at), or the ``limit`` newest of each kind."""
     streams = c["corpus_workstreams"].select(F.lit("workstream").alias("kind"), F.col("workstream_id").alias("id"),
                                              F.col("base_snapshot_id").alias("snapshot_id"), "created_at", "mutation_count")
     made = c["materializations"].select(F.lit("materialization").alias("kind"), F.col("materialization_id").alias("id"), "snapshot_id",
                                         "created_at", F.lit(None).cast("bigint").alias("mutation_count"))
-    newest = lambda df: df.orderBy(F.desc("created_at")).limit(limit)
+    newest = lambda df: df if limit is None else df.orderBy(F.desc("created_at"), "id").limit(limit)
     return newest(streams).unionByName(newest(made))
 
 
-def common_base(a: Corpus, b: Corpus, limit: int = 50) -> DataFrame:
-    """The greatest base snapshot shared by the newest workstreams of both corpora; null if none."""
-    bases = lambda c: c["corpus_workstreams"].orderBy(F.desc("created_at")).limit(limit).select("base_snapshot_id")
+def common_base(a: Corpus, b: Corpus) -> DataFrame:
+    """The greatest base snapshot shared by workstreams of both corpora; null if none."""
+    bases = lambda c: c["corpus_workstreams"].select("base_snapshot_id")
     return bases(a).join(bases(b), "base_snapshot_id", "left_semi").agg(F.max("base_snapshot_id").alias("common_base_snapshot_id"))
 
 

@@ -10,6 +10,7 @@ import hashlib
 import json
 import uuid
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,9 +34,10 @@ OPERATION = flat_schema(
 CREATING = ("node.create", "node.stage", "tag.create", "graph.create", "sentinel.create")
 TEXT_CHANGING = ("node.update", "traversal.embed")
 SUPPORTED = (*CREATING, *TEXT_CHANGING, "node.revert", "node.promote", "triple.add", "tag.assign")
-# Revisions of one node form a hash chain, so one node's operations are taken one after another.
-# A batch may hold any number of nodes, but at most this many operations on one of them.
-MAX_PER_NODE = 50
+# Revisions of one node form a hash chain, so one node's operations are taken one after another: so many at a
+# time, with the node's state carried from each chunk to the next. A node may have any number of them.
+CHUNK = 500
+ISSUE_SPREAD = 50_000
 ORDINAL_BUCKET = 100_000
 
 
@@ -104,10 +106,11 @@ def _histories(c: Corpus, ops: DataFrame, at: str) -> DataFrame:
     texts = ops.where(F.col("operation").isin(*kinds))
     fields = ["index", "operation", "title", "description", "expected_revision_uuid", "reason", "notation", "read", "graph_key",
               "pointer_prefix", "scope", "tracking_note", "request_uuid"]
-    stacked = texts.groupBy("pointer").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("ops"))
-    current = current_nodes(c).select("pointer", *_STATE)
-    # A batch touches few nodes: a semi-join prunes the corpus before its texts are read.
-    before = stacked.join(current, "pointer", "left").withColumn("uuid", ids.uuid5_col(c.namespace, F.col("pointer")))
+    numbered = grouped_rank(texts.select("pointer", *fields), ["pointer"], [F.col("index")], F.floor(F.col("index") / ORDINAL_BUCKET), "_nth")
+    numbered = checkpointed(numbered.withColumn("_chunk", F.floor((F.col("_nth") - 1) / CHUNK)).drop("_nth"))
+    # Identities are pruned to the batch's nodes before any text of the corpus is read.
+    touched = c.with_tables(node_identity=c["node_identity"].join(numbered.select("pointer").distinct(), "pointer", "left_semi"))
+    state = current_nodes(touched).select("pointer", *_STATE)
     outcome = ("struct<index:bigint,operation:string,code:string,title:string,description:string,revision_uuid:string,"
                "previous_revision_uuid:string,created_at:string,lifecycle_state:string,reason:string,graph_key:string,"
                "pointer_prefix:string,scope:string,tracking_note:string,request_uuid:string>")
@@ -148,11 +151,17 @@ def _histories(c: Corpus, ops: DataFrame, at: str) -> DataFrame:
             F.when(moved, lifecycle).otherwise(acc["lifecycle_state"]).alias("lifecycle_state"),
             F.array_append(acc["out"], row.cast(outcome)).alias("out"))
 
-    bounded = before.where(F.size("ops") <= MAX_PER_NODE)
-    rows = bounded.select("uuid", "pointer", F.explode(F.aggregate("ops", start, step)["out"]).alias("o")).select("uuid", "pointer", "o.*")
-    crowded = before.where(F.size("ops") > MAX_PER_NODE).select(
-        "uuid", "pointer", F.col("ops")[0]["index"].alias("index"), F.lit("too_many_operations_on_node").alias("code"))
-    return rows.unionByName(crowded, allowMissingColumns=True)
+    last = numbered.agg(F.max("_chunk")).first()[0] or 0
+    rows = None
+    for chunk in range(last + 1):
+        stacked = numbered.where(F.col("_chunk") == chunk).groupBy("pointer").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("ops"))
+        before = stacked.join(state, "pointer", "left").withColumn("uuid", ids.uuid5_col(c.namespace, F.col("pointer")))
+        folded = before.select("uuid", "pointer", F.aggregate("ops", start, step).alias("s"))
+        folded = folded if last == 0 else checkpointed(folded)
+        state = folded.select("pointer", *[F.col(f"s.{f}").alias(f) for f in _STATE])
+        done = folded.select("uuid", "pointer", F.explode("s.out").alias("o")).select("uuid", "pointer", "o.*")
+        rows = done if rows is None else rows.unionByName(done)
+    return rows
 
 
 def _known_from(c: Corpus, history: DataFrame) -> DataFrame:
@@ -176,12 +185,19 @@ def _link_findings(c: Corpus, history: DataFrame, known: DataFrame) -> DataFrame
                                           "link_index", "index", "node_uuid", "lifecycle_state"))
 
 
-def plan_changes(c: Corpus, ops: DataFrame, at: str = "2000-01-01 00:00:00", kinds: set[str] | None = None) -> Changes:
-    """Deltas and rejections of a batch. ``at`` dates it; the index supplies distinct nanoseconds.
+def next_moment(head: Head | None) -> str:
+    """The time of the batch that follows a head: each head has a second of its own."""
+    return f"{datetime(2000, 1, 1) + timedelta(seconds=head.sequence if head else 0):%Y-%m-%d %H:%M:%S}"
+
+
+def plan_changes(c: Corpus, ops: DataFrame, at: str | None = None, kinds: set[str] | None = None) -> Changes:
+    """Deltas and rejections of a batch. ``at`` dates it, by default a second after the batch before it; the index
+    supplies distinct nanoseconds, so a batch of fewer than a thousand million operations ends before the next begins.
 
     ``kinds`` names the operations the batch may hold, if known; steps no such operation needs are
     then planned over empty tables, which the optimizer removes.
     """
+    at = at or next_moment(c.head)
     ops = _default_graph(operations(ops))
     none = c.spark.createDataFrame([], OPERATION)
     kinds = kinds or set(SUPPORTED)
@@ -265,7 +281,7 @@ def plan_changes(c: Corpus, ops: DataFrame, at: str = "2000-01-01 00:00:00", kin
     ).join(blocked, "node_uuid", "left").withColumn("status", status)
     requeued = c["staging_queue"].drop("status").join(staged_now.select(F.col("uuid").alias("node_uuid")), "node_uuid", "left_semi").join(
         blocked, "node_uuid", "left").withColumn("status", status)
-    issue_time = ids.ns_time(F.lit(at).cast("timestamp"), F.col("index") * MAX_PER_NODE * 1000 + F.col("link_index") + 1)
+    issue_time = ids.ns_time(F.lit(at).cast("timestamp"), F.col("index") * ISSUE_SPREAD + F.col("link_index") + 1)
     issues = open_issues.withColumn("created_at", issue_time).select(
         ids.derived_uuid_col(c.namespace, "staging-issue", F.col("node_uuid"), F.col("source_revision_uuid"), F.col("link_index"), F.col("created_at"), F.col("code")).alias("issue_uuid"),
         "node_uuid", F.col("code").alias("issue_code"), ids.canonical_json(code=F.col("code"), pointer=F.col("target_pointer")).alias("details_json"),
@@ -377,51 +393,51 @@ def _of_kind(c: Corpus, df: DataFrame, operation: str, at: str) -> Changes:
     return plan_changes(c, df.withColumn("operation", F.lit(operation)), at, {operation})
 
 
-def create_nodes(c: Corpus, df: DataFrame, at: str = "2000-01-01 00:00:00") -> Changes:
+def create_nodes(c: Corpus, df: DataFrame, at: str | None = None) -> Changes:
     return _of_kind(c, df, "node.create", at)
 
 
-def revise_nodes(c: Corpus, df: DataFrame, at: str = "2000-01-01 00:00:00") -> Changes:
+def revise_nodes(c: Corpus, df: DataFrame, at: str | None = None) -> Changes:
     return _of_kind(c, df, "node.update", at)
 
 
-def revert_nodes(c: Corpus, df: DataFrame, at: str = "2000-01-01 00:00:00") -> Changes:
+def revert_nodes(c: Corpus, df: DataFrame, at: str | None = None) -> Changes:
     return _of_kind(c, df, "node.revert", at)
 
 
-def stage_nodes(c: Corpus, df: DataFrame, at: str = "2000-01-01 00:00:00") -> Changes:
+def stage_nodes(c: Corpus, df: DataFrame, at: str | None = None) -> Changes:
     return _of_kind(c, df, "node.stage", at)
 
 
-def promote_nodes(c: Corpus, df: DataFrame, at: str = "2000-01-01 00:00:00") -> Changes:
+def promote_nodes(c: Corpus, df: DataFrame, at: str | None = None) -> Changes:
     return _of_kind(c, df, "node.promote", at)
 
 
-def embed_traversals(c: Corpus, df: DataFrame, at: str = "2000-01-01 00:00:00") -> Changes:
+def embed_traversals(c: Corpus, df: DataFrame, at: str | None = None) -> Changes:
     return _of_kind(c, df, "traversal.embed", at)
 
 
-def add_triples(c: Corpus, df: DataFrame, at: str = "2000-01-01 00:00:00") -> Changes:
+def add_triples(c: Corpus, df: DataFrame, at: str | None = None) -> Changes:
     return _of_kind(c, df, "triple.add", at)
 
 
-def create_tags(c: Corpus, df: DataFrame, at: str = "2000-01-01 00:00:00") -> Changes:
+def create_tags(c: Corpus, df: DataFrame, at: str | None = None) -> Changes:
     return _of_kind(c, df, "tag.create", at)
 
 
-def assign_tags(c: Corpus, df: DataFrame, at: str = "2000-01-01 00:00:00") -> Changes:
+def assign_tags(c: Corpus, df: DataFrame, at: str | None = None) -> Changes:
     return _of_kind(c, df, "tag.assign", at)
 
 
-def create_graphs(c: Corpus, df: DataFrame, at: str = "2000-01-01 00:00:00") -> Changes:
+def create_graphs(c: Corpus, df: DataFrame, at: str | None = None) -> Changes:
     return _of_kind(c, df, "graph.create", at)
 
 
-def create_sentinels(c: Corpus, df: DataFrame, at: str = "2000-01-01 00:00:00") -> Changes:
+def create_sentinels(c: Corpus, df: DataFrame, at: str | None = None) -> Changes:
     return _of_kind(c, df, "sentinel.create", at)
 
 
-def preflight(c: Corpus, ops: DataFrame, at: str = "2000-01-01 00:00:00") -> DataFrame:
+def preflight(c: Corpus, ops: DataFrame, at: str | None = None) -> DataFrame:
     """Rejections a batch would meet; writes nothing."""
     return plan_changes(c, ops, at).rejections
 

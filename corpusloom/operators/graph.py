@@ -97,13 +97,14 @@ def context_packs(c: Corpus, roots: DataFrame, max_nodes: int = 20, max_chars: i
     ``2 * max_nodes + 1`` matter: at most ``max_nodes`` can already be in the pack and the walk
     ends within the next ``max_nodes``, so the walk and its ``truncated`` flag stay exact.
     """
-    max_nodes, max_chars = max(1, min(max_nodes, 50)), max(1000, min(max_chars, 100_000))
+    if max_nodes < 1 or max_chars < 1:
+        raise ValueError("a pack holds at least one node and one character")
     record = canonical_json(pointer=F.col("pointer"), title=F.col("title"), description=F.col("description"),
                             revision_uuid=F.col("revision_uuid"))
     costs = current_nodes(c).select("uuid", "pointer", F.length(record).cast("long").alias("cost"))
     reach = 2 * max_nodes + 1
     nearest = context_edges(c, include_triples).withColumn(
-        "nth", F.row_number().over(W.partitionBy("source").orderBy("first"))).where(F.col("nth") <= reach)
+        "nth", F.row_number().over(W.partitionBy("source").orderBy("first", "target"))).where(F.col("nth") <= reach)
     edges = checkpointed(nearest.drop("nth"))
     costs = checkpointed(costs)
 
@@ -124,10 +125,10 @@ def context_packs(c: Corpus, roots: DataFrame, max_nodes: int = 20, max_chars: i
         tail = queue.groupBy("root").agg(F.max("requeued").alias("last_entry"))
         size = members.groupBy("root").agg(F.count(F.lit(1)).alias("taken"), F.max("chars").alias("spent"))
         # At most max_nodes * reach candidates per root; the group limit keeps max_nodes + 1 of them.
-        nth = F.row_number().over(W.partitionBy("root").orderBy("at"))
+        nth = F.row_number().over(W.partitionBy("root").orderBy("at", "target"))
         ahead = fresh.withColumn("nth", nth).where(F.col("nth") <= max_nodes + 1)
         priced = ahead.join(costs.withColumnRenamed("uuid", "target"), "target").join(size, "root")
-        running = W.partitionBy("root").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+        running = W.partitionBy("root").orderBy("at", "target").rowsBetween(W.unboundedPreceding, 0)
         priced = priced.withColumn("chars", F.col("spent") + F.sum("cost").over(running))
         fits = F.col("chars") <= max_chars
         priced = priced.withColumn("position", F.col("taken") + F.col("nth"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.corpus import Corpus
 from corpusloom.functions import text
+from corpusloom.functions.durable import checkpointed
 from corpusloom.functions.ordered import grouped_page
 from corpusloom.operators.views import current_nodes
 
@@ -91,28 +92,33 @@ def _unit_hits(units: DataFrame, index: SearchIndex) -> DataFrame:
     return hits.unionByName(starts.groupBy("query_id", "unit", "uuid").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def search(index: SearchIndex, queries: DataFrame, limit: int = 20, cursor: int = 0) -> DataFrame:
-    """Nodes holding every unit of each query, best rank first, then pointer; one page per query.
+def matches(index: SearchIndex, queries: DataFrame) -> DataFrame:
+    """All nodes holding every unit of each query: (query_id, uuid, pointer, title, rank), a smaller rank being better.
 
-    ``rank`` follows the convention that smaller is better. Postings are filtered by the queries'
-    terms before anything is grouped; a very common term only widens one join.
+    Nodes that lack a unit are dropped before anything is scored. Postings are filtered by the queries' terms before
+    anything is grouped; a very common term only widens one join.
     """
     units = query_units(queries)
     counts = units.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_units"), F.min("n_words").alias("least"))
-    hits = _unit_hits(units, index)
+    hits = checkpointed(_unit_hits(units, index))
     stats = index.docs.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
     n_docs, avg_length = stats.select(F.col("n")).scalar(), stats.select(F.col("avg_length")).scalar()
     df = hits.groupBy("query_id", "unit").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
     weights = df.withColumn("idf", idf).select("query_id", "unit", "idf")
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / avg_length)
-    scored = (hits.join(weights, ["query_id", "unit"]).join(index.docs, "uuid")
-                  .withColumn("part", F.col("idf") * F.col("tf") * (K1 + 1) / norm))
-    matched = scored.groupBy("query_id", "uuid", "pointer", "title").agg(
-        F.count(F.lit(1)).alias("matched"), (-F.sum("part")).alias("rank"))
-    complete = matched.join(counts, "query_id").where((F.col("matched") == F.col("n_units")) & (F.col("least") > 0))
-    rows = complete.select("query_id", "uuid", "pointer", "title", F.round("rank", 6).alias("rank"))
-    return grouped_page(rows, ["query_id"], [F.col("rank"), F.col("pointer")], limit, cursor)
+    # one row per query and node: its units' counts side by side
+    whole = hits.join(weights, ["query_id", "unit"]).groupBy("query_id", "uuid").agg(
+        F.count(F.lit(1)).alias("matched"), F.collect_list(F.struct("tf", "idf")).alias("units")).join(counts, "query_id")
+    whole = whole.where((F.col("matched") == F.col("n_units")) & (F.col("least") > 0)).select("query_id", "uuid", F.explode("units").alias("u"))
+    scored = (whole.select("query_id", "uuid", "u.*").join(index.docs, "uuid")
+                   .withColumn("part", F.col("idf") * F.col("tf") * (K1 + 1) / norm))
+    return scored.groupBy("query_id", "uuid", "pointer", "title").agg(F.round(-F.sum("part"), 6).alias("rank"))
+
+
+def search(index: SearchIndex, queries: DataFrame, limit: int = 20, cursor: int = 0) -> DataFrame:
+    """The matches of each query, best rank first, then pointer; one page per query."""
+    return grouped_page(matches(index, queries), ["query_id"], [F.col("rank"), F.col("pointer")], limit, cursor)
 
 
 def snippets(hits: DataFrame, nodes: DataFrame, queries: DataFrame, size: int = 18) -> DataFrame:
@@ -162,7 +168,7 @@ def lane_of(title: Column, description: Column, kinds: dict[str, str]) -> Column
 
 
 def search_lanes(hits: DataFrame, nodes: DataFrame, kinds: dict[str, str], limit: int = 20) -> DataFrame:
-    """Hits ranked within lanes instead of in one list."""
+    """Hits, usually all :func:`matches`, ranked within lanes instead of in one list."""
     rows = hits.join(nodes.select("uuid", "description"), "uuid")
     rows = rows.withColumn("lane", lane_of(F.col("title"), F.col("description"), kinds)).drop("description")
     ranked = rows.withColumn("lane_rank", F.row_number().over(

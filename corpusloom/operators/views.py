@@ -70,14 +70,14 @@ def node_history(c: Corpus, pointers: DataFrame | None = None, limit: int = 100,
     if pointers is not None:
         identity = identity.join(pointers.select("pointer").distinct(), "pointer", "left_semi")
     rows = c["node_revision"].join(identity, "node_uuid")
-    return grouped_page(rows, ["pointer"], [F.col("created_at").desc()], limit, cursor)
+    return grouped_page(rows, ["pointer"], [F.col("created_at").desc(), F.col("revision_uuid")], limit, cursor)
 
 
 def as_of(c: Corpus, moment: str) -> DataFrame:
     """Each node's text at a past moment; nodes that had no revision yet are absent."""
     past = c["node_revision"].where(F.col("created_at") <= moment)
     latest = past.groupBy("node_uuid").agg(
-        F.max_by(F.struct("revision_uuid", "title", "description", "created_at"), "created_at").alias("r"))
+        F.max_by(F.struct("revision_uuid", "title", "description", "created_at"), F.struct("created_at", "revision_uuid")).alias("r"))
     return latest.join(c["node_identity"].select(F.col("uuid").alias("node_uuid"), "pointer"), "node_uuid").select(
         "pointer", "node_uuid", "r.*")
 
@@ -87,7 +87,7 @@ def sentinels(c: Corpus, active_only: bool = True) -> DataFrame:
     if active_only:
         guidance = guidance.where("active")
     return current_nodes(c).join(guidance, "uuid").select(
-        "pointer", "title", "description", "revision_uuid", "scope", "active", "guided_at").orderBy("guided_at", "pointer")
+        "pointer", "title", "description", "revision_uuid", "scope", "active", "guided_at")
 
 
 def resolve(df: DataFrame, c: Corpus, column: str = "pointer") -> DataFrame:
@@ -100,12 +100,12 @@ def reserved_pointers(c: Corpus, graph_keys: tuple[str, ...] = SYSTEM_GRAPH_KEYS
     graphs = c["graphs"].where(F.col("graph_key").isin(*graph_keys)).select("graph_uuid", "graph_key")
     identity = c["node_identity"].select(F.col("uuid").alias("node_uuid"), "pointer")
     return (c["graph_membership"].join(graphs, "graph_uuid").join(identity, "node_uuid")
-            .select("graph_key", "ordinal", "pointer").orderBy("graph_key", "ordinal"))
+            .select("graph_key", "ordinal", "pointer"))
 
 
 def open_change_sets(c: Corpus) -> DataFrame:
     return c["change_sets"].where("status = 'open'").select(
-        F.col("change_set_uuid").alias("change_set_id"), "title", "intent", "created_at").orderBy("created_at")
+        F.col("change_set_uuid").alias("change_set_id"), "title", "intent", "created_at")
 
 
 # ---- link destinations ------------------------------------------------------------

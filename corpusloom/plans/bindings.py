@@ -184,8 +184,8 @@ def corpus(spark: SparkSession, sf: str) -> Corpus:
 
 
 def indexed_nodes(c: Corpus) -> DataFrame:
-    """What the search index covers: promoted nodes other than users."""
-    return searchable(c).where("NOT pointer RLIKE '^U[0-9]'")
+    """What the search index covers: all promoted nodes."""
+    return searchable(c)
 
 
 def search_index(c: Corpus) -> SearchIndex:

@@ -11,7 +11,7 @@ from corpusloom.functions.text import ReferenceProfile
 from corpusloom.operators import aggregates, fingerprints, graph, references, search, views
 from corpusloom.plans import bindings as b
 from corpusloom.plans.registry import query
-from corpusloom.plans.sqltwins import node_id, search_ctes, state_id, uuid5, with_ctes
+from corpusloom.plans.sqltwins import node_id, search_ctes, uuid5, with_ctes
 from corpusloom.sources import nodetext
 
 
@@ -26,18 +26,16 @@ _LINE = ("'- pgx: || '||{p}||' || '||{t}||' || '||{d}||' || '||{c}||' ||'").form
 
 
 @query("s2_export_lines", with_ctes("member cur", f"""SELECT m.graph_key, m.ordinal, {_LINE} AS line
-    FROM member m JOIN node n USING (pointer) WHERE m.graph_key != 'users'"""))
+    FROM member m JOIN cur n USING (pointer)"""))
 def export_lines(spark: SparkSession, sf: str) -> DataFrame:
-    keys = [k for k, _, _ in b.GRAPHS if k != "users"]
-    return nodetext.graph_lines(b.corpus(spark, sf), keys)
+    return nodetext.graph_lines(b.corpus(spark, sf), [k for k, _, _ in b.GRAPHS])
 
 
-@query("s1_scan_lines", with_ctes("node", r"""SELECT pointer, title, trim(regexp_replace(description, '^\s+|\s+$', '', 'g')) AS description,
-    created_at AS data_one FROM node WHERE lifecycle='promoted' AND kind IN ('order','part','document')"""))
+@query("s1_scan_lines", with_ctes("cur", r"""SELECT pointer, title, trim(regexp_replace(description, '^\s+|\s+$', '', 'g')) AS description,
+    created_at AS data_one FROM cur WHERE lifecycle='promoted'"""))
 def scan_lines(spark: SparkSession, sf: str) -> DataFrame:
-    lines = nodetext.graph_lines(b.corpus(spark, sf), ["orders", "parts", "documents"])
-    read = nodetext.parse_lines(lines, "line").where("reject IS NULL").select("parsed.*")
-    return read.where(~F.col("pointer").endswith(".decl"))
+    lines = nodetext.graph_lines(b.corpus(spark, sf), [k for k, _, _ in b.GRAPHS])
+    return nodetext.parse_lines(lines, "line").where("reject IS NULL").select("parsed.*")
 
 
 # ---- views ------------------------------------------------------------------------
@@ -46,15 +44,15 @@ def current(spark: SparkSession, sf: str) -> DataFrame:
     return views.current_nodes(b.corpus(spark, sf)).select("pointer", "title", "data_one", "lifecycle_state")
 
 
-_TEXT_VIEW = "SELECT pointer, title, description, created_at AS data_one FROM node WHERE lifecycle='{}'"
+_TEXT_VIEW = "SELECT pointer, title, description, created_at AS data_one FROM cur WHERE lifecycle='{}'"
 
 
-@query("v2_promoted_nodes", with_ctes("node", _TEXT_VIEW.format("promoted")))
+@query("v2_promoted_nodes", with_ctes("cur", _TEXT_VIEW.format("promoted")))
 def promoted(spark: SparkSession, sf: str) -> DataFrame:
-    return views.nodes(b.corpus(spark, sf)).where("NOT pointer RLIKE '^U[0-9]'").select("pointer", "title", "description", "data_one")
+    return views.nodes(b.corpus(spark, sf)).select("pointer", "title", "description", "data_one")
 
 
-@query("v2_staged_nodes", with_ctes("node", _TEXT_VIEW.format("staged")))
+@query("v2_staged_nodes", with_ctes("cur", _TEXT_VIEW.format("staged")))
 def staged(spark: SparkSession, sf: str) -> DataFrame:
     return views.staging_nodes(b.corpus(spark, sf)).select("pointer", "title", "description", "data_one")
 
@@ -170,10 +168,30 @@ def corpus_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.fingerprint_parts(b.corpus(spark, sf))
 
 
-@query("h6_snapshot_chain", f"SELECT {state_id('event_id')} AS snapshot_uuid, 'snapshot_uuid_mismatch' AS code FROM events WHERE event_id > 0")
+_ROOT = uuid5(b.CORPUS_ID, "('chain:'||user_id)")
+
+
+@query("h6_snapshot_chain", f"""SELECT {uuid5(b.CORPUS_ID, "('snapshot:'||parent||':'||sequence||':'||digest||':'||event_id)")} AS snapshot_uuid, code FROM (
+    SELECT event_id, CASE WHEN event_type='view' AND value < 20 THEN 'nowhere' ELSE {_ROOT} END AS parent, CASE WHEN event_type='signup' THEN 3 ELSE 1 END AS sequence,
+      sha256(props) AS digest, unnest(CASE event_type WHEN 'error' THEN ['snapshot_uuid_mismatch'] WHEN 'signup' THEN ['sequence_gap'] WHEN 'view' THEN CASE WHEN value < 20 THEN ['parent_missing'] END END) AS code FROM events)""")
 def chain_findings(spark: SparkSession, sf: str) -> DataFrame:
-    """The benchmark's snapshots are numbered from events, so each one fails the derivation and none the order."""
-    return fingerprints.verify_snapshot_chain(b.corpus(spark, sf)["semantic_snapshots"])
+    """Each event a snapshot on its user's root, its UUID truly derived.
+
+    Errors had their digest changed afterwards, sign-ups skip numbers, and views of little value name a parent that is gone.
+    """
+    events = b.table(spark, sf, "events")
+    root = ids.uuid5_of(F.lit(b.CORPUS_ID), F.concat(F.lit("chain:"), F.col("user_id").cast("string")))
+    gone = (F.col("event_type") == "view") & (F.col("value") < 20)
+    sequence = F.when(F.col("event_type") == "signup", 3).otherwise(1).cast("long")
+    rows = events.select(F.when(gone, "nowhere").otherwise(root).alias("parent_snapshot_uuid"), F.lit(b.CORPUS_ID).alias("corpus_id"), sequence.alias("database_sequence"),
+                         F.sha2("props", 256).alias("digest"), F.col("event_id").cast("string").alias("request_uuid"), "event_type")
+    name = F.concat_ws(":", F.lit("snapshot"), "parent_snapshot_uuid", F.col("database_sequence").cast("string"), "digest", "request_uuid")
+    rows = rows.withColumn("snapshot_uuid", ids.uuid5_of(F.lit(b.CORPUS_ID), name)).withColumn(
+        "transition_digest", F.when(F.col("event_type") == "error", F.sha2("digest", 256)).otherwise(F.col("digest")))
+    roots = events.select(root.alias("snapshot_uuid")).distinct().select(
+        F.lit(None).cast("string").alias("parent_snapshot_uuid"), F.lit(b.CORPUS_ID).alias("corpus_id"), F.lit(0).cast("long").alias("database_sequence"),
+        F.lit("").alias("transition_digest"), F.lit("").alias("request_uuid"), "snapshot_uuid")
+    return fingerprints.verify_snapshot_chain(rows.drop("digest", "event_type").unionByName(roots))
 
 
 # ---- links ------------------------------------------------------------------------
@@ -356,13 +374,12 @@ _LANE = "CASE WHEN pointer LIKE 'O%' AND pointer NOT LIKE '%.decl' THEN 'travers
 
 
 @query("f6_search_lanes", with_ctes("tok", f"""SELECT query_id, pointer, lane, lane_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lane ORDER BY rank, pointer) AS lane_rank
-    FROM (SELECT *, {_LANE} AS lane FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, pointer) AS pos FROM res) WHERE pos <= 100)) WHERE lane_rank <= 20""",
+    FROM (SELECT *, {_LANE} AS lane FROM res)) WHERE lane_rank <= 20""",
     search_ctes("SELECT n_name AS query_id, n_name AS query FROM nation")))
 def lanes(spark: SparkSession, sf: str) -> DataFrame:
     index, nodes = _index(spark, sf)
     queries = b.table(spark, sf, "nation").select(F.col("n_name").alias("query_id"), F.col("n_name").alias("query"))
-    hits = search.search(index, queries, limit=100)
-    rows = search.search_lanes(hits, nodes, {"Supplier#": "source", "Customer#": "lexical"})
+    rows = search.search_lanes(search.matches(index, queries), nodes, {"Supplier#": "source", "Customer#": "lexical"})
     return rows.select("query_id", "pointer", "lane", F.col("lane_rank").cast("long").alias("lane_rank"))
 
 

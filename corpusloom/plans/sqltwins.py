@@ -66,13 +66,13 @@ CTES = {
         CASE WHEN o_orderstatus='P' THEN 'staged' ELSE 'promoted' END,o_orderkey+1 FROM otext
       UNION ALL SELECT 'document','documents','D'||doc_id,'Document '||doc_id,text,{_at('1992-01-06', 'doc_id')},'promoted',doc_id+1 FROM documents""",
     # Events as revisions of user nodes.
-    "urev": f"""SELECT 'U'||user_id AS pointer, event_id, event_type AS title, {MICROS} AS created_at,
+    "urev": f"""SELECT 'U'||user_id AS pointer, event_id, event_type AS title, 'value='||value||' props='||props AS description, {MICROS} AS created_at,
         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth, count(*) OVER (PARTITION BY user_id) AS total,
         first_value(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS first_event, user_id FROM events""",
     "ident": f"""SELECT pointer, created_at, lifecycle FROM node
       UNION ALL SELECT DISTINCT 'U'||user_id, '1992-01-07T00:00:00.'||lpad(user_id::VARCHAR,9,'0')||'Z', 'promoted' FROM events""",
     "cur": """SELECT pointer, title, description, created_at, lifecycle, kind FROM node
-      UNION ALL SELECT pointer, title, NULL, '1992-01-07T00:00:00.'||lpad(user_id::VARCHAR,9,'0')||'Z', 'promoted', 'user' FROM urev WHERE nth=total""",
+      UNION ALL SELECT pointer, title, description, '1992-01-07T00:00:00.'||lpad(user_id::VARCHAR,9,'0')||'Z', 'promoted', 'user' FROM urev WHERE nth=total""",
     "member": """SELECT graph_key, pointer, ordinal FROM node WHERE lifecycle='promoted'
       UNION ALL SELECT DISTINCT 'users', 'U'||user_id, user_id+1 FROM events""",
     # Every claimed link with the error it has, and where it stands in its text.
@@ -108,7 +108,7 @@ CTES = {
           list_transform({WORDS.format('pointer')}, lambda x, i: {{'pos': i, 'term': x, 'base': 0}}),
           list_transform({WORDS.format('title')}, lambda x, i: {{'pos': i, 'term': x, 'base': 4294967296}})),
           list_transform({WORDS.format('description')}, lambda x, i: {{'pos': i, 'term': x, 'base': 8589934592}}))) AS u
-        FROM cur WHERE lifecycle='promoted' AND kind != 'user')""",
+        FROM cur WHERE lifecycle='promoted')""",
     "dv": """SELECT DISTINCT * FROM (SELECT 'lang:'||lang AS view, 'D'||doc_id AS member FROM documents
       UNION ALL SELECT 'source:'||source, 'D'||doc_id FROM documents
       UNION ALL SELECT 'long', 'D'||doc_id FROM documents WHERE n_chars > 2000

@@ -24,9 +24,13 @@ def hashed_requests(df: DataFrame) -> DataFrame:
     return df.withColumn("input_hash", ids.input_hash(F.col("tool"), canonical, F.col("change_set_id")))
 
 
+def is_bad() -> Column:
+    """Whether a parsed line holds no request."""
+    return F.col("_corrupt").isNotNull() | F.col("request_id").isNull() | F.col("tool").isNull()
+
+
 def split_bad(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    bad: Column = F.col("_corrupt").isNotNull() | F.col("request_id").isNull() | F.col("tool").isNull()
-    return df.where(~bad), df.where(bad)
+    return df.where(~is_bad()), df.where(is_bad())
 
 
 def read_oplog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,30 +16,28 @@ from corpusloom.functions.durable import checkpointed
 from corpusloom.functions.ordered import grouped_rank
 from corpusloom.operators.changes import SUPPORTED, Changes, dedupe_requests, ledger_rows, next_head, plan_changes
 from corpusloom.schema import CORPUS_TABLES
-from corpusloom.sources.oplog import REQUEST, as_operations, hashed_requests, split_bad
+from corpusloom.sources.oplog import REQUEST, as_operations, hashed_requests, is_bad
 from corpusloom.sources.snapshots import _latest, commit_changes, read_corpus
 
 
-def oplog_stream(spark: SparkSession, path: str, watermark: str = "1 day") -> DataFrame:
-    """New requests of a log folder, exact resends within the watermark dropped.
+def oplog_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of a log folder as it comes: its request, and the ``line`` itself where it holds none.
 
-    Requests without a time take that of their file. The input hash is part of the key, so a reused
-    id with other input stays visible.
+    Requests without a time take that of their file. However late a request is, it is passed on: resends are known by the
+    ledger, not by their time.
     """
     lines = spark.readStream.format("text").load(path)
-    parsed = lines.select(F.from_json("value", REQUEST, {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"),
-                          F.col("_metadata.file_modification_time").alias("modified")).select("r.*", "modified")
-    good, _ = split_bad(parsed)
-    requests = hashed_requests(good.drop("_corrupt").withColumn("ts", F.coalesce("ts", "modified")).drop("modified"))
-    return requests.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["request_id", "input_hash"])
+    parsed = lines.select(F.from_json("value", REQUEST, {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"), "value",
+                          F.col("_metadata.file_modification_time").alias("modified")).select("r.*", "value", "modified")
+    timed = hashed_requests(parsed.withColumn("ts", F.coalesce("ts", "modified")))
+    return timed.withColumn("line", F.when(is_bad(), F.col("value"))).drop("value", "modified", "_corrupt")
 
 
 def ingest_oplog(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
     """Applies each micro-batch of ``stream`` to the corpus at ``root`` as one commit.
 
-    Replays are dropped and conflicting reuses are set aside; rows behind the watermark meet the
-    ledger join. Each request is judged, and only sound ones are applied. A batch that was committed
-    before a failure is recognised by its number and skipped.
+    Replays are dropped; conflicting reuses and lines that hold no request are set aside. Each request is judged, and only
+    sound ones are applied. A batch that was committed before a failure is recognised by its number and skipped.
     """
     spark = stream.sparkSession
 
@@ -53,39 +53,49 @@ def apply_batch(c: Corpus, batch: DataFrame, root: str, batch_key: str) -> Corpu
     request = str(uuid.uuid5(uuid.UUID(c.corpus_id), f"batch:{batch_key}"))
     if not c["semantic_snapshots"].where(F.col("request_uuid") == request).isEmpty():
         return c
-    batch = batch.persist()
-    try:
-        judged = dedupe_requests(batch.select("request_id", "tool", "input_hash"), c["operation_ledger"])
-        fresh = batch.join(judged.where("disposition = 'new'").select("request_id"), "request_id", "left_semi").dropDuplicates(["request_id"])
-        ordered = grouped_rank(fresh.withColumn("_all", F.lit(1)), ["_all"], [F.col("ts"), F.col("request_id")], F.date_trunc("minute", "ts"), "index").drop("_all")
-        conflicts = judged.where("disposition = 'conflict'").select("request_id", F.lit("request_reused").alias("code"), F.lit(None).cast("string").alias("detail"))
-        at = batch.agg(F.max("ts").alias("t")).first()["t"]
-        if at is None:
-            return c
-        stamp = at.strftime("%Y-%m-%d %H:%M:%S")
-        sound, refused, changes = _sound(c, ordered, stamp)
-        reasons = conflicts.unionByName(refused)
-        if not reasons.isEmpty():
-            reasons.write.mode("overwrite").parquet(f"{root}/refused/{request}")
-        if sound.isEmpty():
-            return c
-        digest = hashlib.sha256(batch_key.encode()).hexdigest()
-        head, transition = next_head(c, c.head, request, "batch.apply", digest, {"batch": batch_key})
-        listed = sound.select("index", F.col("request_id").alias("request_uuid"), F.col("tool").alias("tool_name"), "input_hash",
-                              F.col("change_set_id").alias("change_set_uuid"), F.lit(stamp).alias("at"))
-        first = (_latest(c.spark, root) or {}).get("requests", 0)
-        books = ledger_rows(c, listed, first)
-        own = {"output_snapshot_uuid": F.lit(head.snapshot_uuid), "input_snapshot_uuid": F.lit(c.head.snapshot_uuid), "transition_digest": F.lit(transition)}
-        ledger = books.ledger.withColumns(own)
-        receipts = books.receipts.withColumn("output_snapshot_uuid", F.lit(head.snapshot_uuid))
-        snapshot = c.spark.range(1).select(
-            F.lit(head.snapshot_uuid).alias("snapshot_uuid"), F.lit(c.head.snapshot_uuid).alias("parent_snapshot_uuid"), F.lit(c.corpus_id).alias("corpus_id"),
-            F.lit(head.sequence).alias("database_sequence"), F.lit(transition).alias("transition_digest"), F.lit(request).alias("request_uuid"),
-            F.lit("batch.apply").alias("tool_name"), F.lit(stamp).alias("created_at"))
-        extra = {"operation_ledger": ledger, "change_set_receipts": receipts, "semantic_snapshots": shaped(snapshot, CORPUS_TABLES["semantic_snapshots"])}
-        return commit_changes(c, changes, root, head, extra, {"requests": first + sound.count()})
-    finally:
-        batch.unpersist()
+    batch = checkpointed(batch)
+    if "line" in batch.columns:
+        corrupt = batch.where("line IS NOT NULL").select("request_id", F.lit("corrupt_line").alias("code"), F.col("line").alias("detail"))
+        batch = batch.where("line IS NULL").drop("line")
+    else:
+        corrupt = batch.limit(0).select("request_id", F.lit("").alias("code"), F.lit("").alias("detail"))
+    judged = dedupe_requests(batch.select("request_id", "tool", "input_hash"), c["operation_ledger"])
+    first_arrival = F.row_number().over(W.partitionBy("request_id").orderBy("ts"))
+    fresh = batch.join(judged.where("disposition = 'new'").select("request_id"), "request_id", "left_semi").withColumn("_k", first_arrival).where("_k = 1").drop("_k")
+    ordered = grouped_rank(fresh.withColumn("_all", F.lit(1)), ["_all"], [F.col("ts"), F.col("request_id")], F.date_trunc("minute", "ts"), "index").drop("_all")
+    conflicts = judged.where("disposition = 'conflict'").select("request_id", F.lit("request_reused").alias("code"), F.lit(None).cast("string").alias("detail"))
+    at = batch.agg(F.max("ts").alias("t")).first()["t"]
+    stamp = _stamp(c, at) if at is not None else None
+    sound, refused, changes = _sound(c, ordered, stamp)
+    reasons = corrupt.unionByName(conflicts).unionByName(refused)
+    if not reasons.isEmpty():
+        reasons.write.mode("overwrite").parquet(f"{root}/refused/{request}")
+    if sound.isEmpty():
+        return c
+    digest = hashlib.sha256(batch_key.encode()).hexdigest()
+    head, transition = next_head(c, c.head, request, "batch.apply", digest, {"batch": batch_key})
+    listed = sound.select("index", F.col("request_id").alias("request_uuid"), F.col("tool").alias("tool_name"), "input_hash",
+                          F.col("change_set_id").alias("change_set_uuid"), F.lit(stamp).alias("at"))
+    first = (_latest(c.spark, root) or {}).get("requests", 0)
+    books = ledger_rows(c, listed, first)
+    own = {"output_snapshot_uuid": F.lit(head.snapshot_uuid), "input_snapshot_uuid": F.lit(c.head.snapshot_uuid), "transition_digest": F.lit(transition)}
+    ledger = books.ledger.withColumns(own)
+    receipts = books.receipts.withColumn("output_snapshot_uuid", F.lit(head.snapshot_uuid))
+    snapshot = c.spark.range(1).select(
+        F.lit(head.snapshot_uuid).alias("snapshot_uuid"), F.lit(c.head.snapshot_uuid).alias("parent_snapshot_uuid"), F.lit(c.corpus_id).alias("corpus_id"),
+        F.lit(head.sequence).alias("database_sequence"), F.lit(transition).alias("transition_digest"), F.lit(request).alias("request_uuid"),
+        F.lit("batch.apply").alias("tool_name"), F.lit(stamp).alias("created_at"))
+    extra = {"operation_ledger": ledger, "change_set_receipts": receipts, "semantic_snapshots": shaped(snapshot, CORPUS_TABLES["semantic_snapshots"])}
+    return commit_changes(c, changes, root, head, extra, {"requests": first + sound.count()})
+
+
+def _stamp(c: Corpus, at: datetime) -> str:
+    """The batch's time in whole seconds, later than that of every commit before it, also if its requests are late."""
+    last = c["semantic_snapshots"].agg(F.max(F.substring("created_at", 1, 19))).first()[0]
+    moment = at.replace(microsecond=0)
+    if last is not None:
+        moment = max(moment, datetime.fromisoformat(last) + timedelta(seconds=1))
+    return f"{moment:%Y-%m-%d %H:%M:%S}"
 
 
 def _sound(c: Corpus, requests: DataFrame, stamp: str) -> tuple[DataFrame, DataFrame, Changes]:
