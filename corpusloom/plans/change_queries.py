@@ -16,7 +16,8 @@ from corpusloom.operators import branches, changes, filetree, quality, views
 from corpusloom.plans import bindings as b
 from corpusloom.plans.registry import query
 from corpusloom.plans.sqltwins import node_id, uuid5, with_ctes
-from corpusloom.sources import imports, snapshots
+from corpusloom.sources import imports, oplog, snapshots
+from corpusloom.streaming import ingest
 
 
 # ---- bulk changes -----------------------------------------------------------------
@@ -102,6 +103,49 @@ def applied(spark: SparkSession, sf: str) -> DataFrame:
     return views.current_nodes(after).select("pointer", "title", "description", "lifecycle_state")
 
 
+def _log(spark: SparkSession, sf: str) -> str:
+    """Events as a log of updates in two folders' worth of lines: errors are broken lines, purchases are sent twice."""
+    folder = f"{shared_folder(spark)}/corpusloom-log-{uuid.uuid4().hex}"
+    events = b.table(spark, sf, "events")
+    request = F.to_json(F.struct(F.col("event_id").cast("string").alias("request_id"), F.lit("node.update").alias("tool"),
+                                 F.struct(b.pointer("U", "user_id").alias("pointer"), F.col("event_type").alias("title")).alias("arguments"),
+                                 F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts")))
+    line = F.when(F.col("event_type") == "error", b._text("broken ", F.col("event_id"))).otherwise(request)
+    lines = events.select(line.alias("value")).unionByName(events.where("event_type = 'purchase'").select(request.alias("value")))
+    lines.write.text(folder)
+    return folder
+
+
+@query("s4_read_oplog", """SELECT event_id::VARCHAR AS request_id, sha256('{"arguments":{"pointer":"U'||user_id||'","title":"'||event_type||'"},"change_set_id":null,"tool":"node.update"}') AS input_hash,
+    NULL::VARCHAR AS line FROM (SELECT * FROM events WHERE event_type != 'error' UNION ALL SELECT * FROM events WHERE event_type = 'purchase')
+    UNION ALL SELECT NULL, NULL, 'broken '||event_id FROM events WHERE event_type = 'error'""")
+def read_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of a log: requests with the hash of their input, and lines that hold none."""
+    requests, rejects = oplog.read_oplog(spark, _log(spark, sf))
+    return requests.select("request_id", "input_hash", F.lit(None).cast("string").alias("line")).unionByName(
+        rejects.select(F.lit(None).cast("string").alias("request_id"), F.lit(None).cast("string").alias("input_hash"), "line"))
+
+
+@query("x1_ingest", """SELECT event_id::VARCHAR AS request_id, row_number() OVER (ORDER BY ts, event_id::VARCHAR) AS database_sequence, NULL::VARCHAR AS code, NULL::VARCHAR AS detail FROM events WHERE event_type != 'error'
+    UNION ALL SELECT NULL, NULL, 'corrupt_line', 'broken '||event_id FROM events WHERE event_type = 'error'""")
+def ingested(spark: SparkSession, sf: str) -> DataFrame:
+    """A log streamed into a stored corpus of users: its ledger, and what was refused."""
+    c = b.corpus(spark, sf)
+    users = c["node_identity"].where("pointer RLIKE '^U'")
+    nodes = users.select(F.col("uuid").alias("node_uuid"))
+    tables = {"node_identity": users, "node_revision": c["node_revision"].join(nodes, "node_uuid", "left_semi").select(*c.spec("node_revision").names),
+              "graphs": c["graphs"].where("graph_key = 'users'"), "graph_membership": c["graph_membership"].join(nodes, "node_uuid", "left_semi").select(*c.spec("graph_membership").names)}
+    head = Head(b.CORPUS_ID, str(uuid.uuid5(uuid.UUID(b.NAMESPACE), "start")), 0)
+    root = f"{shared_folder(spark)}/corpusloom-x1-{uuid.uuid4().hex}"
+    snapshots.write_corpus(Corpus(spark, tables, b.NAMESPACE, b.CORPUS_ID, head=head), root, head)
+    stream = ingest.oplog_stream(spark, _log(spark, sf))
+    ingest.ingest_oplog(stream, root, f"{root}/progress").awaitTermination()
+    ledger = snapshots.read_corpus(spark, root)["operation_ledger"].select(
+        F.col("request_uuid").alias("request_id"), "database_sequence", F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("detail"))
+    refused = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/refused")
+    return ledger.unionByName(refused.select("request_id", F.lit(None).cast("long").alias("database_sequence"), "code", "detail"))
+
+
 @query("w4_many_revisions", f"""SELECT event_id, CASE WHEN event_type = p_type AND {_VALUE.format('value', 'props')} = p_text THEN 'unchanged' ELSE 'done' END AS outcome, event_type AS title,
     CASE WHEN event_type = p_type AND {_VALUE.format('value', 'props')} = p_text THEN NULL ELSE p_type END AS replaced_title
     FROM (SELECT *, coalesce(lag(event_type) OVER w, last_value(event_type) OVER v) AS p_type, coalesce(lag({_VALUE.format('value', 'props')}) OVER w, last_value({_VALUE.format('value', 'props')}) OVER v) AS p_text
