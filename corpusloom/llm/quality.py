@@ -90,7 +90,7 @@ BASE = (
 )
 RULES = (
     Rule("many_symbols", lambda t: t.n_symbols > 0.15 * t.n_words),
-    Rule("repeated_lines", lambda t: t.n_dup_lines > 0.3 * len(t.lines)),
+    Rule("repeated_lines", lambda t: t.n_dup_lines > max(2.0, 0.3 * len(t.lines))),
     Rule("word_length", lambda t: not 2 * t.n_words <= t.word_chars <= 20 * t.n_words),
     Rule("few_letters", lambda t: t.letter_share < 0.6),
     Rule("one_word", lambda t: t.n_words >= 20 and t.top_word > 0.25 * t.n_words),
