@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +20,7 @@ from corpusloom.functions import ids, text
 from corpusloom.functions.durable import checkpointed
 from corpusloom.functions.ordered import grouped_rank
 from corpusloom.operators.graph import assign_ordinals, check_namespace
-from corpusloom.operators.references import build_reference_index, extract_links, validate_links
+from corpusloom.operators.references import bare_profile, build_reference_index, extract_links, plan_bare, rewrite_legacy, validate_links
 from corpusloom.operators.traversal import canonical_notation, check_traversals, tokenise, traversal_index
 from corpusloom.operators.views import current_nodes
 from corpusloom.schema import BRANCH_TABLES, CORPUS_TABLES, flat_schema
@@ -437,6 +437,30 @@ def create_sentinels(c: Corpus, df: DataFrame, at: str | None = None) -> Changes
     return _of_kind(c, df, "sentinel.create", at)
 
 
+def _rewritten(c: Corpus, texts: DataFrame, at: str | None, reason: str) -> Changes:
+    """A revision for every node of ``texts(pointer, description)``."""
+    numbered = grouped_rank(texts.select("pointer", "description").withColumn("_all", F.lit(1)).withColumn("_key", F.sha1(F.col("pointer").cast("binary"))),
+                            ["_all"], [F.col("_key"), F.col("pointer")], F.substring("_key", 1, 3), "index")
+    ops = numbered.select("index", "pointer", "description", F.lit(reason).alias("reason"))
+    return _of_kind(c, ops, "node.update", at)
+
+
+def migrate_legacy(c: Corpus, at: str | None = None, include_staged: bool = True) -> Changes:
+    """Legacy citations turned into links, one revision per changed node; a second run changes nothing."""
+    return _rewritten(c, rewrite_legacy(c, include_staged), at, "legacy citations rewritten")
+
+
+def migrate_bare(c: Corpus, at: str | None = None, include_staged: bool = True) -> Changes:
+    """Links respelled as bare pointers, one revision per changed node, judged by the bare profile.
+
+    Any link error, in a text as it is or as it would become, is a rejection, so such a corpus is left as it is.
+    """
+    texts, errors = plan_bare(c, include_staged)
+    plan = _rewritten(replace(c, profile=bare_profile(c.profile)), texts, at, "links respelled as bare pointers")
+    found = errors.select(F.lit(None).cast("long").alias("index"), "code", F.col("target_pointer").alias("detail"))
+    return replace(plan, rejections=plan.rejections.unionByName(found).distinct())
+
+
 def preflight(c: Corpus, ops: DataFrame, at: str | None = None) -> DataFrame:
     """Rejections a batch would meet; writes nothing."""
     return plan_changes(c, ops, at).rejections

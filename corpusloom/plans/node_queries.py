@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.corpus import Corpus
 from corpusloom.functions import ids, text
 from corpusloom.functions.text import ReferenceProfile
-from corpusloom.operators import aggregates, fingerprints, graph, references, search, views
+from corpusloom.operators import aggregates, changes, fingerprints, graph, references, search, views
 from corpusloom.plans import bindings as b
 from corpusloom.plans.registry import query
 from corpusloom.plans.sqltwins import node_id, search_ctes, uuid5, with_ctes
@@ -280,11 +280,12 @@ def legacy_rewrite(spark: SparkSession, sf: str) -> DataFrame:
 URI_PROFILE = ReferenceProfile(uri_template=f"arcp://uuid,{b.CORPUS_ID}/node/{{pointer}}")
 
 
-def uri_corpus(spark: SparkSession, sf: str) -> Corpus:
-    """Customers and nations whose links are still spelled as corpus URIs with visible markers."""
+def uri_corpus(spark: SparkSession, sf: str, broken: bool = False) -> Corpus:
+    """Customers and nations whose links are still spelled as corpus URIs with visible markers; broken ones lead nowhere."""
     nation = b.table(spark, sf, "nation")
     customer = b.table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    place = b.pointer("N", "c_nationkey")
+    lost = (F.col("c_mktsegment") == "BUILDING") & F.lit(broken)
+    place = F.when(lost, b.pointer("N", F.col("c_nationkey") + 900)).otherwise(b.pointer("N", "c_nationkey"))
     linked = b._text("Lives in [", F.col("n_name"), " ⟦pgx:", place, f"⟧](arcp://uuid,{b.CORPUS_ID}/node/", place, "), pays in cash.")
     rows = customer.select(b.pointer("C", "c_custkey").alias("pointer"), F.col("c_name").alias("title"), linked.alias("description")).unionByName(
         nation.select(b.pointer("N", "n_nationkey").alias("pointer"), F.col("n_name").alias("title"), F.lit("A nation.").alias("description")))
@@ -300,13 +301,38 @@ def uri_corpus(spark: SparkSession, sf: str) -> Corpus:
     '['||n_name||' ⟦pgx:N'||c_nationkey||'⟧](arcp://uuid,{b.CORPUS_ID}/node/N'||c_nationkey||')' AS before_sample, '['||n_name||'](N'||c_nationkey||')' AS after_sample
     FROM customer JOIN nation ON c_nationkey=n_nationkey""")
 def bare_plan(spark: SparkSession, sf: str) -> DataFrame:
-    changes, _ = references.plan_bare(uri_corpus(spark, sf))
-    return changes.select("pointer", F.col("converted_references").cast("long").alias("converted_references"), "description", "before_sample", "after_sample")
+    planned, _ = references.plan_bare(uri_corpus(spark, sf))
+    return planned.select("pointer", F.col("converted_references").cast("long").alias("converted_references"), "description", "before_sample", "after_sample")
 
 
-@query("r9_bare_rejections", "SELECT NULL::VARCHAR AS code, NULL::VARCHAR AS stage WHERE false")
+@query("r9_bare_rejections", "SELECT 'C'||c_custkey AS pointer, 'unresolved_pointer' AS code, 'source' AS stage FROM customer WHERE c_mktsegment='BUILDING'")
 def bare_rejections(spark: SparkSession, sf: str) -> DataFrame:
-    return references.plan_bare(uri_corpus(spark, sf))[1].select("code", "stage")
+    """Some customers' links lead nowhere, so nothing may be migrated."""
+    c = uri_corpus(spark, sf, broken=True)
+    return _sourced(c, references.plan_bare(c)[1]).select("pointer", "code", "stage")
+
+
+def _new_texts(c: Corpus, plan: changes.Changes) -> DataFrame:
+    """The texts that a plan gives nodes, with what came before them."""
+    named = _pointers(c).withColumnRenamed("uuid", "node_uuid")
+    old = c["node_revision"].select(F.col("revision_uuid").alias("previous_revision_uuid"), F.col("title").alias("title_before"))
+    return plan.appended["node_revision"].join(named, "node_uuid").join(old, "previous_revision_uuid").select("pointer", "description", "title_before", "reason")
+
+
+@query("r8_migrate_legacy", f"""SELECT pointer, 'Supplied as '||CASE WHEN first_name IS NULL THEN '**'||p_name||'** (*S'||p_size||'*)' ELSE '['||p_name||'](S'||p_size||')' END||', see '||
+    CASE WHEN second_name IS NULL THEN '(*S'||(p_size+60)||'*)' ELSE '['||second_name||'](S'||(p_size+60)||')' END||'. Kept as written: `(*S0*)` and {{{{{{**x** (*S1*)}}}}}}.' AS description,
+    p_name AS title_before, 'legacy citations rewritten' AS reason FROM ({_CITED}) WHERE first_name IS NOT NULL OR second_name IS NOT NULL""")
+def legacy_migrated(spark: SparkSession, sf: str) -> DataFrame:
+    """The revisions that the migration appends."""
+    c = b.corpus(spark, sf)
+    return _new_texts(c, changes.migrate_legacy(c))
+
+
+@query("r9_migrate_bare", """SELECT 'C'||c_custkey AS pointer, 'Lives in ['||n_name||'](N'||c_nationkey||'), pays in cash.' AS description, c_name AS title_before,
+    'links respelled as bare pointers' AS reason FROM customer JOIN nation ON c_nationkey=n_nationkey""")
+def bare_migrated(spark: SparkSession, sf: str) -> DataFrame:
+    c = uri_corpus(spark, sf)
+    return _new_texts(c, changes.migrate_bare(c))
 
 
 # ---- search -----------------------------------------------------------------------
