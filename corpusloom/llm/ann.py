@@ -28,8 +28,8 @@ class Settings:
     hidden: int = 128
     epochs: int = 30
     slack: float = 1.1  # a part of the sample graph holds at most so many times its fair share
-    coverage: float = 0.97  # of true neighbours that the probed parts must hold on the sample
-    block_rows: int = 4_096  # rows of a part, and queries, that meet in one task
+    coverage: float = 0.95  # of true neighbours that the probed parts must hold on the sample
+    block_rows: int = 8_192  # rows of a bin of parts, and queries, that meet in one task
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -181,59 +181,81 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
             part = shared.value.odds(a).argmax(1) if len(a) else []
             yield pd.DataFrame({"id": batch["id"], "part": part, "v": [r.tobytes() for r in a]})
 
+    placed = stored(rows.mapInPandas(place, "id long, part int, v binary"), folder, "placed")
+    sizes = np.zeros(parts, np.int64)
+    for r in placed.groupBy("part").count().collect():
+        sizes[r["part"]] = r["count"]
+    first, pieces = bins_of(sizes, settings.block_rows)
+
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             a = np.frombuffer(b"".join(batch["v"])).reshape(len(batch), -1)
             order = np.argsort(-shared.value.odds(a), axis=1, kind="stable")
             most = np.maximum(shared.value.probes, 1 + np.argmax(np.cumsum(sizes[order], axis=1) > min(k, n - 1), axis=1))
-            keep = np.arange(order.shape[1]) < most[:, None]
-            at, _ = np.nonzero(keep)
-            yield pd.DataFrame({"id": batch["id"].to_numpy()[at], "part": order[keep], "v": batch["v"].to_numpy()[at]})
-
-    placed = stored(rows.mapInPandas(place, "id long, part int, v binary"), folder, "placed")
-    sizes = np.zeros(parts, np.int64)
-    for r in placed.groupBy("part").count().collect():
-        sizes[r["part"]] = r["count"]
-    routed = stored(placed.where(is_query).mapInPandas(route, "id long, part int, v binary"), folder, "routed")
-    asked = np.zeros(parts, np.int64)
-    for r in routed.groupBy("part").count().collect():
-        asked[r["part"]] = r["count"]
-    pieces = lambda counts: F.element_at(F.array(*[F.lit(max(1, int(-(-c // settings.block_rows)))) for c in counts]), F.col("part") + 1)
-    # Parts are cut into blocks and their queries into chunks; every chunk of a part meets every block of it.
-    blocks, chunks = pieces(sizes), pieces(asked)
-    mine = lambda count: F.pmod(F.xxhash64("id"), count).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
-    held = placed.withColumn("block", mine(blocks)).withColumn("chunk", every(chunks))
-    queries = routed.withColumn("chunk", mine(chunks)).withColumn("block", every(blocks))
+            out = []
+            for query, v, chosen in zip(batch["id"], batch["v"], (o[:m] for o, m in zip(order, most, strict=True)), strict=True):
+                in_bin: dict[int, list[int]] = {}
+                for part in chosen.tolist():
+                    for piece in range(pieces[part]):
+                        in_bin.setdefault(int(first[part] + piece), []).append(part)
+                out += [(query, place, probed, v) for place, probed in in_bin.items()]
+            yield pd.DataFrame(out, columns=["id", "bin", "parts", "v"])
+
+    of = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("part") + 1)
+    binned = placed.withColumn("bin", of(first) + F.pmod(F.xxhash64("id"), of(pieces)).cast("int"))
+    routed = stored(placed.where(is_query).mapInPandas(route, "id long, bin int, parts array<int>, v binary"), folder, "routed")
+    asked = {r["bin"]: -(-r["count"] // settings.block_rows) for r in routed.groupBy("bin").count().collect()}
+    chunks = F.element_at(F.array(*[F.lit(asked.get(i, 1)) for i in range(int(first[-1] + pieces[-1]))]), F.col("bin") + 1)
+    # Every chunk of the queries of a bin meets the whole bin.
+    held = binned.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks.cast("int") - 1)))
+    queries = routed.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int"))
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return nearest_in_block(left, right, k)
+        return nearest_in_bin(left, right, k)
 
-    keys = ["part", "block", "chunk"]
-    found = queries.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(rank, "query_id long, vec_id long, score double")
+    found = queries.groupBy("bin", "chunk").cogroup(held.groupBy("bin", "chunk")).applyInPandas(rank, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest_in_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest rows of a block for each query, by exact scores of distinct vectors."""
+def bins_of(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each part its first bin and over how many it is spread: small parts share a bin, one beyond ``room`` has several."""
+    first, pieces, at, filled = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, 0
+    for part, size in enumerate(sizes):
+        if filled and filled + size > room:
+            at, filled = at + 1, 0
+        first[part], pieces[part] = at, max(1, -(-int(size) // room))
+        filled += size
+        if size > room:
+            at, filled = at + int(pieces[part]), 0
+    return first, pieces
+
+
+def nearest_in_bin(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest rows of a bin for each query, among the parts that it probes, by exact scores of distinct vectors."""
     if queries.empty or rows.empty:
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-    rows = rows.sort_values("id", kind="stable")
-    group = rows.groupby("v", sort=False)["id"].apply(list)
-    ids, c = group.tolist(), np.frombuffer(b"".join(group.index)).reshape(len(group), -1)
-    qid, q = queries["id"].to_numpy(), np.frombuffer(b"".join(queries["v"])).reshape(len(queries), -1)
+    group = rows.sort_values("id", kind="stable").groupby(["part", "v"], sort=True)["id"].apply(list)
+    ids, part = group.tolist(), group.index.get_level_values(0).to_numpy()
+    c = np.frombuffer(b"".join(group.index.get_level_values(1))).reshape(len(group), -1)
+    spans = {int(p): slice(*np.searchsorted(part, [p, p + 1])) for p in np.unique(part)}
     take = min(len(c), k + 4)
     out = []
-    for start in range(0, len(q), 512):
-        near = q[start:start + 512] @ c.T
-        best = np.argpartition(-near, take - 1, axis=1)[:, :take] if take < len(c) else np.tile(np.arange(len(c)), (len(near), 1))
+    for start in range(0, len(queries), 256):
+        some = queries[start:start + 256]
+        q = np.frombuffer(b"".join(some["v"])).reshape(len(some), -1)
+        near = np.full((len(q), len(c)), -np.inf)
+        for p, span in spans.items():
+            asking = np.flatnonzero([p in probed for probed in some["parts"]])
+            near[asking, span] = q[asking] @ c[span].T
+        best = np.argpartition(-near, take - 1, axis=1)[:, :take]
+        probed = np.take_along_axis(near, best, axis=1) > -np.inf
         # One way of summing for all, so that equal vectors have equal scores wherever they are scored.
-        exact = (q[start:start + 512, None, :] * c[best]).sum(-1)
-        for own, places, scores in zip(qid[start:start + 512], best, exact, strict=True):
+        exact = (q[:, None, :] * c[best]).sum(-1)
+        for own, places, scores, good in zip(some["id"].to_numpy(), best, exact, probed, strict=True):
             found = []
-            for p, s in zip(places, scores, strict=True):
+            for p, score in zip(places[good], scores[good], strict=True):
                 same = ids[p]
-                found += [(-s, i) for i in same[:k + bisect_right(same, own) - bisect_left(same, own)] if i != own]
-            out += [(own, i, -s) for s, i in sorted(found)[:k]]
+                found += [(-score, i) for i in same[:k + bisect_right(same, own) - bisect_left(same, own)] if i != own]
+            out += [(own, i, -score) for score, i in sorted(found)[:k]]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
