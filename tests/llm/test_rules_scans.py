@@ -51,6 +51,67 @@ def test_templates_need_their_mandatory_words(text, labels):
     assert all(m.first >= 2 and m.end <= len(words) - 2 for m in found)
 
 
+MIT = """Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to
+deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or
+sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS
+IN THE SOFTWARE."""
+BSD_3 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+3. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without
+   specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS ``AS IS'' AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE REGENTS OR CONTRIBUTORS BE LIABLE FOR ANY
+DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD_2 = BSD_3[:BSD_3.index("3. ")] + BSD_3[BSD_3.index("THIS"):]
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+ZERO_BSD = ISC.replace(", provided that the above\ncopyright notice and this permission notice appear in all copies", "")
+GPL_NOTICE = """Thing is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free
+Software Foundation, either version 3 of the License, or (at your option) any later version. Thing is distributed in the hope that it will be useful, but
+WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for
+more details. You should have received a copy of the GNU General Public License."""
+
+
+@pytest.mark.parametrize("text, label, changed, to", [
+    (MIT, "mit", "THE SOFTWARE IS PROVIDED", "The Software shall be used for Good, not Evil. THE SOFTWARE IS PROVIDED"),
+    (MIT, "mit", "sublicense, and/or\nsell copies", "and not sell copies"),
+    (MIT, "mit", "WITHOUT WARRANTY", "WITH WARRANTY"),
+    (BSD_3, "bsd", "3. Neither", "3. All advertising must name the University. 4. Neither"),
+    (BSD_2, "bsd", "the distribution.", "the distribution. 3. No commercial use is allowed."),
+    (BSD_2, "bsd", "POSSIBILITY", "CERTAINTY"),
+    (ISC, "isc", "appear in all copies", "appear in all free copies"),
+    (ZERO_BSD, "0bsd", "TORTIOUS", "HARMLESS"),
+    (GPL_NOTICE, "gpl", "WITHOUT ANY WARRANTY", "with some warranty"),
+    (licenses.license_texts.APACHE_2, "apache", "no-charge, royalty-free", "royalty-bearing"),
+    (licenses.license_texts.GPL_3, "gpl", "BE LIABLE TO YOU", "BE KIND TO YOU"),
+])
+def test_licences_are_matched_to_their_end(text, label, changed, to):
+    assert changed in text
+    for body, labels in ((text, {label}), (text.replace(changed, to), set())):
+        words = licenses.words_of(f"Before that. {body} And after.")
+        found = licenses.Scanner().template_places(words, set(words))
+        assert {m.label for m in found} == labels
+        assert all(m.end == len(words) - 2 for m in found)
+
+
 def test_automaton_against_expanded_template():
     template = "a <<beginOptional>>b <<beginOptional>>c<<endOptional>><<endOptional>> d <<var;words=1-2;match=[0-9]+>> e"
     automaton = licenses.Automaton(template)
