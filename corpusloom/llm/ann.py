@@ -10,6 +10,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -161,6 +162,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     """``query_id, rank, vec_id, score`` of the k rows found nearest to each query, ties to the smaller id.
 
     ``is_query`` is a condition on ``id``. A query never finds rows of its own id; with fewer than k others it finds them all.
+    An id counts once, however many rows it has: rows that repeat an id and its vector count as one row, and of an id with
+    several vectors, as query and as neighbour, the best score of any pair of them counts. So each query id has the ranks 1 to k
+    at most, each with another ``vec_id``.
     Equal vectors are scored once within a task, so any number of copies costs little and ties among them are exact. An empty
     table gives an empty result.
     """
@@ -177,7 +181,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            a = np.array(batch["v"].tolist(), float).reshape(len(batch), -1)
+            a = np.array(batch["v"].tolist(), float).reshape(len(batch), -1) + 0.0  # no negative zeros: equal vectors have equal bytes
             part = shared.value.odds(a).argmax(1) if len(a) else []
             yield pd.DataFrame({"id": batch["id"], "part": part, "v": [r.tobytes() for r in a]})
 
@@ -186,12 +190,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     for r in placed.groupBy("part").count().collect():
         sizes[r["part"]] = r["count"]
     first, pieces = bins_of(sizes, settings.block_rows)
+    # Ids by the first part that holds one of their rows: probed parts hold at least as many different ids as these add up to.
+    homes = np.zeros(parts, np.int64)
+    for r in placed.groupBy("id").agg(F.min("part").alias("part")).groupBy("part").count().collect():
+        homes[r["part"]] = r["count"]
+    wanted = min(k, int(homes.sum()) - 1)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             a = np.frombuffer(b"".join(batch["v"])).reshape(len(batch), -1)
             order = np.argsort(-shared.value.odds(a), axis=1, kind="stable")
-            most = np.maximum(shared.value.probes, 1 + np.argmax(np.cumsum(sizes[order], axis=1) > min(k, n - 1), axis=1))
+            most = np.maximum(shared.value.probes, 1 + np.argmax(np.cumsum(homes[order], axis=1) > wanted, axis=1))
             out = []
             for query, v, chosen in zip(batch["id"], batch["v"], (o[:m] for o, m in zip(order, most, strict=True)), strict=True):
                 in_bin: dict[int, list[int]] = {}
@@ -203,7 +212,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
 
     of = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("part") + 1)
     binned = placed.withColumn("bin", of(first) + F.pmod(F.xxhash64("id"), of(pieces)).cast("int"))
-    routed = stored(placed.where(is_query).mapInPandas(route, "id long, bin int, parts array<int>, v binary"), folder, "routed")
+    routed = stored(placed.where(is_query).dropDuplicates(["id", "v"]).mapInPandas(route, "id long, bin int, parts array<int>, v binary"), folder, "routed")
     asked = {r["bin"]: -(-r["count"] // settings.block_rows) for r in routed.groupBy("bin").count().collect()}
     chunks = F.element_at(F.array(*[F.lit(asked.get(i, 1)) for i in range(int(first[-1] + pieces[-1]))]), F.col("bin") + 1)
     # Every chunk of the queries of a bin meets the whole bin.
@@ -214,8 +223,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
         return nearest_in_bin(left, right, k)
 
     found = queries.groupBy("bin", "chunk").cogroup(held.groupBy("bin", "chunk")).applyInPandas(rank, "query_id long, vec_id long, score double")
+    # Several vectors of an id may give one neighbour several scores. Dealt out by query once, for both steps.
+    best = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def bins_of(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
@@ -232,17 +243,19 @@ def bins_of(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nearest_in_bin(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest rows of a bin for each query, among the parts that it probes, by exact scores of distinct vectors."""
+    """The k nearest ids of a bin for each query, among the parts that it probes, by exact scores of distinct vectors."""
     if queries.empty or rows.empty:
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+    rows = rows.drop_duplicates(["id", "part", "v"])
     group = rows.sort_values("id", kind="stable").groupby(["part", "v"], sort=True)["id"].apply(list)
     ids, part = group.tolist(), group.index.get_level_values(0).to_numpy()
     c = np.frombuffer(b"".join(group.index.get_level_values(1))).reshape(len(group), -1)
     spans = {int(p): slice(*np.searchsorted(part, [p, p + 1])) for p in np.unique(part)}
-    take = min(len(c), k + 4)
-    out = []
-    for start in range(0, len(queries), 256):
-        some = queries[start:start + 256]
+    # So many vectors have k + 1 different ids among them, also if an id has several vectors.
+    take = min(len(c), (k + 1) * int(rows["id"].value_counts().max()) + 3)
+    step, out = max(1, 256 * (k + 4) // max(k + 4, take)), []
+    for start in range(0, len(queries), step):
+        some = queries[start:start + step]
         q = np.frombuffer(b"".join(some["v"])).reshape(len(some), -1)
         near = np.full((len(q), len(c)), -np.inf)
         for p, span in spans.items():
@@ -257,5 +270,8 @@ def nearest_in_bin(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.Data
             for p, score in zip(places[good], scores[good], strict=True):
                 same = ids[p]
                 found += [(-score, i) for i in same[:k + bisect_right(same, own) - bisect_left(same, own)] if i != own]
-            out += [(own, i, -score) for score, i in sorted(found)[:k]]
+            nearest: dict[int, float] = {}
+            for score, i in sorted(found):
+                nearest.setdefault(i, -score)
+            out += [(own, i, score) for i, score in islice(nearest.items(), k)]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])

@@ -50,6 +50,31 @@ def test_few_rows_and_none(spark):
     assert {(r["query_id"], r["vec_id"]) for r in ann.search(vectors_of(spark, twice), F.col("id") % 20 == 0).collect()} == {(0, 1)}
 
 
+@pytest.mark.parametrize("settings", [ann.Settings(), ann.Settings(part_rows=60, coverage=1.0, block_rows=64, epochs=5)])
+def test_ids_that_repeat_count_once(spark, settings):
+    rows = clustered(240)
+    again = [rows[0], rows[0], rows[20], rows[7], rows[7], rows[33]]
+    other = [(40, rows[3][1]), (5, rows[9][1]), (5, -np.array(rows[9][1]))]
+    found = ann.search(vectors_of(spark, rows + again + other), F.col("id") % 20 == 0, settings=settings)
+    got = [tuple(r)[:3] for r in found.orderBy("query_id", "rank").collect()]
+    of = {}
+    for i, v in rows + other:
+        of.setdefault(i, []).append(np.array(v, np.float32).astype(float))
+    want = []
+    for i in range(0, 240, 20):
+        ranked = sorted((-max((a * b).sum() for a in of[i] for b in of[j]), j) for j in of if j != i)
+        want += [(i, n, j) for n, (_, j) in enumerate(ranked[:20], 1)]
+    assert got == want
+
+
+def test_few_ids_of_many_rows_are_all_found(spark):
+    rows = clustered(30)
+    rows += [rows[0]] * 600
+    settings = ann.Settings(part_rows=60, coverage=0.0, block_rows=64, epochs=2)
+    got = ann.search(vectors_of(spark, rows), F.col("id") == 0, settings=settings).collect()
+    assert sorted(r["rank"] for r in got) == list(range(1, 21)) and len({r["vec_id"] for r in got}) == 20
+
+
 def test_many_parts_reach_recall(spark):
     rows = clustered(4000)
     rows += [(10_000 + i, rows[3][1]) for i in range(1500)]
