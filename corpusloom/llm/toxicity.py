@@ -2,8 +2,8 @@
 
 Words are mapped to symbols (insult, threat, target, negation, reporting, other) by a weighted lexicon. Three transducers
 over these symbols (negation scope, reported speech, attack) are composed into one machine, which reads a clause and adds up
-the weights of what it matches, so that a negated or quoted insult counts less and a threat counts only with a target.
-Insults, whole words or stems, and their weights are learned from labels.
+the weights of what it matches, so that a negated or quoted insult counts less and a threat counts only with a target of its own language.
+Insults, whole words or stems, their weights and the weight of a threat with a target are learned from labels.
 """
 
 from __future__ import annotations
@@ -25,12 +25,17 @@ CLAUSES = re.compile(r"[.!?;:\n]+")
 MEMORY = 600_000
 STEMS = (6, 5, 4)  # lengths of stems, tried from the longest
 
-# Closed classes of four languages.
-TARGETS = frozenset("you your yours u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre usted ustedes vosotros tú ti".split())
+# Closed classes of four languages. Targets are those that can be addressed by a threat of the same language; everyday words with
+# other meanings there, such as German ihr (her) or French ton (tone), are none.
+TARGETS_OF = {"en": frozenset("you your yours u ur".split()), "de": frozenset("du dich dir dein deine euch".split()),
+              "fr": frozenset("tu te toi vous votre".split()), "es": frozenset("te tú ti usted ustedes vosotros".split())}
+TARGETS = frozenset().union(*TARGETS_OF.values())
 NEGATIONS = frozenset("not no never nobody isn aren wasn don doesn nicht kein keine nie pas jamais aucun nunca jamás".split())
 REPORTING = frozenset("said says say called calls wrote writes claimed quoted reported sagte nannte schrieb dit disait appelé dijo llamó escribió".split())
-THREATS = frozenset("kill hurt destroy punch stab shoot töten umbringen verletzen schlagen tuer tuerai frapper détruire matar herir golpear destruir".split())
-THREAT_WEIGHT = 4.0
+THREATS_OF = {"en": frozenset("kill hurt destroy punch stab shoot".split()), "de": frozenset("töten umbringen verletzen schlagen".split()),
+              "fr": frozenset("tuer tuerai frapper détruire".split()), "es": frozenset("matar herir golpear destruir".split())}
+THREATS = frozenset().union(*THREATS_OF.values())
+THREAT_WEIGHT = 4.0  # of a model made by hand; learn() finds the weight that the labels support
 
 
 @dataclass
@@ -104,6 +109,7 @@ class Model:
     words: dict[str, float]
     stems: dict[str, float]
     bias: float
+    threat: float = THREAT_WEIGHT  # of a threat with its target
     memory: dict[bytes, bool] = field(default_factory=dict, repr=False)  # whether rough words that a worker has seen mark a text
 
     def weight(self, word: str) -> float:
@@ -116,13 +122,15 @@ class Model:
     def clause(self, words: list[str], insults: dict[str, float]) -> float:
         """The weight that the composed machine gives one clause."""
         state, total, held = GRAMMAR.start, 0.0, 0.0
+        spoken = [of for language, of in TARGETS_OF.items() if not THREATS_OF[language].isdisjoint(words)]
+        targets = frozenset().union(*spoken) if spoken else TARGETS
         for word in words:
             if word in insults:
                 symbol, weight = INSULT, insults[word]
             elif word in THREATS:
-                symbol, weight = THREAT, THREAT_WEIGHT
+                symbol, weight = THREAT, self.threat
             else:
-                symbol = TARGET if word in TARGETS else NEGATION if word in NEGATIONS else REPORT if word in REPORTING else OTHER
+                symbol = TARGET if word in targets else NEGATION if word in NEGATIONS else REPORT if word in REPORTING else OTHER
                 weight = 0.0
             state, said, factor = GRAMMAR.step(state, symbol)
             if said == "held":
@@ -143,13 +151,13 @@ class Model:
             for word in set(rough_words(text)):
                 hit = memory.get(word)
                 if hit is None:
-                    hit = memory[word] = any(w in THREATS or self.weight(w) > 0 for w in exact_words(word))
+                    hit = memory[word] = any(self.threat > 0 and w in THREATS or self.weight(w) > 0 for w in exact_words(word))
                 marked |= hit
             if marked:
                 for part in CLAUSES.split(text.lower()):
                     words = LETTERS.findall(part)
                     insults = {w: x for w in words if (x := self.weight(w)) > 0}
-                    if insults or not THREATS.isdisjoint(words):
+                    if insults or self.threat > 0 and not THREATS.isdisjoint(words):
                         evidence += self.clause(words, insults)
         return 1 / (1 + math.exp(-min(60.0, self.bias + evidence)))
 
@@ -163,10 +171,21 @@ def _significance(a: int, b: int, n1: int, n0: int) -> float:
     return 2 * (term(a, n1 * both) + term(b, n0 * both) + term(n1 - a, n1 * (1 - both)) + term(n0 - b, n0 * (1 - both)))
 
 
+THREATENED = (-1, "")
+_THREAT_ONLY = Model({}, {}, 0.0, threat=1.0)
+
+
+def threatens(text: str) -> bool:
+    """Whether some clause has a threat with its target that is neither negated nor reported."""
+    clauses = (LETTERS.findall(part) for part in CLAUSES.split(text.lower()))
+    return any(not THREATS.isdisjoint(words) and _THREAT_ONLY.clause(words, {}) >= 1 for words in clauses)
+
+
 def patterns(text: str) -> set[tuple[int, str]]:
-    """The words (0, word) and stems (length, stem) of a text."""
+    """The words (0, word) and stems (length, stem) of a text, and ``THREATENED`` if it has a threat with its target."""
     words = {w for rough in set(rough_words(text)) for w in exact_words(rough) if len(w) > 2}
-    return {(0, w) for w in words} | {(n, w[:n]) for n in STEMS for w in words if len(w) >= n}
+    found = {(0, w) for w in words} | {(n, w[:n]) for n in STEMS for w in words if len(w) >= n}
+    return found | {THREATENED} if not THREATS.isdisjoint(words) and threatens(text) else found
 
 
 def learn(rows: list[tuple[str, int]], least: float = 18.0, precise: float = 0.8) -> Model:
@@ -174,7 +193,7 @@ def learn(rows: list[tuple[str, int]], least: float = 18.0, precise: float = 0.8
 
     A pick needs a share of ``precise`` toxic texts and a significance of ``least`` on the unexplained ones, so that words that
     merely occur beside insults, as in copies of one text, are left out. Ties go to the whole word, then the longer stem.
-    Texts that repeat count once, and so do most near copies: those with the same least hash of a three-word run.
+    A threat with its target is one pattern among them, without weight unless it is picked. Texts that repeat count once, and so do most near copies: those with the same least hash of a three-word run.
     """
     once: dict[tuple[int, int], str] = {}
     for text, toxic in rows:
@@ -185,7 +204,7 @@ def learn(rows: list[tuple[str, int]], least: float = 18.0, precise: float = 0.8
     n1 = sum(toxic for _, toxic, _ in texts)
     n0 = len(texts) - n1
     if not n1 or not n0:
-        return Model({}, {}, -2.0 if not n1 else 2.0)
+        return Model({}, {}, -2.0 if not n1 else 2.0, threat=0.0)
     inside = [patterns(text) for _, toxic, text in texts if toxic]
     a = Counter(p for found in inside for p in found)
     a = {p: n for p, n in a.items() if n >= 3}
@@ -195,7 +214,7 @@ def learn(rows: list[tuple[str, int]], least: float = 18.0, precise: float = 0.8
             b.update(p for p in patterns(text) if p in a)
     strength = {p: s for p, n in a.items() if n >= precise * (n + b[p]) and (s := _significance(n, b[p], n1, n0)) >= least}
     order = sorted(strength, key=lambda p: (-strength[p], p[0] != 0, -p[0], p[1]))
-    left, words, stems = set(range(n1)), {}, {}
+    left, words, stems, threat = set(range(n1)), {}, {}, 0.0
     holds: dict[tuple[int, str], set[int]] = {p: set() for p in order}
     for i, found in enumerate(inside):
         for p in found & strength.keys():
@@ -205,8 +224,11 @@ def learn(rows: list[tuple[str, int]], least: float = 18.0, precise: float = 0.8
         if _significance(fresh, b[p], max(1, len(left)), n0) >= least and fresh >= 3:
             left -= holds[p]
             weight = math.log((a[p] + 0.5) / (n1 + 1)) - math.log((b[p] + 0.5) / (n0 + 1))
-            (words if p[0] == 0 else stems)[p[1]] = weight
-    return Model(words, stems, min(-1.0, math.log(n1 / n0)))
+            if p == THREATENED:
+                threat = weight
+            else:
+                (words if p[0] == 0 else stems)[p[1]] = weight
+    return Model(words, stems, min(-1.0, math.log(n1 / n0)), threat)
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = 8_000) -> Model:

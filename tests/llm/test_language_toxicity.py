@@ -103,6 +103,29 @@ def test_learns_words_and_stems_not_copies(spark):
     assert got[0] == got[1] < 0.5 < got[2] and got[3] == got[4] and docs.limit(0).select(toxicity.toxicity(docs, fitted)).count() == 0
 
 
+def test_threats_weigh_what_labels_support():
+    rng = random.Random(5)
+    clean, toxic = list(texts(rng, 500)), list(texts(rng, 80, "moron", "vequ"))
+    plain = ["this may hurt your eyes", "you can kill the process", "il ne faut pas détruire les forêts du pays", "détruire les forêts du pays"]
+    labelled = [(t, 0) for t in clean] + [(t, 1) for t in toxic]
+    fitted = toxicity.learn(labelled)
+    assert fitted.threat == 0 and "moron" in fitted.words and all(fitted.score(t) < 0.5 for t in plain)
+    threats = [f"{t}. {rng.choice(['i will kill', 'we hurt', 'ich werde töten', 'matar'])} " for t in texts(rng, 80)]
+    threats = [t + ("dich" if "töten" in t else "usted" if "matar" in t else "you") for t in threats]
+    taught = toxicity.learn([*labelled, *((t, 1) for t in threats), *((f"{t}. détruire les forêts du pays", 0) for t in texts(rng, 40))])
+    assert taught.threat > 2 and all(taught.score(t) >= 0.5 for t in threats) and taught.score(plain[-1]) < 0.5
+    unsupported = toxicity.learn([*labelled, *((t, i % 2) for i, t in enumerate(threats))])
+    assert unsupported.threat == 0
+
+
+def test_targets_are_of_the_language_of_the_threat():
+    score = lambda text: TOXIC.clause(text.split(), {})
+    for text in ("détruire les forêts du pays", "sie wollen ihr nicht schlagen", "the kill ratio of ti devices", "hurt du", "matar el you"):
+        assert score(text) == 0, text
+    for text in ("ich werde dich töten", "te voy a matar", "vous frapper", "punch you"):
+        assert score(text) == toxicity.THREAT_WEIGHT, text
+
+
 def test_train_takes_odd_labels(spark):
     docs = spark.createDataFrame([(1, "so bad", "", "", ""), (None, "x", "", "", ""), (2, None, "", "", "")], DOCS)
     labels = spark.createDataFrame([(1, None), (None, 1), (2, 1), (1, 0), (1, 1)], "doc_id LONG, toxic INT")
