@@ -29,6 +29,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Elements that never hold main text, wherever they stand, and those that hold it unless something inside speaks against it.
 NEVER = frozenset("nav footer aside head menu button dialog search".split())
 FORMS = frozenset(("form", "fieldset"))
+CONTROLS = frozenset("input select textarea button".split())
 MAIN = frozenset(("article", "main"))
 
 # Words in class, id and role that tell what an element holds.
@@ -42,6 +43,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$
                    r"|<([a-zA-Z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)(?:>|$)", re.S)
 UNENDED = re.compile(r"<[/a-zA-Z!?][^>]*$")
 NAMING = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+UNSEEN = re.compile(r"""(?:^|\s)type\s*=\s*["']?hidden\b""", re.I)
 PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
@@ -52,6 +54,8 @@ class Weights:
     bias: float = -0.4
     inside_main: float = 5.0
     never: float = -60.0
+    form: float = -14.0  # of a form that is there for its controls, see Form.odds
+    control_words: float = 8.0  # words of prose that speak against a control
     bad_name: float = -14.0
     good_name: float = 2.0
     page_header: float = -8.0
@@ -63,6 +67,21 @@ class Weights:
     sibling: float = 0.8  # and are children of one element; halved for each step apart in the tree
 
 
+@dataclass(slots=True, eq=False)
+class Form:
+    """What a form or a group of fields holds, those inside it included."""
+
+    outer: Form | None
+    controls: int = 0
+    labels: int = 0  # words
+    prose: float = 0.0  # words outside labels, links and what is never main text
+
+    def odds(self, w: Weights) -> float:
+        """A form counts in full if half or more of what it holds is controls and labels, not at all up to a quarter."""
+        fields = w.control_words * (1 + self.controls) + self.labels
+        return w.form * min(1.0, max(0.0, 4 * fields / (fields + self.prose) - 1))
+
+
 @dataclass(slots=True)
 class Element:
     tag: str
@@ -71,15 +90,17 @@ class Element:
     bad: int = 0  # names of the element and all around it
     good: int = 0
     never: bool = False
-    form: bool = False
+    form: Form | None = None  # the innermost, unless an article stands between
     main: bool = False
     header: bool = False
+    within: Form | None = None  # the innermost
+    label: bool = False  # of a form's control
 
     @property
     def apart(self) -> bool:
         """Something about this element itself speaks against it, so its text is no part of a block around it."""
         up = self.parent
-        return up is not None and (self.bad, self.never, self.form) > (up.bad, up.never, up.form)
+        return up is not None and (self.bad, self.never, self.form is not None and self.form is not up.form) > (up.bad, up.never, False)
 
 
 @dataclass(slots=True)
@@ -91,10 +112,16 @@ class Block:
 
 
 def _opened(tag: str, attributes: str, parent: Element) -> Element:
-    """A new element, with what it and those around it tell. Main text may stand in a form, or in an element of any name."""
+    """A new element, with what it and those around it tell. Main text may stand in a form, or in an element of any name.
+
+    Labels of a form's controls are never main text; the form itself is judged by what it holds.
+    """
     main = tag in MAIN
-    e = Element(tag, parent, parent.depth + 1, 0 if main else parent.bad, parent.good, parent.never or tag in NEVER,
-                not main and (parent.form or tag in FORMS), parent.main or main, parent.header or tag == "header")
+    within = Form(parent.within) if tag in FORMS else parent.within
+    label = parent.label or within is not None and tag in ("label", "legend")
+    form = None if main else within if tag in FORMS else parent.form
+    e = Element(tag, parent, parent.depth + 1, 0 if main else parent.bad, parent.good, parent.never or label or tag in NEVER,
+                form, parent.main or main, parent.header or tag == "header", within, label)
     if attributes and not attributes.isspace():
         for name, *values in NAMING.findall(attributes):
             value, name = "".join(values), name.lower()
@@ -113,6 +140,7 @@ def blocks(page: str) -> list[Block]:
     """The text blocks of a page in its order. Character references are decoded after the markup has been taken away."""
     root = Element("", None, 0)
     here, found, current, linked, at = root, [], None, 0, 0
+    forms: list[Form] = []
 
     def add(raw: str) -> None:
         nonlocal current
@@ -131,6 +159,8 @@ def blocks(page: str) -> list[Block]:
         closing, opening = token[1], token[2]
         if opening:
             tag = opening.lower()
+            if here.within is not None and tag in CONTROLS and not (tag == "input" and UNSEEN.search(token[3])):
+                here.within.controls += 1
             if tag in BLOCK:
                 current = None
                 here = _closed(here, tag if tag in ("li", "tr", "dt", "dd") else "p")
@@ -141,8 +171,10 @@ def blocks(page: str) -> list[Block]:
                 at = end.start() if end else len(page)
             elif tag == "a":
                 linked = 1
-            elif tag not in VOID and (tag in BLOCK or tag in CELLS or token[3].strip()):
+            elif tag not in VOID and (tag in BLOCK or tag in CELLS or tag in ("label", "legend") or token[3].strip()):
                 here = _opened(tag, token[3], here)
+                if tag in FORMS:
+                    forms.append(here.within)
                 if here.apart:
                     current = None
         elif closing:
@@ -162,6 +194,18 @@ def blocks(page: str) -> list[Block]:
         block.text = " ".join("".join(block.parts).split())
         if block.text:
             kept.append(block)
+            e = block.element
+            if e.within is not None:
+                words = block.text.count(" ") + 1
+                if e.label:
+                    e.within.labels += words
+                elif not e.never and not e.bad:
+                    e.within.prose += words * max(0.0, 1 - block.linked / len(block.text))
+    for form in reversed(forms):  # those inside come after those around them
+        if form.outer is not None:
+            form.outer.controls += form.controls
+            form.outer.labels += form.labels
+            form.outer.prose += form.prose
     return kept
 
 
@@ -183,7 +227,9 @@ def log_odds(block: Block, w: Weights) -> float:
     inner = e.tag in HEADINGS
     score = w.bias + w.per_log_word * min(6.0, words.bit_length()) + w.links * block.linked / len(block.text)
     score += w.punctuation * (block.text[-1] in ".!?…\"»”:;") + w.heading * inner + w.inside_main * e.main
-    score += w.good_name * min(2, e.good) + w.bad_name * min(2, e.bad) + w.never * (e.never or e.form)
+    score += w.good_name * min(2, e.good) + w.bad_name * min(2, e.bad) + w.never * e.never
+    if e.form is not None:
+        score += e.form.odds(w)
     if e.header and not (e.main and inner):
         score += w.page_header
     return score

@@ -53,6 +53,28 @@ def test_page_without_semantic_elements():
     assert html_extract.main_text(page) == "Head\nSome words of the story, told in full.\nShort.\nMore words of the story, told in full again."
 
 
+def test_form_around_the_whole_page():
+    story = [f"Part {i} of the story is told here in full, with all the words that it takes to tell it." for i in range(6)]
+    page = ('<body><form method="post" id="aspnetForm"><input type="hidden" name="__VIEWSTATE" value="x"><input type=hidden name=y>'
+            '<div class="top"><label for=q>Search this site</label> <input name=q id=q><button>Go</button></div>'
+            '<nav><a href=1>One</a> <a href=2>Two</a></nav><div class="content"><h1>Head of it</h1>' + "".join(f"<p>{x}</p>" for x in story)
+            + '</div><fieldset><legend>Your letter to us</legend><p>Enter your name here, please.</p><label>Name <input name=n></label>'
+            '<label>Mail <input name=m></label></fieldset></form></body>')
+    assert html_extract.main_text(page) == "\n".join(["Head of it", *story])
+    plain = page.replace('class="content"', 'class="c1"')
+    assert html_extract.main_text(plain) == "\n".join(["Head of it", *story])
+
+
+def test_forms_for_their_controls_are_left_out():
+    story = "".join(f"<p>Part {i} of the story is told here in full, with all its words.</p>" for i in range(3))
+    form = ('<form><p>Write to us whenever you like, and we will answer your letter soon.</p><label>Name</label><input name=n><label>Mail</label>'
+            '<input name=m><select name=s><option>One</option></select><textarea name=t></textarea><button>Send</button></form>')
+    want = html_extract.main_text(f'<div class="content">{story}</div>')
+    assert want.count("\n") == 2
+    for page in (f'<div class="content">{story}</div>{form}', f'<div class="content">{story}{form}</div>', f"<article>{story}{form}</article>"):
+        assert html_extract.main_text(page) == want
+
+
 def test_extract_on_odd_pages(spark):
     long = "<article>" + "".join(f"<p>Paragraph {i} with some words in it.</p>" for i in range(20_000)) + "</article>"
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>"), (4, "u", PAGE), (4, "u", PAGE), (5, "u", long), (6, "u", "<article><p>cut off &am"),
