@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,21 +88,47 @@ def check_unlinked(texts: DataFrame, declared: list[str], excludes: list[str] |
     return _finding(rows, "unlinked.referenced", "resource", F.col("path"))
 
 
+def listing_digests(declared: DataFrame) -> DataFrame:
+    """(bundle, digest): the SHA-256 of each bundle's listing ``(path, sha256, byte_size)`` as canonical JSON in order of paths.
+
+    A digest reads its listing from first to last, so the sorted entries of a bundle pass through one task, batch by batch; no
+    listing is held as a whole.
+    """
+    entry = ids.canonical_json(path=F.col("path"), sha256=F.col("sha256"), byte_size=F.col("byte_size"))
+    rows = declared.select("bundle", "path", entry.alias("j")).where("bundle IS NOT NULL").repartition("bundle").sortWithinPartitions("bundle", "path", "j")
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bundle, digest = None, None
+        for batch in batches:
+            done = []
+            for name, entries in groupby(zip(batch["bundle"], batch["j"], strict=True), itemgetter(0)):
+                text = ",".join(j for _, j in entries)
+                if name == bundle:
+                    digest.update(f",{text}".encode())
+                    continue
+                if bundle is not None:
+                    digest.update(b"]")
+                    done.append((bundle, digest.hexdigest()))
+                bundle, digest = name, hashlib.sha256(f"[{text}".encode())
+            yield pd.DataFrame(done, columns=["bundle", "digest"])
+        if bundle is not None:
+            digest.update(b"]")
+            yield pd.DataFrame([(bundle, digest.hexdigest())], columns=["bundle", "digest"])
+
+    return rows.select("bundle", "j").mapInPandas(digests, "bundle string, digest string")
+
+
 def check_bundles(inventory: DataFrame, declared: DataFrame, manifests: DataFrame) -> DataFrame:
     """Stored bundles against their manifests.
 
     ``inventory`` and ``declared`` are (bundle, path, sha256, byte_size); ``manifests`` is (bundle,
     format, source_kind, content_digest, resource_uuid, supported_format). The digest covers the
-    declared inventory as canonical JSON in declared order, so a bundle's listing is gathered whole;
-    its size is that of the bundle's own manifest.
+    declared inventory as canonical JSON in order of paths, see ``listing_digests``.
     """
     side = lambda df, name: df.select("bundle", "path", F.struct("sha256", "byte_size").alias(name))
     both = side(inventory, "a").join(side(declared, "d"), ["bundle", "path"], "full").where(~F.col("a").eqNullSafe(F.col("d")))
     content = both.groupBy("bundle").agg(F.count(F.lit(1)).alias("n"))
-    entry = ids.canonical_json(path=F.col("path"), sha256=F.col("sha256"), byte_size=F.col("byte_size"))
-    listing = declared.groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("path", entry.alias("j")))).alias("l"))
-    text = F.concat(F.lit("["), F.array_join(F.transform(F.coalesce("l", F.array().cast("array<struct<path:string,j:string>>")), lambda x: x["j"]), ","), F.lit("]"))
-    rows = manifests.join(listing, "bundle", "left").withColumn("digest", F.sha2(text, 256))
+    rows = manifests.join(listing_digests(declared), "bundle", "left").withColumn("digest", F.coalesce("digest", F.sha2(F.lit("[]"), 256)))
     identity = ids.uuid5_col(ids.BUNDLE_NAMESPACE, F.concat_ws(":", "source_kind", "digest"))
     codes = F.filter(F.array(
         F.when(F.col("format") != F.col("supported_format"), "unsupported_format"),

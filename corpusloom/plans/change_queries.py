@@ -646,10 +646,8 @@ def unlinked(spark: SparkSession, sf: str) -> DataFrame:
 def bundles(spark: SparkSession, sf: str) -> DataFrame:
     """Each source as a stored bundle; three of them are spoiled in different ways."""
     files = _inventory(spark, sf).select(F.split_part("path", F.lit("/"), F.lit(1)).alias("bundle"), "path", "sha256", F.col("size_bytes").alias("byte_size"))
-    entry = ids.canonical_json(path=F.col("path"), sha256=F.col("sha256"), byte_size=F.col("byte_size"))
-    listing = files.groupBy("bundle").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", entry.alias("j")))), lambda x: x["j"]), ",").alias("l"))
-    digest = F.sha2(F.concat(F.lit("["), "l", F.lit("]")), 256)
-    listing = listing.withColumn("content_digest", digest).withColumn("resource_uuid", ids.uuid5_col(ids.BUNDLE_NAMESPACE, F.concat(F.lit("folder:"), "content_digest")))
+    listing = filetree.listing_digests(files).withColumnRenamed("digest", "content_digest")
+    listing = listing.withColumn("resource_uuid", ids.uuid5_col(ids.BUNDLE_NAMESPACE, F.concat(F.lit("folder:"), "content_digest")))
     spoiled = F.col("bundle") == "src2"
     manifests = listing.select("bundle", F.when(F.col("bundle") == "src3", "v0").otherwise("v1").alias("format"), F.lit("v1").alias("supported_format"), F.lit("folder").alias("source_kind"),
                                F.when(spoiled, "0").otherwise(F.col("content_digest")).alias("content_digest"), F.when(spoiled, "0").otherwise(F.col("resource_uuid")).alias("resource_uuid"))

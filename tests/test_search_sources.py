@@ -125,3 +125,21 @@ def test_bundle_identity(spark):
     manifest = spark.createDataFrame([("b", "v1", "folder", digest, name, "v1")], "bundle STRING, format STRING, source_kind STRING, content_digest STRING, resource_uuid STRING, supported_format STRING")
     assert filetree.check_bundles(listing, listing, manifest).count() == 0
     assert [r["code"] for r in filetree.check_bundles(listing.where("false"), listing, manifest).collect()] == ["resource_content_mismatch"]
+
+
+def test_listings_are_digested_in_batches(spark):
+    rows = [(f"b{i % 3}", f"d/{i:05}é.md", f"{i:x}", i) for i in range(3000)]
+    listing = spark.createDataFrame(rows, "bundle STRING, path STRING, sha256 STRING, byte_size BIGINT").repartition(5)
+    want = {}
+    for name in ("b0", "b1", "b2"):
+        entries = [{"byte_size": n, "path": p, "sha256": h} for x, p, h, n in rows if x == name]
+        want[name] = hashlib.sha256(json.dumps(entries, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 70)
+    try:
+        found = filetree.listing_digests(listing)
+        assert {r["bundle"]: r["digest"] for r in found.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    manifest = spark.createDataFrame([("b0", "f", "k", "d", "u", "f")], "bundle STRING, format STRING, source_kind STRING, content_digest STRING, resource_uuid STRING, supported_format STRING")
+    plan = filetree.check_bundles(listing, listing, manifest)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
