@@ -128,10 +128,15 @@ def first_rejection(text: Text, cascade: Sequence[Rule]) -> str | None:
     return next((rule.name for rule in cascade if rule.rejects(text)), None)
 
 
-def fit_cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_docs: int = 400, text: str = "text") -> list[Rule]:
-    """The rules in the order that a sample of about ``sample_docs`` texts, picked by hash and read to the driver, calls for."""
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    sample = docs.select(text).where(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(share * 1_000_000))
+def fit_cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_docs: int = 400, text: str = "text", key: str = "doc_id") -> list[Rule]:
+    """The rules in the order that a sample of at most ``sample_docs`` texts, read to the driver, calls for.
+
+    Rows are picked by a hash of id and text, so that copies are picked one by one; null texts are not asked.
+    """
+    share, spread = min(1.0, sample_docs / max(1, docs.count())), 1 << 40
+    place = F.pmod(F.xxhash64(key, text), F.lit(spread))
+    picked = docs.where(F.col(text).isNotNull()).select(text, place.alias("_place")).where(F.col("_place") < int(share * spread))
+    sample = picked.orderBy("_place").limit(sample_docs)
     of = {r.name: r for r in rules}
     return [of[e.rule] for e in order_rules([r[0] for r in sample.collect()], rules)]
 

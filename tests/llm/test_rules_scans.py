@@ -148,6 +148,16 @@ def test_measures_match_brute_force(spark):
     assert docs.limit(0).select(quality.judge(quality.fit_cascade(docs.limit(0)))).count() == 0
 
 
+def test_sample_is_bounded_and_takes_copies_one_by_one(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(quality, "order_rules", lambda texts, rules: asked.append(list(texts)) or [quality.Estimate(r.name, 1.0, 0.0) for r in rules])
+    docs = docs_of(spark, [None] * 300 + ["copied text"] * 400 + [f"text {i}" for i in range(300)])
+    quality.fit_cascade(docs, sample_docs=100)
+    quality.fit_cascade(docs.where("text = 'copied text'"), sample_docs=100)
+    mixed, copies = asked
+    assert None not in mixed and 20 < len(mixed) <= 100 and 10 < mixed.count("copied text") < 70 and 60 < len(copies) <= 100
+
+
 def test_plain_prose_is_kept():
     rng = random.Random(4)
     prose = " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(300)) + " " + "x" * 50_000
