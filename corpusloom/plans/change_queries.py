@@ -596,7 +596,7 @@ def q18(spark: SparkSession, sf: str) -> DataFrame:
 def everything(spark: SparkSession, sf: str) -> DataFrame:
     """All checks on the damaged corpus, counted by code."""
     c = damaged(spark, sf)
-    return quality.summary(quality.validate(c, b.search_index(c).docs, full=False))
+    return quality.summary(quality.validate(c, b.search_index(c).docs))
 
 
 # ---- file trees -------------------------------------------------------------------

@@ -1,12 +1,14 @@
 import hashlib
 import json
 import uuid
+from types import SimpleNamespace
 
 from conftest import CORPUS_ID, NAMESPACE
 from pyspark.sql import functions as F
 
 from corpusloom.functions import ids
 from corpusloom.operators import filetree, quality, search, views
+from corpusloom.plans import change_queries
 from corpusloom.sources import files, imports, nodetext, oplog
 
 
@@ -143,3 +145,15 @@ def test_listings_are_digested_in_batches(spark):
     manifest = spark.createDataFrame([("b0", "f", "k", "d", "u", "f")], "bundle STRING, format STRING, source_kind STRING, content_digest STRING, resource_uuid STRING, supported_format STRING")
     plan = filetree.check_bundles(listing, listing, manifest)._jdf.queryExecution().toString()
     assert "collect_list" not in plan
+
+
+def test_validate_query_runs_all_checks(spark, make_corpus, monkeypatch):
+    asked = []
+    state = make_corpus([("E1", "object: one", "Text with a [gone](E404) link.")])
+    monkeypatch.setattr(change_queries, "damaged", lambda *_: state)
+    monkeypatch.setattr(change_queries.b, "search_index", lambda c: SimpleNamespace(docs=None))
+    for name in ("check_links", "check_reference_index", "check_roundtrip"):
+        check = getattr(quality, name)
+        monkeypatch.setattr(quality, name, lambda c, name=name, check=check: asked.append(name) or check(c))
+    found = {r["code"] for r in change_queries.everything(spark, "").collect()}
+    assert asked == ["check_links", "check_reference_index", "check_roundtrip"] and "promoted_reference_contract" in found
