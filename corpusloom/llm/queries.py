@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ann, html_extract, langid, licenses, mixing, ngram_join, packing, quality, toxicity, warc
+from corpusloom.llm import ann, html_extract, langid, licenses, merkle, mixing, neighbour_vote, ngram_join, packing, prefix_trie, quality, toxicity, warc
 from corpusloom.llm.common import crc_remainder, table
 
 
@@ -65,6 +65,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents"))
 
 
+def quality_model(docs: DataFrame, labels: DataFrame) -> neighbour_vote.Model:
+    return neighbour_vote.train(docs, labels.where(crc_remainder("doc_id", 3) != 1))
+
+
+def op11_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model(docs, table(spark, sf_dir, "labels"))
+    return docs.select("doc_id", (crc_remainder("doc_id", 3) == 1).alias("held_out"), neighbour_vote.quality(docs, model).alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark, table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_warc, op3_nearest_neighbours, op4_toxicity, op5_language_id, op6_packing,
-                                   op7_ngram_join, op8_license_scan, op9_quality_cascade, op10_mixing)}
-SQL = {"op2_warc": warc.SQL, "op7_ngram_join": ngram_join.SQL, "op10_mixing": mixing.SQL}
+                                   op7_ngram_join, op8_license_scan, op9_quality_cascade, op10_mixing, op11_quality_votes, op12_merkle_manifest, op13_prefix_trie)}
+SQL = {"op2_warc": warc.SQL, "op7_ngram_join": ngram_join.SQL, "op10_mixing": mixing.SQL,
+       "op12_merkle_manifest": merkle.SQL, "op13_prefix_trie": prefix_trie.SQL}
