@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.durable import checkpointed
+
 # Classes of bytes, 15 and one for the rest: small and capital letters, digits, blanks, line breaks, bytes beyond ASCII, kinds of marks.
 _CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", "", ".", ",;:", "!", "?", "'\"`-", "()[]{}<>/\\", "|", "#*", "$%&@")
 _GROUPS = 16
@@ -148,15 +150,16 @@ def fit(rows: Sequence[tuple[str, int]], dimensions: int = 48) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = 4_000, train_chars: int = 20_000) -> Model:
-    """Fit on at most ``train_docs`` labelled documents of at most ``train_chars`` characters, picked by a hash of id and text.
+    """Fit on at most ``train_docs`` labelled documents of at most ``train_chars`` characters, picked by a hash of the id.
 
-    Rows with a null id, text or label teach nothing; a document with several labels is good only if all say so. The rows that
-    reach the driver are bounded by both numbers, whatever repeats. Every document is scored, of any length.
+    Rows with a null id, text or label teach nothing; a document with several labels is good only if all say so, and of several texts
+    of one id the least in order counts. Ids are picked before any text is read, so the rows that leave their tasks
+    are bounded by both numbers, whatever repeats. Every document is scored, of any length.
     """
     marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
-    texts = docs.select("doc_id", "text").where(f"doc_id IS NOT NULL AND length(text) BETWEEN 1 AND {train_chars}")
-    mark = F.xxhash64(F.lit("quality"), "doc_id", "text")
-    drawn = texts.join(marked, "doc_id").select(mark.alias("mark"), "text", "quality").orderBy("mark").limit(train_docs)
+    picked = checkpointed(marked.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(train_docs))
+    texts = docs.select("doc_id", "text").where(f"length(text) BETWEEN 1 AND {train_chars}").join(F.broadcast(picked), "doc_id")
+    drawn = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     return fit([(r["text"], int(r["quality"] > 0)) for r in drawn.collect()])
 
 
