@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 # Fixed values of the HTML standard: elements without an end tag, with raw text, and those that end a paragraph.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes template svg math select option object".split())
+RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes template svg annotation annotation-xml select option".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
                   "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre search section summary table "
                   "tbody tfoot thead tr ul button".split())
@@ -30,6 +30,9 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER = frozenset("nav footer aside head menu button dialog search".split())
 FORMS = frozenset(("form", "fieldset"))
 CONTROLS = frozenset("input select textarea button".split())
+# An end or a new start of these closes none that is open beyond the nearest of the others.
+SCOPED = frozenset("p li tr dt dd".split())
+WALLS = frozenset("article main div section ul ol dl table blockquote td th form".split())
 MAIN = frozenset(("article", "main"))
 
 # Words in class, id and role that tell what an element holds.
@@ -37,6 +40,9 @@ BAD_NAMES = frozenset("ad ads advert advertisement advertising banner breadcrumb
                       "disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice pager pagination "
                       "popup promo related reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget "
                       "complementary contentinfo alert recommended".split())
+# Of these, names of tools: within an article they are judged by what the element holds, as forms are.
+TOOL_NAMES = frozenset("breadcrumb breadcrumbs login menu modal nav navbar navigation pager pagination popup share sharing signup social "
+                       "subscribe toolbar widget".split())
 GOOD_NAMES = frozenset("article articlebody body content entry main maintext post postbody story text".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)"
@@ -54,7 +60,7 @@ class Weights:
     bias: float = -0.4
     inside_main: float = 5.0
     never: float = -60.0
-    form: float = -14.0  # of a form that is there for its controls, see Form.odds
+    form: float = -14.0  # of a form or tool that is there for its controls, see Form.odds
     control_words: float = 8.0  # words of prose that speak against a control
     bad_name: float = -14.0
     good_name: float = 2.0
@@ -63,13 +69,15 @@ class Weights:
     punctuation: float = 0.8
     links: float = -5.0
     heading: float = 0.6
+    links_in_flow: float = -2.5  # in a list that prose leads to and goes on after
+    flow: float = 8.0  # between such a list, its items and the prose around it
     neighbour: float = 0.8  # blocks that follow each other
     sibling: float = 0.8  # and are children of one element; halved for each step apart in the tree
 
 
 @dataclass(slots=True, eq=False)
 class Form:
-    """What a form or a group of fields holds, those inside it included."""
+    """What a form, a group of fields or a tool of an article holds, those inside it included."""
 
     outer: Form | None
     controls: int = 0
@@ -130,6 +138,10 @@ def _opened(tag: str, attributes: str, parent: Element) -> Element:
             elif name != "aria-hidden" and tag not in ("html", "body") and not main:
                 words = {w.lower() for w in PART.findall(value)} | set(value.lower().split())
                 good, bad = not words.isdisjoint(GOOD_NAMES), not words.isdisjoint(BAD_NAMES)
+                if parent.main and bad and not good and words & BAD_NAMES <= TOOL_NAMES:
+                    if e.form is parent.form:
+                        e.form = e.within = Form(parent.within)
+                    bad = False
                 e.bad += bad and not good
                 e.good += good and not bad
                 e.header |= "header" in words and not good
@@ -141,6 +153,22 @@ def blocks(page: str) -> list[Block]:
     root = Element("", None, 0)
     here, found, current, linked, at = root, [], None, 0, 0
     forms: list[Form] = []
+    depths: dict[str, list[int]] = {}  # of the open elements of a name
+    walls: list[int] = []
+
+    def close(tag: str) -> bool:
+        """Leave the innermost open ``tag``; nothing happens if there is none within its scope. Looks only at what it closes."""
+        nonlocal here
+        opened = depths.get(tag)
+        if not opened or tag in SCOPED and walls and walls[-1] > opened[-1]:
+            return False
+        least = opened[-1]
+        while here.depth >= least:
+            depths[here.tag].pop()
+            if here.tag in WALLS:
+                walls.pop()
+            here = here.parent
+        return True
 
     def add(raw: str) -> None:
         nonlocal current
@@ -163,7 +191,7 @@ def blocks(page: str) -> list[Block]:
                 here.within.controls += 1
             if tag in BLOCK:
                 current = None
-                here = _closed(here, tag if tag in ("li", "tr", "dt", "dd") else "p")
+                close(tag if tag in SCOPED else "p")
             elif tag in CELLS and current is not None:
                 current.parts.append(" ")
             if tag in RAW and not token[3].rstrip().endswith("/"):
@@ -172,8 +200,11 @@ def blocks(page: str) -> list[Block]:
             elif tag == "a":
                 linked = 1
             elif tag not in VOID and (tag in BLOCK or tag in CELLS or tag in ("label", "legend") or token[3].strip()):
-                here = _opened(tag, token[3], here)
-                if tag in FORMS:
+                around, here = here, _opened(tag, token[3], here)
+                depths.setdefault(tag, []).append(here.depth)
+                if tag in WALLS:
+                    walls.append(here.depth)
+                if here.within is not around.within:
                     forms.append(here.within)
                 if here.apart:
                     current = None
@@ -185,8 +216,8 @@ def blocks(page: str) -> list[Block]:
                 linked = 0
             elif tag in CELLS and current is not None:
                 current.parts.append(" ")
-            before, here = here, _closed(here, tag)
-            if before is not here and before.apart:
+            before = here
+            if close(tag) and before.apart:
                 current = None
     add(UNENDED.sub("", page[at:]))
     kept = []
@@ -209,23 +240,39 @@ def blocks(page: str) -> list[Block]:
     return kept
 
 
-def _closed(here: Element, tag: str) -> Element:
-    """The element around the innermost open ``tag``; nothing happens if there is none within its scope."""
-    e = here
-    while e.parent is not None:
-        if e.tag == tag:
-            return e.parent
-        if tag in ("p", "li", "tr", "dt", "dd") and e.tag in ("article", "main", "div", "section", "ul", "ol", "dl", "table", "blockquote", "td", "th", "form"):
-            return here
-        e = e.parent
-    return here
-
-
-def log_odds(block: Block, w: Weights) -> float:
+def flowing_lists(found: Sequence[Block]) -> dict[int, Element]:
+    """Blocks of the lists that stand in a flow of prose, with their list: it follows prose and prose follows it, all children of one element."""
+    lists: list[tuple[Element, int, int]] = []
+    for i, block in enumerate(found):
+        e = block.element
+        while e is not None and e.tag not in ("ul", "ol", "dl"):
+            e = e.parent if e.tag in ("li", "dt", "dd", "p") else None
+        if e is None:
+            continue
+        if lists and lists[-1][0] is e and lists[-1][2] == i - 1:
+            lists[-1] = (e, lists[-1][1], i)
+        else:
+            lists.append((e, i, i))
+    out: dict[int, Element] = {}
+    for e, first, last in lists:
+        if first and last + 1 < len(found) and _prose(found[first - 1], e) and _prose(found[last + 1], e):
+            out |= dict.fromkeys(range(first, last + 1), e)
+    return out
+
+
+def _prose(block: Block, beside: Element) -> bool:
+    """A paragraph beside an element, of eight words or more, most of them not linked, that ends as a sentence does."""
+    e = block.element
+    return (e.tag == "p" and e.parent is beside.parent and block.text.count(" ") >= 7 and 2 * block.linked < len(block.text)
+            and block.text[-1] in ".!?…:;,\"»”")
+
+
+def log_odds(block: Block, w: Weights, in_flow: bool = False) -> float:
     """What the classifier says for content, in log odds."""
     e, words = block.element, block.text.count(" ") + 1
     inner = e.tag in HEADINGS
-    score = w.bias + w.per_log_word * min(6.0, words.bit_length()) + w.links * block.linked / len(block.text)
+    score = w.bias + w.per_log_word * min(6.0, words.bit_length())
+    score += (w.links_in_flow if in_flow else w.links) * block.linked / len(block.text)
     score += w.punctuation * (block.text[-1] in ".!?…\"»”:;") + w.heading * inner + w.inside_main * e.main
     score += w.good_name * min(2, e.good) + w.bad_name * min(2, e.bad) + w.never * e.never
     if e.form is not None:
@@ -235,8 +282,9 @@ def log_odds(block: Block, w: Weights) -> float:
     return score
 
 
-def smoothness(found: Sequence[Block], w: Weights) -> dict[tuple[int, int], float]:
-    """Edges between blocks: each and the next, and each and the next child of the same element."""
+def smoothness(found: Sequence[Block], w: Weights, flowing: dict[int, Element] | None = None) -> dict[tuple[int, int], float]:
+    """Edges between blocks: each and the next, and each and the next child of the same element; strong ones along a flow of prose."""
+    flowing = flowing or {}
     edges: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
     for j, block in enumerate(found):
@@ -244,7 +292,7 @@ def smoothness(found: Sequence[Block], w: Weights) -> dict[tuple[int, int], floa
             a, b, steps = found[j - 1].element, block.element, 0
             while a is not b:
                 a, b, steps = (a.parent, b, steps + 1) if a.depth >= b.depth else (a, b.parent, steps + 1)
-            edges[j - 1, j] = w.neighbour * 0.5 ** max(0, steps - 2)
+            edges[j - 1, j] = w.neighbour * 0.5 ** max(0, steps - 2) + w.flow * (j in flowing or j - 1 in flowing)
         around = id(block.element.parent or block.element)
         if (i := last.get(around)) is not None:
             edges[i, j] = edges.get((i, j), 0.0) + w.sibling
@@ -327,10 +375,16 @@ def _max_flow(nodes: Sequence[int], supply: Sequence[float], near: Sequence[dict
                 level[u] = -1
 
 
-def main_blocks(page: str | None, weights: Weights = Weights()) -> list[Block]:
+def labelled(page: str | None, weights: Weights = Weights()) -> list[tuple[Block, bool]]:
+    """The blocks of a page and whether they lie on the content side of the cut."""
     found = blocks(page or "")
-    keep = minimum_cut([log_odds(b, weights) for b in found], smoothness(found, weights))
-    return [b for b, kept in zip(found, keep, strict=True) if kept]
+    flowing = flowing_lists(found)
+    odds = [log_odds(b, weights, i in flowing) for i, b in enumerate(found)]
+    return list(zip(found, minimum_cut(odds, smoothness(found, weights, flowing)), strict=True))
+
+
+def main_blocks(page: str | None, weights: Weights = Weights()) -> list[Block]:
+    return [b for b, kept in labelled(page, weights) if kept]
 
 
 def main_text(page: str | None, weights: Weights = Weights()) -> str:
@@ -346,10 +400,9 @@ def extract(column: str = "html", weights: Weights = Weights()) -> Column:
         for series in pages:
             rows = []
             for page in series:
-                found = blocks(page or "")
-                keep = minimum_cut([log_odds(b, weights) for b in found], smoothness(found, weights))
-                text = "\n".join(b.text for b, kept in zip(found, keep, strict=True) if kept)
-                rows.append((text, len(text), len(found), sum(keep)))
+                found = labelled(page, weights)
+                text = "\n".join(b.text for b, kept in found if kept)
+                rows.append((text, len(text), len(found), sum(kept for _, kept in found)))
             yield pd.DataFrame(rows, columns=["text", "n_chars", "n_blocks", "n_kept"])
 
     return extracted(F.col(column))

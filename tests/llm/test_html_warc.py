@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import time
 import zlib
 
 import duckdb
@@ -53,6 +54,35 @@ def test_page_without_semantic_elements():
     assert html_extract.main_text(page) == "Head\nSome words of the story, told in full.\nShort.\nMore words of the story, told in full again."
 
 
+def test_formulas_and_fallbacks_stay():
+    page = ("<article><p>Let <math><mi>x</mi><mo>+</mo><mi>y</mi><annotation>x+y</annotation></math> be given, and so on it goes.</p>"
+            "<object data=z>What is shown in place of the picture, in words.</object></article>")
+    assert html_extract.main_text(page) == "Let x+y be given, and so on it goes.\nWhat is shown in place of the picture, in words."
+
+
+def test_a_list_of_links_within_prose_stays_and_a_menu_goes():
+    lead, after = "There are two things that we shall look at here:", "Both of them are told of in the story, at length."
+    items = "".join(f"<li><a href={x}>Thing {x}</a></li>" for x in "ab")
+    assert html_extract.main_text(f"<h1>Head</h1><p>{lead}</p><ul>{items}</ul><p>{after}</p>") == f"Head\n{lead}\nThing a\nThing b\n{after}"
+    assert html_extract.main_text(f"<h1>Head of it</h1><ul>{items}</ul><p>{lead}</p><p>{after}</p>") == f"Head of it\n{lead}\n{after}"
+    assert html_extract.main_text(f"<p>{lead}</p><nav><ul>{items}</ul></nav><p>{after}</p>") == f"{lead}\n{after}"
+
+
+def test_names_of_tools_in_an_article_are_judged_by_what_they_hold():
+    share = "To share is to give a part of what one has to others, and all who did so in the long history of the town were glad of it in the end."
+    login = "A login is what lets you in, and this text explains how it came to be that we all have so very many of them today."
+    page = (f'<article><h1>Head</h1><p class="share">{share}</p><div class="share"><a href=1>Tweet</a> <a href=2>Mail</a></div>'
+            f'<div class="share">Share this with friends.</div><p class=login>{login}</p><div class=comments><p>{share}</p></div></article>')
+    assert html_extract.main_text(page) == f"Head\n{share}\n{login}"
+
+
+@pytest.mark.parametrize("part", ["<b class=x>w</i> ", "<b class=x><h1>w", "<div><i class=y>w</p></li></em>", "<form><p class=share>w "])
+def test_bad_markup_takes_time_in_proportion(part):
+    began = time.process_time()
+    html_extract.main_text("<p><td>" + part * 20_000)
+    assert time.process_time() - began < 12
+
+
 def test_form_around_the_whole_page():
     story = [f"Part {i} of the story is told here in full, with all the words that it takes to tell it." for i in range(6)]
     page = ('<body><form method="post" id="aspnetForm"><input type="hidden" name="__VIEWSTATE" value="x"><input type=hidden name=y>'
