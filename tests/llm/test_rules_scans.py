@@ -167,13 +167,43 @@ def test_plain_prose_is_kept():
     assert quality.first_rejection(quality.Text(prose[:1000].replace(" ", "### ")), quality.RULES) == "many_symbols"
 
 
+def test_order_counts_what_a_rule_pays_beyond_the_reported_measures(monkeypatch):
+    spent = [0.0]
+
+    def costly(name, cost):
+        plain = quality.Text.__dict__[name].func
+
+        def measure(self):
+            spent[0] += cost
+            return plain(self)
+
+        prop = quality.cached_property(measure)
+        prop.__set_name__(quality.Text, name)
+        monkeypatch.setattr(quality.Text, name, prop)
+
+    for name, cost in (("n_symbols", 50.0), ("n_dup_lines", 50.0), ("letter_share", 3.0), ("top_word", 1.0)):
+        costly(name, cost)
+
+    def clock():
+        spent[0] += 0.1
+        return spent[0]
+
+    prose = [" ".join(f"word{i}x{j}" for j in range(30)) for i in range(20)]
+    texts = prose + [p.replace(" ", "# ") for p in prose[:8]] + ["short text"] * 30 + ["say it again " * 20] * 30
+    estimates = quality.order_rules(texts, quality.RULES, clock=clock)
+    first = estimates[0]
+    assert first.rule == "many_symbols" and first.rejected == 8 / 28 and first.seconds < 0.01  # its measure is there already, and junk is not asked
+    seconds = {e.rule: e.seconds for e in estimates}
+    assert seconds["repeated_lines"] < 0.02 and seconds["few_letters"] > 2.9 and 0.9 < seconds["one_word"] < 1.2
+
+
 def test_order_is_by_rejections_per_cost():
     def slow(_):
         sum(range(20_000))
         return True
 
     rules = [quality.Rule("never", lambda t: False), quality.Rule("slow", slow), quality.Rule("some", lambda t: len(t.text) % 2 == 0)]
-    order = [e.rule for e in quality.order_rules(["x" * i for i in range(40)], rules)]
+    order = [e.rule for e in quality.order_rules(["x" * i for i in range(40)], rules, base=())]
     assert order[0] == "some" and order.index("slow") == 1
     assert quality.order_rules([], rules)[0].rule == "never"
     asked = []
