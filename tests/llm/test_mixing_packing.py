@@ -63,6 +63,20 @@ def test_mix_emits_what_the_plan_takes(spark):
         assert r["taken"] == r["size"] * times[r["doc_id"]]
 
 
+def test_rows_without_id_and_repeated_ones_draw_for_themselves(spark):
+    rows = [(None, words(1 + i % 3), "abc"[i % 3]) for i in range(2000)] + [(4, words(3), "d")] * 10_000 + [(5, None, "d")] * 3
+    docs = docs_of(spark, rows)
+    taken, target = Counter(), {}
+    for r in mixing.plan_mix(docs).collect():
+        taken[r["source_size"], r["target"]] += r["taken"]
+    assert len(taken) == 4 and all(abs(n - target) < 0.06 * target for (_, target), n in taken.items())
+    mixed = Counter(r["source"] for r in mixing.mix(docs).collect() if r["text"])
+    size = {"a": 1, "b": 2, "c": 3, "d": 3}
+    assert sorted(mixed[s] * size[s] for s in size) == sorted(taken.values())
+    documents = docs.select("doc_id", "text", "source").toArrow()  # noqa: F841
+    assert sorted(map(str, duckdb.sql(mixing.SQL).fetchall())) == sorted(str(tuple(r)) for r in mixing.plan_mix(docs).collect())
+
+
 def test_mix_of_nothing(spark):
     empty = spark.createDataFrame([], DOCS)
     assert mixing.plan_mix(empty).count() == 0 and mixing.mix(empty).count() == 0
