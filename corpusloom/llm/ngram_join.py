@@ -19,7 +19,6 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.durable import checkpointed
@@ -257,6 +256,23 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     Rows with a null id take part, but name a class only if it has no other id (it is null then). Repeated rows are copies of
     each other. An empty table gives an empty result.
     """
+    sketches, facts = classes_of(docs, settings)
+    bare = sketches.where("print IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return sketches.where("print IS NOT NULL").select("doc_id", "print").join(
+        facts.select("print", "class_id", "n_links"), "print").select("doc_id", "class_id", "n_links").unionByName(bare)
+
+
+def text_mark(text: str) -> Column:
+    """A digest of a text, null told from empty."""
+    return F.unhex(F.md5(F.coalesce(F.concat(F.lit("="), F.col(text).cast("string")), F.lit("")).cast("binary")))
+
+
+def classes_of(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, mark, print, sig) of every row, and per print: ``print, class, class_id, n_links, first``.
+
+    Equal prints are equal shingle sets, null if there is none. ``class`` is the same for all sets connected by links and for no other; ``first`` is
+    the row (no_id, doc_id, mark) of the set with the smallest id.
+    """
     s = settings
     folder = run_folder(docs.sparkSession, "join")
 
@@ -267,7 +283,7 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             for text in batch["text"]:
                 shingles = shingle_set(text, s.words, memory)
                 rows.append((xxhash.xxh3_128_digest(shingles.tobytes()), min_hashes(shingles, s.hashes).tobytes()) if len(shingles) else (None, None))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "print": [r[0] for r in rows], "sig": [r[1] for r in rows]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "mark": batch["mark"], "print": [r[0] for r in rows], "sig": [r[1] for r in rows]})
 
     def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -294,9 +310,10 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             yield batch.loc[np.array(close, bool), ["a", "b", "copies_a", "copies_b"]]
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = stored(texts.mapInPandas(sketch, "doc_id long, print binary, sig binary"), folder, "sketches")
+    sketches = stored(texts.withColumn("mark", text_mark("text")).mapInPandas(sketch, "doc_id long, mark binary, print binary, sig binary"), folder, "sketches")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
     sets = stored(sketches.where("print IS NOT NULL").groupBy("print").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("sig").alias("sig")).withColumn("id", F.monotonically_increasing_id()), folder, "sets")
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("sig").alias("sig"), F.min(row).alias("first")).withColumn("id", F.monotonically_increasing_id()), folder, "sets")
 
     keyed = sets.select("id", "sig").mapInPandas(bands, "id long, key long")
     crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -345,24 +362,32 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 .unionByName(tiles.select("id", "links")).groupBy("id").agg(F.sum("links").alias("links")))
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(tiles.select(F.col("id").alias("u"), F.col("root").alias("v")))
     rooted = components(edges).select(F.col("node").alias("id"), "root").join(sets.select("id", "rep"), "id")
-    classes = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("class_id")), "root").select("id", "class_id")
-    facts = sets.select("id", "print", "rep", "copies").join(per, "id", "left").join(classes, "id", "left").select(
-        "print", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    bare = sketches.where("print IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return sketches.where("print IS NOT NULL").select("doc_id", "print").join(facts, "print").select("doc_id", "class_id", "n_links").unionByName(bare)
+    classes = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("class_id")), "root").select("id", "class_id", "root")
+    return sketches, sets.select("id", "print", "rep", "copies", "first").join(per, "id", "left").join(classes, "id", "left").select(
+        "print", F.coalesce("root", "id").alias("class"), F.coalesce("class_id", "rep").alias("class_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "first")
 
 
 def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The documents that name their class, one row of each: of rows with one id and text, one stays.
+    """One document of each class: the one with the smallest id, or of several texts that share it the one with the smallest digest.
 
-    Documents without an id in a class of none such are all kept but for equal texts.
+    Of rows with one id and text, one stays, with the columns of any of them. A class without any id keeps one row too. Rows
+    without shingles have no near copies; of those with one id and text, one stays.
     """
-    joined = join(docs, settings)
+    sketches, facts = classes_of(docs, settings)
+    folder = run_folder(docs.sparkSession, "kept")
     known = lambda c: F.coalesce(c.cast("long"), F.lit(-(1 << 63)))
-    kept = joined.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(known(F.col("doc_id")).alias("_id")).distinct()
-    rows = docs.select(known(F.col("doc_id")).alias("_id"), F.xxhash64("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    first = F.row_number().over(W.partitionBy("_id", "_text").orderBy(F.lit(0)))
-    return rows.join(kept, "_id", "left_semi").withColumn("_first", first).where("_first = 1").select("row.*")
+    chosen = facts.groupBy("class").agg(F.min("first").alias("first")).select(known(F.col("first.doc_id")).alias("_id"), F.col("first.mark").alias("_mark"))
+    rows_of = sketches.groupBy(known(F.col("doc_id")).alias("_id"), F.col("mark").alias("_mark"), F.col("print").isNull().alias("_bare")).agg(F.count(F.lit(1)).alias("_n"))
+    kept = stored(rows_of.where("NOT _bare").join(chosen, ["_id", "_mark"], "left_semi").unionAll(rows_of.where("_bare")).select("_id", "_mark", "_n"), folder, "rows")
+    whole = docs.select(known(F.col("doc_id")).alias("_id"), text_mark("text").alias("_mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    once = whole.join(kept.where("_n = 1"), ["_id", "_mark"]).select("row.*")
+    more = kept.where("_n > 1")
+    if not more.head(1):
+        return once
+    # Repeated rows are stored before they are grouped, so that each task hands on one of a key.
+    repeated = stored(whole.join(more, ["_id", "_mark"]), folder, "repeated")
+    return once.unionAll(repeated.groupBy("_id", "_mark").agg(F.first("row").alias("row")).select("row.*"))
 
 
 SQL = r"""

@@ -157,6 +157,17 @@ def test_one_of_each_keeps_least_ids(spark):
     assert ngram_join.join(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_one_of_each_of_ids_with_several_texts(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(3, base), (5, base + " tail"), (5, other), (7, other + " x"), (7, other + " y"), (7, other + " y"), (None, "no id here at all"),
+            (None, "no id here at all"), (8, None), (8, None), (8, ""), (None, None), (5, "a third text of this id")]
+    kept = sorted(((r["doc_id"], r["text"]) for r in ngram_join.one_of_each(docs_of(spark, rows)).collect()), key=str)
+    assert kept == sorted([(3, base), (5, other), (None, "no id here at all"), (8, None), (8, ""), (None, None), (5, "a third text of this id")], key=str)
+    hot = docs_of(spark, [(None, "copied")] * 500 + [(1, "alone")])
+    assert sorted((r["text"] for r in ngram_join.one_of_each(hot).collect())) == ["alone", "copied"]
+
+
 def test_pruning_bounds():
     s = ngram_join.Settings()
     steps = dict(ngram_join.least_matches(s))
