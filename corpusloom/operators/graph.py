@@ -10,6 +10,7 @@ from corpusloom.corpus import Corpus
 from corpusloom.functions.durable import checkpointed
 from corpusloom.functions.ids import canonical_json
 from corpusloom.functions.ordered import grouped_page, grouped_rank
+from corpusloom.operators.reachability import ancestor_ranges, build_index, descendants, listed
 from corpusloom.operators.views import current_nodes
 
 
@@ -199,10 +200,23 @@ def revision_chains(revisions: DataFrame) -> DataFrame:
 
 
 def ancestors(parents: DataFrame, starts: DataFrame) -> DataFrame:
-    """Every ancestor (with its least distance) of each start in ``parents(child, parent)``.
+    """Every ancestor (with its least distance) of each start in ``parents(child, parent)``: ``start, ancestor, distance``.
 
-    The reach doubles each round, so a long chain needs few rounds.
+    Where each child has one parent, as snapshots do, ancestors are ranges of chains, listed by one join; a node's depth is the
+    length of its ranges. With several parents the least distance has to be found by doubling the reach of the starts.
     """
+    index = build_index(parents)
+    if not index.is_forest:
+        return _nearest_ancestors(parents, starts)
+    rows = listed(index, ancestor_ranges(index, starts.select(F.col("child").alias("start"))))
+    depths = checkpointed(ancestor_ranges(index, index.positions.select(F.col("node").alias("start"))).groupBy(F.col("start").alias("node")).agg(
+        F.sum(F.col("upto") + 1).alias("depth")))
+    low = depths.select(F.col("node").alias("start"), F.col("depth").alias("_low"))
+    high = depths.select(F.col("node").alias("ancestor"), F.col("depth").alias("_high"))
+    return rows.join(low, "start").join(high, "ancestor", "left").select("start", "ancestor", (F.col("_low") - F.coalesce("_high", F.lit(0))).alias("distance"))
+
+
+def _nearest_ancestors(parents: DataFrame, starts: DataFrame) -> DataFrame:
     edges = checkpointed(parents.where("parent IS NOT NULL").select("child", "parent").distinct())
     hop = edges
     reach = checkpointed(starts.select(F.col("child").alias("start")).distinct().select(
@@ -222,8 +236,5 @@ def ancestors(parents: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def is_descendant(parents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Adds ``is_descendant`` to ``pairs(snapshot, ancestor)``."""
-    reach = ancestors(parents, pairs.select(F.col("snapshot").alias("child"))).select(
-        F.col("start").alias("snapshot"), "ancestor", F.lit(True).alias("_hit"))
-    return pairs.join(reach, ["snapshot", "ancestor"], "left").withColumn(
-        "is_descendant", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    """Adds ``is_descendant`` to ``pairs(snapshot, ancestor)``, by an index of chains and positions."""
+    return descendants(build_index(parents), pairs)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.corpus import Corpus
 from corpusloom.functions import text
 from corpusloom.functions.durable import checkpointed
+from corpusloom.functions.ordered import grouped_rank
 from corpusloom.functions.rows import computed_once
 from corpusloom.operators.views import resolve
 
@@ -163,19 +164,63 @@ def operator_counts(index: DataFrame) -> DataFrame:
     return index.where("role = 'operator'").groupBy("pointer").agg(F.count(F.lit(1)).alias("uses"))
 
 
-def blast_radius(roots: DataFrame, edges: DataFrame, bearing: DataFrame, depth: int = 2) -> DataFrame:
-    """Nodes touched by changing each root: ``(root, kind, touched)``.
+# ---- blast radius -----------------------------------------------------------------
+_PACK = 64  # roots to a bitmap
+
+
+def packed_roots(roots: DataFrame) -> DataFrame:
+    """``pointer, pack, bit`` for distinct ``roots(pointer)``: numbered along a hash, 64 to a pack."""
+    place = F.xxhash64("pointer")
+    numbered = grouped_rank(roots.where("pointer IS NOT NULL").select("pointer").distinct(), [], [place, F.col("pointer")], F.shiftright(place, 52), "_n")
+    return numbered.select("pointer", F.floor((F.col("_n") - 1) / _PACK).cast("long").alias("pack"),
+                           F.expr(f"shiftleft(1L, CAST((_n - 1) % {_PACK} AS INT))").alias("bit"))
+
 
-    ``roots(pointer)``, ``edges(source, target, kind)`` as pointers, where the source depends on the
-    target; the effect spreads on only through ``bearing(pointer)``, the notation-bearing nodes.
+def reached(roots: DataFrame, edges: DataFrame, bearing: DataFrame | None = None, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """What depends on each root, with the roots of a node packed into bitmaps.
+
+    ``edges(source, target, kind)`` are pointers, where the source depends on the target; the effect spreads on only through
+    ``bearing(pointer)`` nodes, through all of them if not given, ``depth`` steps or until nothing new is reached. Gives the
+    ``packed_roots`` and ``source, kind, pack, bits``: the bits of the roots that reach a source over an edge of a kind. A node is joined once a level for
+    each pack of roots that has newly reached it, and no row names one root. A root does not reach itself; null pointers reach nothing.
     """
-    into = edges.select("source", "target", "kind").distinct()
-    frontier = roots.select(F.col("pointer").alias("root"), F.col("pointer").alias("target")).distinct()
-    touched = None
-    for level in range(depth):
-        step = frontier.join(into, "target").where(F.col("source") != F.col("root")).select("root", "source", "kind").distinct()
-        touched = checkpointed(step if touched is None else touched.unionByName(step).distinct())
-        if level + 1 < depth:
-            frontier = step.select("root", F.col("source").alias("target")).distinct().join(
-                bearing.select(F.col("pointer").alias("target")), "target", "left_semi")
-    return touched.groupBy("root", "kind").agg(F.countDistinct("source").alias("touched"))
+    packed = checkpointed(packed_roots(roots))
+    own = packed.select(F.col("pointer").alias("_self"), F.col("pack").alias("_pack"), F.col("bit").alias("_bit"))
+    into = checkpointed(edges.where("source IS NOT NULL AND target IS NOT NULL").select("source", "target", "kind").distinct())
+    spreads = None if bearing is None else bearing.select(F.col("pointer").alias("target")).distinct()
+    front = packed.groupBy(F.col("pointer").alias("target"), "pack").agg(F.bit_or("bit").alias("bits"))
+    seen, touched, level = checkpointed(front), None, 0
+    while True:
+        step = into.join(front, "target").groupBy("source", "kind", "pack").agg(F.bit_or("bits").alias("bits"))
+        others = step.join(own, (F.col("source") == F.col("_self")) & (F.col("pack") == F.col("_pack")), "left").withColumn(
+            "bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_bit", F.lit(0).cast("long"))))).where("bits != 0")
+        step = checkpointed(others.select("source", "kind", "pack", "bits"))
+        touched = step if touched is None else checkpointed(touched.unionByName(step).groupBy("source", "kind", "pack").agg(F.bit_or("bits").alias("bits")))
+        level += 1
+        if level == depth:
+            break
+        arrived = step.groupBy(F.col("source").alias("target"), "pack").agg(F.bit_or("bits").alias("bits"))
+        if spreads is not None:
+            arrived = arrived.join(spreads, "target", "left_semi")
+        known = seen.select(F.col("target").alias("_at"), F.col("pack").alias("_pack"), F.col("bits").alias("_known"))
+        fresh = arrived.join(known, (F.col("target") == F.col("_at")) & (F.col("pack") == F.col("_pack")), "left").withColumn(
+            "bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_known", F.lit(0).cast("long"))))).where("bits != 0")
+        front = checkpointed(fresh.select("target", "pack", "bits"))
+        if not front.head(1):
+            break
+        seen = checkpointed(seen.unionByName(front).groupBy("target", "pack").agg(F.bit_or("bits").alias("bits")))
+    return packed, touched
+
+
+def count_reached(packed: DataFrame, touched: DataFrame, *by: str) -> DataFrame:
+    """``root, *by, touched``: the bitmaps of a pack are summed bit by bit where they lie; only the sums become rows of roots."""
+    bits = [F.sum(F.expr(f"CAST(shiftrightunsigned(bits, {k}) & 1L AS BIGINT)")).alias(f"_{k}") for k in range(_PACK)]
+    sums = touched.groupBy("pack", *by).agg(*bits)
+    counted = F.array(*[F.struct(F.expr(f"shiftleft(1L, {k})").alias("bit"), F.col(f"_{k}").alias("touched")) for k in range(_PACK)])
+    rows = sums.select("pack", *by, F.explode(F.filter(counted, lambda c: c["touched"] > 0)).alias("c")).select("pack", *by, "c.*")
+    return rows.join(packed, ["pack", "bit"]).select(F.col("pointer").alias("root"), *by, "touched")
+
+
+def blast_radius(roots: DataFrame, edges: DataFrame, bearing: DataFrame, depth: int = 2) -> DataFrame:
+    """Nodes touched by changing each root, within ``depth`` steps: ``(root, kind, touched)``; see :func:`reached`."""
+    return count_reached(*reached(roots, edges, bearing, depth), "kind")

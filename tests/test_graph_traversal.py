@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.corpus import shaped
 from corpusloom.functions import ids
-from corpusloom.operators import graph, traversal
+from corpusloom.operators import graph, reachability, traversal
 from corpusloom.schema import CORPUS_TABLES
 
 
@@ -90,6 +90,93 @@ def test_ancestors_in_a_dag(spark):
     assert {tuple(r) for r in graph.is_descendant(parents, pairs).collect()} == {("g", "c", True), ("c", "g", False), ("b", "a", True)}
 
 
+def _above(edges):
+    """Every node with what can be reached over one step or more."""
+    up = {}
+    for child, parent in edges:
+        if child is not None and parent is not None:
+            up.setdefault(child, set()).add(parent)
+    out = {}
+    for node in {n for e in edges for n in e if n is not None}:
+        found, todo = set(), list(up.get(node, ()))
+        while todo:
+            n = todo.pop()
+            if n not in found:
+                found.add(n)
+                todo += up.get(n, ())
+        out[node] = found - {node}
+    return out
+
+
+@pytest.mark.parametrize("kind", ["forest", "cycles"])
+def test_reachability_by_brute_force(spark, kind):
+    rng = random.Random(3)
+    edges = [("n0", None), ("n1", "n0"), ("n1", "n0"), (None, "n0"), ("alone", None)]
+    edges += [(f"n{i}", f"n{rng.choice([i - 1, i - 1, rng.randrange(i)])}") for i in range(2, 40)]
+    edges += [(f"t{i}", f"t{i - 1}") for i in range(1, 12)]
+    if kind == "cycles":
+        edges += [(f"n{i}", f"n{rng.randrange(i)}") for i in rng.sample(range(5, 40), 12)] + [("n30", "t5"), ("t9", "n12")]
+        edges += [("x", "y"), ("y", "z"), ("z", "x"), ("below", "x"), ("x", "n7"), ("self", "self"), ("n3", "n33")]
+    above = _above(edges)
+    parents = spark.createDataFrame(edges, "child STRING, parent STRING")
+    index = reachability.build_index(parents)
+    assert index.is_forest == (kind == "forest")
+    asked = [(a, b) for a in above for b in above] + [("n5", "n0"), ("nowhere", "n0"), (None, "n0"), ("n5", None)]
+    pairs = spark.createDataFrame(asked, "snapshot STRING, ancestor STRING")
+    got = {}
+    for r in reachability.descendants(index, pairs).collect():
+        got.setdefault((r["snapshot"], r["ancestor"]), []).append(r["is_descendant"])
+    assert sum(map(len, got.values())) == len(asked) and got["n5", "n0"] == [True, True]
+    assert all(set(hit) == {b in above.get(a, ())} for (a, b), hit in got.items())
+    starts = spark.createDataFrame([(a,) for a in above], "start STRING")
+    rows = reachability.listed(index, reachability.ancestor_ranges(index, starts)).collect()
+    assert sorted((r["start"], r["ancestor"]) for r in rows) == sorted((a, b) for a in above for b in above[a])
+    if kind == "forest":
+        up = {c: p for c, p in edges if c and p}
+        far = {(r["start"], r["ancestor"]): r["distance"] for r in graph.ancestors(parents, starts.withColumnRenamed("start", "child")).collect()}
+        assert len(far) == len(rows)
+        for (a, b), n in far.items():
+            for _ in range(n):
+                a = up[a]
+            assert a == b
+
+
+def test_reachability_of_nothing(spark):
+    index = reachability.build_index(spark.createDataFrame([], "child STRING, parent STRING"))
+    assert index.positions.count() == 0
+    assert reachability.descendants(index, spark.createDataFrame([("a", "b")], "snapshot STRING, ancestor STRING")).first()["is_descendant"] is False
+
+
+@pytest.mark.parametrize("depth, with_bearing", [(3, True), (None, False)])
+def test_blast_radius_by_brute_force(spark, depth, with_bearing):
+    rng = random.Random(8)
+    nodes = [f"p{i}" for i in range(220)]
+    edges = {(rng.choice(nodes), rng.choice(nodes[:60]), rng.choice(["link", "triple"])) for _ in range(400)} | {(n, "hub", "link") for n in nodes[:150]} | {("hub", "p3", "triple")}
+    bearing = set(rng.sample(nodes, 110)) | {"hub"}
+    roots = [*nodes[:140], "hub", "unknown", "p0", None]
+    want = {}
+    for root in set(roots) - {None}:
+        front, seen, level, hit = {root}, {root}, 0, set()
+        while front and level != depth:
+            step = {(s, k) for s, t, k in edges if t in front and s != root}
+            hit |= step
+            level += 1
+            front = {s for s, _ in step if not with_bearing or s in bearing} - seen
+            seen |= front
+        for _, k in hit:
+            want[root, k] = want.get((root, k), 0) + 1
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    given = [*edges, *list(edges)[:9], (None, "p1", "link"), ("p1", None, "link")]
+    packed, touched = traversal.reached(frame([(r,) for r in roots], "pointer STRING"), frame(given, "source STRING, target STRING, kind STRING"),
+                                        frame([(n,) for n in bearing], "pointer STRING") if with_bearing else None, depth)
+    got = traversal.count_reached(packed, touched, "kind").collect()
+    assert {(r["root"], r["kind"]): r["touched"] for r in got} == want
+    # A node that many roots reach is a few rows of bitmaps.
+    assert touched.where("source = 'p5'").count() <= 2 * 3
+    nothing = traversal.blast_radius(frame([], "pointer STRING"), frame(given, "source STRING, target STRING, kind STRING"), frame([], "pointer STRING"))
+    assert nothing.count() == 0
+
+
 def _lawful(text):
     """Reads the grammar S = T(':'T)*, T = '(' (P | S) ')' recursively."""
     source = "".join(text.split())
