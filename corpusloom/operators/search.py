@@ -12,6 +12,7 @@ from corpusloom.corpus import Corpus
 from corpusloom.functions import text
 from corpusloom.functions.durable import checkpointed
 from corpusloom.functions.ordered import grouped_page
+from corpusloom.functions.rows import computed_once
 from corpusloom.operators.views import current_nodes
 
 # Fixed values of the ranking function.
@@ -116,31 +117,149 @@ def matches(index: SearchIndex, queries: DataFrame) -> DataFrame:
     return scored.groupBy("query_id", "uuid", "pointer", "title").agg(F.round(-F.sum("part"), 6).alias("rank"))
 
 
+# ---- ranked search over blocks ------------------------------------------------------
+@dataclass(frozen=True)
+class BlockIndex:
+    """``postings(term, block, uuid, impact)`` clustered by document ranges, and ``blocks(term, block, n, most)`` with the greatest impact of each."""
+
+    postings: DataFrame
+    blocks: DataFrame
+    docs: DataFrame
+
+    def write(self, path: str, buckets: int = 64) -> None:
+        """Postings clustered by term bucket, term and block, so that the row groups of blocks that are not wanted are passed over."""
+        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+        clustered = self.postings.withColumn("bucket", bucket).repartitionByRange("bucket", "term", "block")
+        clustered.sortWithinPartitions("bucket", "term", "block").write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/block_postings")
+        self.blocks.write.mode("errorifexists").parquet(f"{path}/blocks")
+        self.docs.write.mode("errorifexists").parquet(f"{path}/docs")
+
+
+def build_blocks(index: SearchIndex, per_length: int = 8) -> BlockIndex:
+    """Documents of about one length share a range, so that the impacts within a block lie close together; a length has ``per_length`` ranges."""
+    average = index.docs.agg(F.avg("length").alias("a")).scalar()
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("_average"))
+    block = F.floor(4 * F.log2(F.col("length") + 1)) * per_length + F.pmod(F.xxhash64("uuid"), F.lit(per_length))
+    placed = index.docs.select("uuid", "length", average.alias("_average"), block.cast("int").alias("block"))
+    postings = index.postings.join(placed, "uuid").select("term", "block", "uuid", (F.col("tf") * (K1 + 1) / norm).alias("impact"))
+    blocks = postings.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("impact").alias("most"))
+    return BlockIndex(postings, blocks, index.docs)
+
+
+def pruned_search(index: SearchIndex, ranked: BlockIndex, queries: DataFrame, limit: int = 20, cursor: int = 0, first: int = 4) -> tuple[DataFrame, DataFrame]:
+    """The page that :func:`search` gives, without ``total``, reading only blocks that can matter; and what was read for each query.
+
+    The best ``first`` ranges of a query by the sum of their units' greatest impacts are scored first. The score at the end of the page
+    is the threshold: of the other ranges only those whose sum reaches it are read. Queries with a phrase are ranked by :func:`search`,
+    since how often a phrase occurs is not in any block. The second frame has ``query_id, postings_read, postings_total``.
+    """
+    units = query_units(queries)
+    shape = units.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_units"), F.min("n_words").alias("least"), F.max("n_words").alias("longest"))
+    phrased = shape.where("longest > 1 AND least > 0").select("query_id")
+    words = checkpointed(units.join(shape.where("longest = 1 AND least > 0"), "query_id").select(
+        "query_id", "unit", F.col("words")[0].alias("term"), "n_units"))
+    n_docs = ranked.docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    met = words.join(ranked.blocks, "term")
+    df = met.groupBy("query_id", "unit").agg(F.sum("n").alias("df"))
+    idf = F.greatest(F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
+    weights = checkpointed(df.select("query_id", "unit", idf.alias("idf")))
+    bounds = met.join(weights, ["query_id", "unit"]).groupBy("query_id", "block", "n_units").agg(
+        F.count(F.lit(1)).alias("present"), F.sum(F.col("idf") * F.col("most")).alias("bound"), F.sum("n").alias("n"))
+    by_bound = W.partitionBy("query_id").orderBy(F.col("bound").desc(), "block")
+    bounds = checkpointed(bounds.where("present = n_units").select("query_id", "block", "bound", "n", F.row_number().over(by_bound).alias("nth")))
+
+    def scored(chosen: DataFrame) -> DataFrame:
+        wanted = words.join(weights, ["query_id", "unit"]).join(chosen.select("query_id", "block"), "query_id")
+        hits = wanted.join(ranked.postings, ["term", "block"])
+        whole = hits.groupBy("query_id", "uuid", "n_units").agg(F.count(F.lit(1)).alias("matched"), F.sum(F.col("idf") * F.col("impact")).alias("score"))
+        return whole.where("matched = n_units").select("query_id", "uuid", F.round(-F.col("score"), 6).alias("rank"))
+
+    page_end = cursor + limit
+    head = checkpointed(scored(bounds.where(F.col("nth") <= first)))
+    nth = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
+    threshold = head.withColumn("_nth", nth).where(F.col("_nth") == page_end).select("query_id", (-F.col("rank") - 2e-6).alias("least"))
+    rest = checkpointed(bounds.where(F.col("nth") > first).join(threshold, "query_id", "left").where("least IS NULL OR bound >= least"))
+    found = head.unionByName(scored(rest)).join(ranked.docs.select("uuid", "pointer", "title"), "uuid")
+    whole = matches(index, queries.join(phrased, "query_id", "left_semi")).select("query_id", "uuid", "rank", "pointer", "title")
+    page = grouped_page(found.select("query_id", "uuid", "rank", "pointer", "title").unionByName(whole), ["query_id"], [F.col("rank"), F.col("pointer")], limit, cursor)
+    read = bounds.where(F.col("nth") <= first).select("query_id", "n").unionByName(rest.select("query_id", "n")).groupBy("query_id").agg(F.sum("n").alias("postings_read"))
+    total = met.groupBy("query_id").agg(F.sum("n").alias("postings_total"))
+    metric = total.join(read, "query_id", "left").select("query_id", F.coalesce("postings_read", F.lit(0)).alias("postings_read"), "postings_total")
+    return page.drop("total", "next_cursor"), metric
+
+
 def search(index: SearchIndex, queries: DataFrame, limit: int = 20, cursor: int = 0) -> DataFrame:
     """The matches of each query, best rank first, then pointer; one page per query."""
     return grouped_page(matches(index, queries), ["query_id"], [F.col("rank"), F.col("pointer")], limit, cursor)
 
 
+def unit_places(words: Column, units: Column) -> Column:
+    """Where whole units stand among ``words``: array of (at, to, unit), places from 1, by ``to`` and then ``at``.
+
+    ``units`` is an array of word arrays; a unit without words stands nowhere.
+    """
+    def places(unit: Column, i: Column) -> Column:
+        n = F.size(unit)
+        starts = F.filter(F.transform(words, lambda w, at: F.when(w == unit[0], at + 1)), lambda at: at.isNotNull())
+        whole = F.filter(starts, lambda at: (n == 1) | (F.slice(words, at, n) == unit))
+        return F.transform(whole, lambda at: F.struct((at + n - 1).alias("to"), at.alias("at"), i.alias("unit")))
+
+    return F.array_sort(F.flatten(F.transform(F.transform(units, lambda u, i: F.struct(u.alias("u"), i.alias("i"))),
+                                              lambda s: F.filter(places(s["u"], s["i"]), lambda p: F.size(s["u"]) > 0))))
+
+
+def best_window(places: Column, n_units: Column, size: int) -> Column:
+    """First word of the window of ``size`` words that holds the most distinct units, the earliest of several; 1 if there is none.
+
+    One pass over the places by their ends: a window that ends with a place holds each unit whose last place starts within it.
+    """
+    start = F.struct(F.array_repeat(F.lit(0), n_units).alias("last"), F.lit(0).alias("most"), F.lit(1).alias("at"))
+
+    def step(best: Column, place: Column) -> Column:
+        last = F.transform(best["last"], lambda x, i: F.when(i == place["unit"], place["at"]).otherwise(x))
+        first = F.greatest(F.lit(1), place["to"] - size + 1)
+        held = F.size(F.filter(last, lambda x: x >= first))
+        better = held > best["most"]
+        return F.struct(last.alias("last"), F.when(better, held).otherwise(best["most"]).alias("most"), F.when(better, first).otherwise(best["at"]).alias("at"))
+
+    return F.aggregate(places, start, step, lambda best: best["at"])
+
+
 def snippets(hits: DataFrame, nodes: DataFrame, queries: DataFrame, size: int = 18) -> DataFrame:
-    """Adds ``excerpt``: up to ``size`` words of description around the first hit, hits in brackets."""
-    wanted = queries.select("query_id", F.array_distinct(text.words(F.col("query"))).alias("wanted"))
+    """Adds ``excerpt``: the ``size`` words of the description that hold the most distinct units of the query, hits in brackets.
+
+    The earliest window is taken of several; a phrase is marked as one, and so are hits that overlap. A unit longer than the window is never whole
+    in it. Without any hit the first words are shown. A null description gives a null excerpt. All of it happens within the row.
+    """
+    wanted = query_units(queries).where("n_words > 0").groupBy("query_id").agg(F.sort_array(F.collect_set("words")).alias("units"))
     rows = hits.join(nodes.select("uuid", "description"), "uuid").join(wanted, "query_id")
-    # Odd elements are words; each carries the separator that follows it.
+    # Each piece is a word with the separator that follows it.
     pieces = F.regexp_extract_all("description", F.lit(r"[\p{L}\p{N}]+[^\p{L}\p{N}]*"), F.lit(0))
-    rows = rows.withColumn("pieces", pieces)
-    word_of = lambda piece: F.regexp_extract(text.fold(piece), text.WORD, 0)
-    is_hit = F.transform("pieces", lambda p: F.array_contains(F.col("wanted"), word_of(p)))
-    rows = rows.withColumn("hit", is_hit)
-    first = F.greatest(F.array_position("hit", F.lit(True)), F.lit(1))
-    start = F.greatest(F.lit(1), F.least(first, F.size("pieces") - size + 1))
-    rows = rows.withColumn("start", start.cast("int"))
-    window = F.slice(F.arrays_zip("pieces", "hit"), F.col("start"), F.lit(size))
-    marked = F.transform(window, lambda z: F.when(z["hit"], F.regexp_replace(z["pieces"], rf"^({text.WORD})", "[$1]")).otherwise(z["pieces"]))
-    body = F.trim(F.array_join(marked, ""))
-    lead = F.when(F.col("start") > 1, "…").otherwise("")
-    tail = F.when(F.col("start") + size - 1 < F.size("pieces"), "…").otherwise("")
-    excerpt = F.concat(lead, body, tail)
-    return rows.withColumn("excerpt", excerpt).drop("pieces", "hit", "start", "wanted", "description")
+    rows = computed_once(rows, "_pieces", pieces)
+    rows = computed_once(rows, "_places", unit_places(F.transform("_pieces", lambda p: F.regexp_extract(text.fold(p), text.WORD, 0)), F.col("units")))
+    rows = computed_once(rows, "_start", best_window(F.col("_places"), F.size("units"), size))
+    last = F.col("_start") + size - 1
+    inside = F.array_sort(F.transform(F.filter("_places", lambda p: (p["at"] >= F.col("_start")) & (p["to"] <= last)), lambda p: F.struct(p["at"], p["to"])))
+    nothing = F.array().cast("array<struct<at:int,to:int>>")
+
+    def merge(spans: Column, place: Column) -> Column:
+        before = F.try_element_at(spans, F.lit(-1))
+        grown = F.struct(before["at"].alias("at"), F.greatest(before["to"], place["to"]).alias("to"))
+        return F.when(F.coalesce(before["to"] >= place["at"], F.lit(False)),
+                      F.array_append(F.slice(spans, F.lit(1), F.greatest(F.size(spans) - 1, F.lit(0))), grown)).otherwise(F.array_append(spans, place))
+
+    rows = computed_once(rows, "_spans", F.aggregate(inside, nothing, merge))
+    opened, closed = F.transform("_spans", lambda x: x["at"]), F.transform("_spans", lambda x: x["to"])
+
+    def shown(piece: Column, i: Column) -> Column:
+        at = i + F.col("_start")
+        left = F.when(F.array_contains(opened, at), F.concat(F.lit("["), piece)).otherwise(piece)
+        return F.when(F.array_contains(closed, at), F.regexp_replace(left, r"^(\[?[\p{L}\p{N}]+)", "$1]")).otherwise(left)
+
+    body = F.trim(F.array_join(F.transform(F.slice("_pieces", F.col("_start"), F.lit(size)), shown), ""))
+    lead = F.when(F.col("_start") > 1, "…").otherwise("")
+    tail = F.when(last < F.size("_pieces"), "…").otherwise("")
+    return rows.withColumn("excerpt", F.concat(lead, body, tail)).drop("_pieces", "_places", "_start", "_spans", "units", "description")
 
 
 def search_coverage(nodes: DataFrame, index: SearchIndex) -> DataFrame:

@@ -1,5 +1,7 @@
 import hashlib
 import json
+import random
+import re
 import uuid
 from types import SimpleNamespace
 
@@ -35,6 +37,57 @@ def test_search(spark, make_corpus):
     assert excerpt == "[dandelion] once, then [dandelion]…"
 
 
+def _excerpt(description, units, size):
+    """Tries every window."""
+    pieces = re.findall(r"[^\W_]+[\W_]*", description)
+    ws = [re.match(r"[^\W_]+", p)[0].lower() for p in pieces]
+    places = [(a, a + len(u) - 1, i) for i, u in enumerate(units) for a in range(len(ws) - len(u) + 1) if ws[a:a + len(u)] == u]
+    inside = lambda s: [p for p in places if p[0] >= s and p[1] < s + size]
+    best = max(range(max(1, len(ws) - size + 1)), key=lambda s: (len({p[2] for p in inside(s)}), -s))
+    spans = []
+    for a, z, _ in sorted(inside(best)):
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(z, spans[-1][1])
+        else:
+            spans.append([a, z])
+    out = []
+    for i, piece in list(enumerate(pieces))[best:best + size]:
+        word = re.match(r"[^\W_]+", piece)[0]
+        out.append("[" * any(a == i for a, _ in spans) + word + "]" * any(z == i for _, z in spans) + piece[len(word):])
+    return ("…" if best else "") + "".join(out).strip(" ") + ("…" if best + size < len(ws) else "")
+
+
+def test_best_window_by_trying_all(spark):
+    rng = random.Random(5)
+    texts = [rng.choice(["", "(", "* "]) + "".join(rng.choice("abcde") + rng.choice([" ", " ", ", ", "-", ".\n"]) for _ in range(rng.choice([1, 4, 18, 60]))) for _ in range(80)]
+    asked = ["a b", "a-b", "a-b b-c d", "c-d-e a", "e e-e", "zz a", "a-b-c-d-e"]
+    nodes = spark.createDataFrame([(f"u{i}", t) for i, t in enumerate(texts)] + [("none", None), ("empty", "")], "uuid STRING, description STRING")
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id BIGINT, query STRING")
+    hits = nodes.select("uuid").crossJoin(queries.select("query_id"))
+    got = {(r["uuid"], r["query_id"]): r["excerpt"] for r in search.snippets(hits, nodes, queries, 5).collect()}
+    assert len(got) == 82 * len(asked) and got["none", 0] is None and got["empty", 0] == ""
+    for i, t in enumerate(texts):
+        for k, query in enumerate(asked):
+            units = sorted({tuple(u.split("-")) for u in query.split()})
+            assert got[f"u{i}", k] == _excerpt(t, [list(u) for u in units], 5), (t, query)
+
+
+def test_pruned_search_equals_search(spark):
+    rng = random.Random(3)
+    rows = [(f"u{i:03}", f"N{i}", "title", " ".join(rng.choice(["common", "common", f"w{rng.randrange(30)}", f"r{rng.randrange(400)}"]) for _ in range(rng.choice([3, 10, 80])))) for i in range(600)]
+    nodes = spark.createDataFrame(rows, "uuid STRING, pointer STRING, title STRING, description STRING")
+    index = search.build_search_index(nodes)
+    blocks = search.build_blocks(index, per_length=2)
+    asked = ["common", "w1 common", "w2 w3", "common common", "w4-common", "title common w5", "r7", "nowhere common", "!!", "N77", "w1", "w9"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id BIGINT, query STRING")
+    for limit, cursor, first in ((5, 0, 2), (20, 10, 1), (1000, 0, 4)):
+        want = sorted((r["query_id"], r["position"], r["pointer"], r["rank"]) for r in search.search(index, queries, limit, cursor).collect())
+        page, read = search.pruned_search(index, blocks, queries, limit, cursor, first)
+        assert sorted((r["query_id"], r["position"], r["pointer"], r["rank"]) for r in page.collect()) == want
+        spent = {r["query_id"]: (r["postings_read"], r["postings_total"]) for r in read.collect()}
+        assert all(a <= b for a, b in spent.values()) and (limit > 5 or all(a < 0.6 * b for a, b in (spent[10], spent[11])))
+
+
 def test_coverage_finds_what_an_index_lost(spark, make_corpus):
     c = make_corpus([("E1", "one", "x"), ("E2", "two", "y"), ("E3", "***", "z")])
     nodes = search.searchable(c)
