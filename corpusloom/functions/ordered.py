@@ -45,6 +45,19 @@ def grouped_previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column]
     return joined.withColumn(out, value_before).drop("_bucket", "_value", "_local", "_first", "_carried")
 
 
+def grouped_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, value: Column, out: str) -> DataFrame:
+    """The last ``value`` that is not null at or before each row along ``order`` within ``keys``; null before the first."""
+    keyed = df.withColumn("_bucket", bucket).withColumn("_value", value)
+    last = keyed.where("_value IS NOT NULL").groupBy(*keys, "_bucket").agg(F.max_by("_value", F.struct(*order)).alias("_last"))
+    buckets = keyed.select(*keys, "_bucket").distinct().join(last, [*keys, "_bucket"], "left")
+    earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    carried = buckets.select(*keys, "_bucket", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    along = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = keyed.withColumn("_local", F.last("_value", ignorenulls=True).over(along))
+    joined = local.join(carried, [*keys, "_bucket"])
+    return joined.withColumn(out, F.coalesce("_local", "_carried")).drop("_bucket", "_value", "_local", "_carried")
+
+
 def grouped_page(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int, cursor: int = 0,
                  bucket: Column | None = None) -> DataFrame:
     """One page per group, with the group's ``total``, the row's ``position`` and the ``next_cursor``.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.corpus import Branch, Corpus, Head, shaped
 from corpusloom.functions import ids
 from corpusloom.functions.durable import LazyTables, checkpointed
-from corpusloom.operators.fingerprints import fingerprint, row_digest
+from corpusloom.operators.fingerprints import bucket_of, differing_buckets, fingerprint, row_digest
 from corpusloom.operators.views import current_nodes
 from corpusloom.schema import BRANCH_TABLES, COMPOSED_TABLES
 
@@ -176,13 +176,28 @@ def merge_laws(branches: list[Branch]) -> DataFrame:
 # ---- corpora side by side ---------------------------------------------------------
 def compare(a: Corpus, b: Corpus) -> DataFrame:
     """Pointers whose current content differs or exists on one side only."""
-    left = current_nodes(a).select("pointer", F.col("content_hash").alias("left_hash"))
-    right = current_nodes(b).select("pointer", F.col("content_hash").alias("right_hash"))
+    return _differences(current_nodes(a), current_nodes(b))
+
+
+def _differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    left = a.select("pointer", F.col("content_hash").alias("left_hash"))
+    right = b.select("pointer", F.col("content_hash").alias("right_hash"))
     both = left.join(right, "pointer", "full").where(~F.col("left_hash").eqNullSafe(F.col("right_hash")))
     kind = F.when(F.col("left_hash").isNull(), "right_only").when(F.col("right_hash").isNull(), "left_only").otherwise("changed")
     return both.select("pointer", kind.alias("difference"))
 
 
+def compare_by_digest(a: Corpus, b: Corpus, a_tree: DataFrame, b_tree: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What :func:`compare` gives, joining only the nodes of buckets in which the corpora's digest trees differ; and those buckets.
+
+    Trees are tables of at most 4,096 rows that a commit carries on, see ``fingerprints.advanced``; equal corpora join nothing.
+    """
+    buckets = checkpointed(differing_buckets(a_tree, b_tree))
+    chosen = F.broadcast(buckets)  # 4,096 rows at most
+    within = lambda c: current_nodes(c).withColumn("bucket", bucket_of(F.col("pointer"))).join(chosen, "bucket", "left_semi")
+    return _differences(within(a), within(b)), buckets
+
+
 def compare_report(a: Corpus, b: Corpus, cap: int = 200) -> DataFrame:
     """The first ``cap`` reconciliation candidates with the full count."""
     rows = compare(a, b)

@@ -29,6 +29,47 @@ def digest_rows(rows: DataFrame, part: str) -> DataFrame:
     return totals.select(F.lit(part).alias("part"), "n", F.sha2(named, 256).alias("digest"))
 
 
+# ---- digest trees -----------------------------------------------------------------
+_BUCKET_DIGITS, _GROUP_DIGITS = 3, 1  # hexadecimal digits of a pointer's hash: 4,096 buckets in 16 groups
+_SUMS = [f"s{at}" for at in _PARTS]
+
+
+def bucket_of(pointer: Column) -> Column:
+    return F.substring(F.md5(pointer.cast("binary")), 1, _BUCKET_DIGITS)
+
+
+def digest_tree(nodes: DataFrame) -> DataFrame:
+    """``bucket, n, s1, s16, s31, s46``: count and added-up digests of ``nodes(pointer, content_hash)`` for each bucket that has any.
+
+    Sums combine map-side and can be taken back, so a tree follows a commit by its own rows, see :func:`advanced`.
+    """
+    rows = nodes.select(bucket_of(F.col("pointer")).alias("bucket"), row_digest("pointer", "content_hash").alias("d"))
+    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[
+        F.sum(F.conv(F.substring("d", at, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{at}") for at in _PARTS])
+
+
+def advanced(tree: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
+    """The tree after a commit took away ``gone`` and added ``new`` (pointer, content_hash); work grows with the commit."""
+    back = digest_tree(gone).select("bucket", (-F.col("n")).alias("n"), *[(-F.col(s)).alias(s) for s in _SUMS])
+    return _added(tree.unionByName(back).unionByName(digest_tree(new)), "bucket").where("n != 0")
+
+
+def _added(rows: DataFrame, by: str | Column) -> DataFrame:
+    return rows.groupBy(by).agg(F.sum("n").alias("n"), *[F.sum(s).cast("decimal(38,0)").alias(s) for s in _SUMS])
+
+
+def differing_buckets(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Buckets in which two trees differ; first their groups are compared, then the buckets of the groups that differ."""
+    def unlike(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+        whole = lambda df, name: df.select(key, F.struct("n", *_SUMS).alias(name))
+        return whole(a, "_a").join(whole(b, "_b"), key, "full").where(~F.col("_a").eqNullSafe(F.col("_b"))).select(key)
+
+    grouped = lambda t: t.withColumn("group", F.substring("bucket", 1, _GROUP_DIGITS))
+    groups = unlike(_added(grouped(left), "group"), _added(grouped(right), "group"), "group")
+    within = lambda t: grouped(t).join(groups, "group", "left_semi")
+    return unlike(within(left), within(right), "bucket")
+
+
 def _root(parts: DataFrame) -> DataFrame:
     listed = F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda p: F.concat(p["part"], F.lit("="), p["digest"]))
     return parts.agg(F.sha2(F.array_join(listed, ";"), 256).alias("fingerprint"))

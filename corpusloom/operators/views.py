@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.corpus import Corpus
-from corpusloom.functions.ordered import grouped_page
+from corpusloom.functions.ordered import grouped_last, grouped_page
 from corpusloom.functions.text import ReferenceProfile
 
 # Graphs whose pointers are reserved for the system.
@@ -74,12 +74,55 @@ def node_history(c: Corpus, pointers: DataFrame | None = None, limit: int = 100,
 
 
 def as_of(c: Corpus, moment: str) -> DataFrame:
-    """Each node's text at a past moment; nodes that had no revision yet are absent."""
-    past = c["node_revision"].where(F.col("created_at") <= moment)
-    latest = past.groupBy("node_uuid").agg(
-        F.max_by(F.struct("revision_uuid", "title", "description", "created_at"), F.struct("created_at", "revision_uuid")).alias("r"))
-    return latest.join(c["node_identity"].select(F.col("uuid").alias("node_uuid"), "pointer"), "node_uuid").select(
-        "pointer", "node_uuid", "r.*")
+    """Each node's text at a past moment; nodes that had no revision yet are absent. Revisions are chosen first, texts joined after."""
+    past = c["node_revision"].where(F.col("created_at") <= moment).select("node_uuid", "revision_uuid", "created_at")
+    latest = past.groupBy("node_uuid").agg(F.max_by("revision_uuid", F.struct("created_at", "revision_uuid")).alias("revision_uuid"))
+    texts = c["node_revision"].select("revision_uuid", "title", "description", "created_at")
+    named = latest.join(c["node_identity"].select(F.col("uuid").alias("node_uuid"), "pointer"), "node_uuid")
+    return named.join(texts, "revision_uuid").select("pointer", "node_uuid", "revision_uuid", "title", "description", "created_at")
+
+
+def _chosen(c: Corpus, requests: DataFrame, revisions: DataFrame, bucket: Column) -> DataFrame:
+    """Each of ``requests(request_id, pointer, at)`` with the text of the last of ``revisions(node_uuid, revision_uuid, at)`` not after it.
+
+    Requests and revisions stand in one sequence per node, and the last revision is carried along it in pieces.
+    """
+    names = c["node_identity"].select("pointer", F.col("uuid").alias("node_uuid"))
+    asked = requests.select("request_id", "pointer", "at").join(names, "pointer", "left")
+    known = asked.where("node_uuid IS NOT NULL AND at IS NOT NULL").select("node_uuid", "at", F.lit(1).alias("asks"), "request_id", F.lit(None).cast("string").alias("revision_uuid"))
+    empty = F.lit(None).cast(requests.schema["request_id"].dataType)
+    given = revisions.join(known.select("node_uuid").distinct(), "node_uuid", "left_semi").select(
+        "node_uuid", "at", F.lit(0).alias("asks"), empty.alias("request_id"), "revision_uuid")
+    order = [F.col("at"), F.col("asks"), F.coalesce("revision_uuid", F.lit(""))]
+    settled = grouped_last(given.unionByName(known), ["node_uuid"], order, bucket, F.col("revision_uuid"), "found").where("asks = 1")
+    settled = settled.select("node_uuid", "at", "request_id", F.col("found").alias("revision_uuid")).distinct()
+    texts = c["node_revision"].select("revision_uuid", "title", "description", "created_at")
+    answers = settled.where("revision_uuid IS NOT NULL").join(texts, "revision_uuid").select(
+        F.col("node_uuid").alias("_node"), F.col("at").alias("_at"), F.col("request_id").alias("_id"), "revision_uuid", "title", "description", "created_at")
+    same = F.col("node_uuid").eqNullSafe(F.col("_node")) & F.col("at").eqNullSafe(F.col("_at")) & F.col("request_id").eqNullSafe(F.col("_id"))
+    return asked.join(answers, same, "left").select("request_id", "pointer", "at", "revision_uuid", "title", "description", "created_at")
+
+
+def as_of_join(c: Corpus, requests: DataFrame, bucket: Column | None = None) -> DataFrame:
+    """What each of ``requests(request_id, pointer, at)`` sees: the node's text at that moment, for any number of moments at once.
+
+    Gives ``request_id, pointer, at, revision_uuid, title, description, created_at``. Of revisions of one moment the greatest id counts. Unknown
+    pointers, null moments and moments before a node's first revision see nulls; repeated requests stay. ``bucket``, by default the
+    hour, is a prefix of the time: a node's revisions within one meet in a task.
+    """
+    revisions = c["node_revision"].select("node_uuid", "revision_uuid", F.col("created_at").alias("at"))
+    return _chosen(c, requests, revisions, F.substring("at", 1, 13) if bucket is None else bucket)
+
+
+def as_of_sequence(c: Corpus, requests: DataFrame, per_bucket: int = 10_000) -> DataFrame:
+    """What each of ``requests(request_id, pointer, at)`` sees once the request numbered ``at`` has been committed; see :func:`as_of_join`.
+
+    A revision has the number of the committed request that made it, 0 if it was loaded without one.
+    """
+    numbers = c["operation_ledger"].where("status = 'committed' AND request_uuid IS NOT NULL").groupBy("request_uuid").agg(F.min("database_sequence").alias("_number"))
+    revisions = c["node_revision"].join(numbers, "request_uuid", "left").where("request_uuid IS NULL OR _number IS NOT NULL").select(
+        "node_uuid", "revision_uuid", F.coalesce("_number", F.lit(0)).cast("long").alias("at"))
+    return _chosen(c, requests.withColumn("at", F.col("at").cast("long")), revisions, F.floor(F.col("at") / per_bucket))
 
 
 def sentinels(c: Corpus, active_only: bool = True) -> DataFrame:
