@@ -8,11 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.corpus import Corpus, Head
+from corpusloom.corpus import Corpus, Head, shaped
 from corpusloom.functions import ids
 from corpusloom.functions.durable import checkpointed, shared_folder
 from corpusloom.functions.ordered import grouped_rank
-from corpusloom.operators import branches, changes, filetree, quality, views
+from corpusloom.operators import branches, changes, filetree, fingerprints, quality, views
 from corpusloom.plans import bindings as b
 from corpusloom.plans.registry import query
 from corpusloom.plans.sqltwins import node_id, uuid5, with_ctes
@@ -399,6 +399,35 @@ def compared(spark: SparkSession, sf: str) -> DataFrame:
     return branches.compare(c, other)
 
 
+_BUILDING = "FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' AND c_mktsegment = 'BUILDING' AND c_nationkey"
+
+
+@query("b8_bucketed_compare", with_ctes("ident", f"""SELECT pointer, difference, (SELECT count(DISTINCT substr(md5(pointer),1,3)) FROM d) AS buckets_read,
+      (SELECT count(DISTINCT substr(md5(pointer),1,3)) FROM ident) AS buckets FROM d""",
+    {"d": f"""SELECT 'O'||o_orderkey AS pointer, 'changed' AS difference {_BUILDING} = 3
+      UNION ALL SELECT 'O'||o_orderkey, 'left_only' {_BUILDING} = 4 UNION ALL SELECT 'X'||r_regionkey, 'right_only' FROM region"""}))
+def compared_by_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus against one some commits later, whose digest tree has followed those commits."""
+    c = b.corpus(spark, sf)
+    customer = b.table(spark, sf, "customer").where("c_mktsegment = 'BUILDING' AND c_nationkey IN (3, 4)").select("c_custkey", "c_nationkey")
+    hit = b.table(spark, sf, "orders").where("o_orderstatus = 'P'").join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        ids.uuid5_col(b.NAMESPACE, b.pointer("O", "o_orderkey")).alias("uuid"), (F.col("c_nationkey") == 3).alias("changed"))
+    extra = b.table(spark, sf, "region").select(b.pointer("X", "r_regionkey").alias("pointer"))
+    new_id = extra.select(ids.uuid5_col(b.NAMESPACE, "pointer").alias("uuid"), "pointer", F.lit("pgx:").alias("sigil"), F.lit("t").alias("created_at"), F.lit("promoted").alias("lifecycle_state"),
+                          F.col("pointer").alias("current_revision_uuid"))
+    new_rev = shaped(extra.select(F.col("pointer").alias("revision_uuid"), ids.uuid5_col(b.NAMESPACE, "pointer").alias("node_uuid"), F.lit("t").alias("title"), F.lit("d").alias("description"),
+                                  F.lit("t").alias("created_at"), F.lit("h").alias("content_hash")), c.spec("node_revision"))
+    changed = hit.where("changed").select(F.col("uuid").alias("node_uuid"), F.lit(True).alias("_hit"))
+    revised = c["node_revision"].join(changed, "node_uuid", "left").withColumn("content_hash", F.when(F.col("_hit"), "other").otherwise(F.col("content_hash")))
+    other = c.with_tables(node_identity=c["node_identity"].join(hit.where("NOT changed"), "uuid", "left_anti").select(*new_id.columns).unionByName(new_id),
+                          node_revision=revised.select(*c.spec("node_revision").names).unionByName(new_rev))
+    touched = lambda corpus, nodes: views.current_nodes(corpus).join(nodes, "uuid", "left_semi").select("pointer", "content_hash")
+    tree = fingerprints.digest_tree(views.current_nodes(c))
+    later = fingerprints.advanced(tree, touched(c, hit), touched(other, hit.where("changed").select("uuid").unionByName(new_id.select("uuid"))))
+    rows, read = branches.compare_by_digest(c, other, tree, later)
+    return rows.withColumn("buckets_read", read.agg(F.count(F.lit(1)).alias("n")).scalar()).withColumn("buckets", tree.agg(F.count(F.lit(1)).alias("n")).scalar())
+
+
 @query("b9_lineage", """SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')||'000Z' AS created_at, n AS mutation_count FROM (SELECT min(ts) AS ts, count(*) AS n FROM events GROUP BY user_id)""")
 def lineage(spark: SparkSession, sf: str) -> DataFrame:
     return branches.lineage(b.corpus(spark, sf)).select("created_at", "mutation_count")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.corpus import Corpus
 from corpusloom.functions import ids, text
+from corpusloom.functions.ordered import grouped_previous
 from corpusloom.functions.text import ReferenceProfile
 from corpusloom.operators import aggregates, changes, fingerprints, graph, references, search, views
 from corpusloom.plans import bindings as b
@@ -91,6 +92,35 @@ def state_as_of(spark: SparkSession, sf: str) -> DataFrame:
     return views.as_of(b.corpus(spark, sf), _MOMENT).select("pointer", "title", "created_at")
 
 
+_MICROS = "strftime({}, '%Y-%m-%dT%H:%M:%S.%f')||'000Z'"
+
+
+@query("v7_as_of_join", with_ctes("urev", f"""SELECT o.request_id, o.pointer, u.title, u.created_at FROM
+      (SELECT o_orderkey AS request_id, 'U'||(o_custkey % 160) AS pointer,
+        {_MICROS.format("TIMESTAMP '2024-01-01' + to_seconds(CAST(epoch(o_orderdate - TIMESTAMP '1995-01-01') AS BIGINT) // 80)")} AS moment FROM orders) o
+      ASOF LEFT JOIN urev u ON u.pointer = o.pointer AND u.created_at <= o.moment"""))
+def seen_by_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """The state of a user at the date of each order, orders being dealt over the month of the events."""
+    day = lambda x: F.unix_timestamp(F.lit(x).cast("timestamp"))
+    moment = F.timestamp_seconds(day("2024-01-01") + F.floor((F.unix_timestamp("o_orderdate") - day("1995-01-01")) / 80))
+    requests = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("request_id"), b.pointer("U", F.col("o_custkey") % 160).alias("pointer"),
+                                                   F.concat(F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("000Z")).alias("at"))
+    return views.as_of_join(b.corpus(spark, sf), requests).select("request_id", "pointer", "title", "created_at")
+
+
+@query("v7_as_of_sequence", """SELECT e.event_id AS request_id, 'U'||(e.user_id+1) AS pointer, u.event_type AS title
+    FROM events e ASOF LEFT JOIN events u ON u.user_id = e.user_id+1 AND u.event_id <= e.event_id""")
+def seen_by_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The state of the next user once each request has been committed."""
+    c = b.corpus(spark, sf)
+    events = b.table(spark, sf, "events")
+    made = events.select(ids.derived_uuid_col(b.NAMESPACE, "event-revision", F.col("event_id")).alias("revision_uuid"),
+                         ids.derived_uuid_col(b.CORPUS_ID, "request", F.col("event_id")).alias("made_by"))
+    revisions = c["node_revision"].join(made, "revision_uuid", "left").withColumn("request_uuid", F.col("made_by")).select(*c.spec("node_revision").names)
+    requests = events.select(F.col("event_id").alias("request_id"), b.pointer("U", F.col("user_id") + 1).alias("pointer"), (F.col("event_id") + 1).alias("at"))
+    return views.as_of_sequence(c.with_tables(node_revision=revisions), requests).select("request_id", "pointer", "title")
+
+
 @query("v8_sentinels", "SELECT 'D'||doc_id AS pointer, 'Document '||doc_id AS title, source AS scope FROM documents WHERE lang='de' AND n_chars > 500")
 def advisory(spark: SparkSession, sf: str) -> DataFrame:
     return views.sentinels(b.corpus(spark, sf)).select("pointer", "title", "scope")
@@ -163,7 +193,26 @@ def input_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return b.table(spark, sf, "events").select("event_id", ids.input_hash(F.col("event_type"), arguments, F.lit(None).cast("string")).alias("input_hash"))
 
 
-@query("h5_fingerprint")
+def _digest_sql(part: str, rows: str, *columns: str) -> str:
+    """The digest of a part from rows of the columns that its row digests cover."""
+    whole = ", ".join(f"'{c}': {c}" for c in columns)
+    sums = "||':'||".join(f"sum(CAST('0x'||substr(d,{at},15) AS BIGINT)::HUGEINT)::VARCHAR" for at in (1, 16, 31, 46))
+    return f"SELECT '{part}' AS part, count(*) AS n, sha256(count(*)||':'||{sums}) AS digest FROM (SELECT sha256(to_json({{{whole}}})::VARCHAR) AS d FROM ({rows}))"
+
+
+_NODE_STATE = f"""SELECT pointer, title, description, lifecycle AS lifecycle_state, content_hash,
+      CASE WHEN event_id IS NULL THEN {uuid5(b.NAMESPACE, "('revision:'||uuid||'|'||created_at||'|'||content_hash||'|')")}
+        ELSE {uuid5(b.NAMESPACE, "('event-revision:'||event_id)")} END AS revision_uuid
+    FROM (SELECT *, {node_id('pointer')} AS uuid, sha256(title||chr(0)||description) AS content_hash FROM (
+      SELECT pointer, title, description, created_at, lifecycle, NULL::BIGINT AS event_id FROM node
+      UNION ALL SELECT pointer, title, description, created_at, 'promoted', event_id FROM urev WHERE nth = total))"""
+
+
+@query("h5_fingerprint", with_ctes("node urev triple tag", " UNION ALL ".join((
+    _digest_sql("nodes", _NODE_STATE, "pointer", "title", "description", "lifecycle_state", "revision_uuid", "content_hash"),
+    _digest_sql("graphs", "SELECT graph_key, prefix AS pointer_prefix, 'Namespace '||prefix||'.' AS description FROM decl", "graph_key", "pointer_prefix", "description"),
+    _digest_sql("triples", "SELECT s AS subject_pointer, p AS predicate_pointer, o AS object_pointer FROM triple", "subject_pointer", "predicate_pointer", "object_pointer"),
+    _digest_sql("tags", "SELECT pointer AS subject, tag FROM tag", "subject", "tag")))))
 def corpus_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.fingerprint_parts(b.corpus(spark, sf))
 
@@ -379,10 +428,44 @@ def phrases(spark: SparkSession, sf: str) -> DataFrame:
     return _found(spark, sf, "-")
 
 
-@query("f4_snippets")
+@query("f2_pruned_search", with_ctes("tok", """SELECT query_id, pointer, rank, position, postings_total, true AS fewer_read
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, pointer) AS position FROM res)
+    JOIN (SELECT query_id, sum(df)::BIGINT AS postings_total FROM dfreq GROUP BY query_id) USING (query_id) WHERE position <= 5""", search_ctes(_benchmark_sql(" "))))
+def pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """The first five of each ranked search, found without reading all postings of its terms."""
+    index, _ = _index(spark, sf)
+    page, read = search.pruned_search(index, b.block_index(b.corpus(spark, sf)), _benchmark_queries(spark, sf, " "), limit=5)
+    return page.join(read, "query_id").select("query_id", "pointer", "rank", F.col("position").cast("long").alias("position"), "postings_total",
+                                              (F.col("postings_read") < F.col("postings_total")).alias("fewer_read"))
+
+
+_PHRASES_TOO = f"{_benchmark_sql(' ')} UNION ALL SELECT query_id + 1000000, query FROM ({_benchmark_sql('-')})"
+_SNIPPETS = r"""SELECT query_id, pointer, CASE WHEN s > 1 THEN '…' ELSE '' END || trim(string_agg(
+      CASE WHEN list_contains(opened, i) THEN '[' ELSE '' END || CASE WHEN list_contains(closed, i) THEN regexp_replace(pieces[i], '^([\p{L}\p{N}]+)', '\1]') ELSE pieces[i] END, '' ORDER BY i))
+      || CASE WHEN s + 17 < len(pieces) THEN '…' ELSE '' END AS excerpt
+    FROM (SELECT *, unnest(range(s, least(s + 18, len(pieces) + 1))) AS i FROM best JOIN piece USING (pointer) LEFT JOIN span USING (query_id, pointer))
+    GROUP BY query_id, pointer, s, pieces"""
+
+
+@query("f4_snippets", with_ctes("tok", _SNIPPETS, search_ctes(_PHRASES_TOO) | {
+    "found": "SELECT query_id, pointer FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, pointer) AS position FROM res) WHERE position <= 20",
+    "piece": r"SELECT pointer, pieces, list_transform(pieces, lambda p: regexp_extract(translate(lower(p), '" + text.ACCENTED + "', '" + text.UNACCENTED + r"'), '[\p{L}\p{N}]+')) AS ws FROM "
+             r"(SELECT pointer, regexp_extract_all(description, '[\p{L}\p{N}]+[^\p{L}\p{N}]*') AS pieces FROM cur WHERE pointer IN (SELECT pointer FROM found))",
+    "place": """SELECT query_id, pointer, words, a, a + len(words) - 1 AS z FROM (SELECT query_id, pointer, words, ws, unnest(range(1, len(ws) - len(words) + 2)) AS a
+             FROM found JOIN (SELECT DISTINCT query_id, words FROM u) USING (query_id) JOIN piece USING (pointer)) WHERE ws[a:a + len(words) - 1] = words""",
+    "cand": "SELECT query_id, pointer, greatest(1, z - 17) AS s FROM place UNION SELECT query_id, pointer, 1 FROM found",
+    "best": """SELECT query_id, pointer, s FROM (SELECT query_id, pointer, s, row_number() OVER (PARTITION BY query_id, pointer ORDER BY count(DISTINCT CASE WHEN a >= s AND z <= s + 17 THEN words END) DESC, s) AS nth
+             FROM cand LEFT JOIN place USING (query_id, pointer) GROUP BY query_id, pointer, s) WHERE nth = 1""",
+    "span": """SELECT query_id, pointer, list(a) AS opened, list(z) AS closed FROM (SELECT query_id, pointer, island, min(a) AS a, max(z) AS z FROM (
+               SELECT *, sum(fresh) OVER (PARTITION BY query_id, pointer ORDER BY a, z) AS island FROM (SELECT query_id, pointer, a, z,
+                 CASE WHEN a <= max(z) OVER (PARTITION BY query_id, pointer ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh
+                 FROM place JOIN best USING (query_id, pointer) WHERE a >= s AND z <= s + 17)) GROUP BY ALL) GROUP BY ALL""",
+}))
 def excerpts(spark: SparkSession, sf: str) -> DataFrame:
+    """The best window of each hit, for words and for phrases."""
     index, nodes = _index(spark, sf)
-    queries = _benchmark_queries(spark, sf, " ")
+    phrases = _benchmark_queries(spark, sf, "-").withColumn("query_id", F.col("query_id") + 1_000_000)
+    queries = _benchmark_queries(spark, sf, " ").unionByName(phrases)
     hits = search.search(index, queries)
     return search.snippets(hits, nodes, queries).select("query_id", "pointer", "excerpt")
 
@@ -487,6 +570,38 @@ def ancestry(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("sequence", "ancestor_sequence", "distance")
 
 
+@query("g7_is_descendant", f"""SELECT e.event_id+1 AS sequence, f.e0+1 AS base_sequence, e.event_id > f.e0 AS is_descendant
+    FROM events e JOIN {_FIRSTS} f ON f.user_id IN (e.user_id, e.user_id+1)""")
+def descendant(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each snapshot descends from the base of its user's change set and from that of the next user's."""
+    c = b.corpus(spark, sf)
+    events = b.table(spark, sf, "events").select("event_id", "user_id")
+    bases = events.groupBy("user_id").agg(F.min("event_id").alias("base"))
+    asked = events.select("event_id", F.explode(F.array("user_id", F.col("user_id") + 1)).alias("user_id")).join(bases, "user_id")
+    state = lambda key: ids.derived_uuid_col(b.CORPUS_ID, "state", F.col(key))
+    pairs = asked.select("event_id", "base", state("event_id").alias("snapshot"), state("base").alias("ancestor"))
+    chain = c["semantic_snapshots"].select(F.col("snapshot_uuid").alias("child"), F.col("parent_snapshot_uuid").alias("parent"))
+    return graph.is_descendant(chain, pairs).select((F.col("event_id") + 1).alias("sequence"), (F.col("base") + 1).alias("base_sequence"), "is_descendant")
+
+
+# Work forked per user: a user's first event hangs on the event before it, later ones on the user's last.
+_FORKED = "SELECT event_id AS child, coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id), nullif(event_id, 0) - 1) AS parent, user_id FROM events"
+
+
+@query("g7_forked_ancestry", f"""WITH RECURSIVE forked AS ({_FORKED}), walk AS (
+      SELECT child AS snapshot, parent AS ancestor, 1 AS distance FROM forked WHERE child % 10 = 0 AND parent IS NOT NULL
+      UNION ALL SELECT snapshot, parent, distance+1 FROM walk JOIN forked ON child = ancestor WHERE parent IS NOT NULL)
+    SELECT snapshot, count(*) AS ancestors, max(distance)::BIGINT AS depth, sum(ancestor)::BIGINT AS ancestor_sum FROM walk GROUP BY snapshot""")
+def forked(spark: SparkSession, sf: str) -> DataFrame:
+    """How many ancestors each tenth snapshot has where every user's work is a branch of its own."""
+    events = b.table(spark, sf, "events").select("event_id", "user_id")
+    linked = grouped_previous(events, ["user_id"], [F.col("event_id")], F.floor(F.col("event_id") / 100_000), F.col("event_id"), "before")
+    fork = F.when(F.col("event_id") > 0, F.col("event_id") - 1)
+    parents = linked.select(F.col("event_id").alias("child"), F.coalesce("before", fork).alias("parent"))
+    rows = graph.ancestors(parents, events.where("event_id % 10 = 0").select(F.col("event_id").alias("child")))
+    return rows.groupBy(F.col("start").alias("snapshot")).agg(F.count(F.lit(1)).alias("ancestors"), F.max("distance").alias("depth"), F.sum("ancestor").alias("ancestor_sum"))
+
+
 # ---- counts -----------------------------------------------------------------------
 @query("a1_corpus_counts", with_ctes("ident occ triple tag", """SELECT 'identities' AS measure, count(*) AS value FROM ident
     UNION ALL SELECT 'promoted_nodes', count(*) FROM ident WHERE lifecycle='promoted' UNION ALL SELECT 'staged_nodes', count(*) FROM ident WHERE lifecycle='staged'

@@ -307,12 +307,8 @@ _EDGES = f"""SELECT src AS s, target AS o, 'link' AS kind FROM occ UNION SELECT
     UNION SELECT node, pointer, 'traversal' FROM ({_TERM_ROWS})"""
 
 
-@query("t8_blast_radius", with_ctes("occ triple otext", f"""SELECT root, kind, count(DISTINCT s) AS touched FROM (
-      SELECT 'C'||c_custkey AS root, e.s, e.kind FROM customer JOIN e ON e.o='C'||c_custkey
-      UNION ALL SELECT 'C'||c_custkey, f.s, f.kind FROM customer JOIN e ON e.o='C'||c_custkey JOIN bearing ON bearing.p=e.s JOIN e f ON f.o=e.s WHERE f.s != 'C'||c_custkey)
-    GROUP BY root, kind""", {"e": _EDGES, "bearing": f"SELECT DISTINCT node AS p FROM ({_TERM_ROWS})"}))
-def radius(spark: SparkSession, sf: str) -> DataFrame:
-    """What changing each customer touches, through references, triples and expressions."""
+def _dependencies(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(source, target, kind) through references, triples and expressions, and the nodes that bear expressions."""
     c = b.corpus(spark, sf)
     names = c["node_identity"].select("uuid", "pointer")
     index = _index(spark, sf).join(names.withColumnRenamed("pointer", "node"), "uuid")
@@ -320,6 +316,30 @@ def radius(spark: SparkSession, sf: str) -> DataFrame:
     links = c["reference_occurrences"].join(source, "source_node_uuid").select("source", F.col("target_pointer").alias("target"), F.lit("link").alias("kind"))
     triples = views.triples_readable(c).select(F.col("subject_pointer").alias("source"), F.col("object_pointer").alias("target"), F.lit("triple").alias("kind"))
     used = index.select(F.col("node").alias("source"), F.col("pointer").alias("target"), F.lit("traversal").alias("kind"))
+    return links.unionByName(triples).unionByName(used), index.select(F.col("node").alias("pointer")).distinct()
+
+
+_REACHED = """SELECT root, kind, count(DISTINCT s) AS touched FROM (
+      SELECT front.root, e.s, e.kind FROM front JOIN e ON e.o = front.node WHERE e.s != front.root) GROUP BY root, kind"""
+
+
+@query("t8_blast_radius", with_ctes("occ triple otext", _REACHED, {"e": _EDGES, "bearing": f"SELECT DISTINCT node AS p FROM ({_TERM_ROWS})",
+    "f0": "SELECT 'C'||c_custkey AS root, 'C'||c_custkey AS node FROM customer",
+    "f1": "SELECT DISTINCT root, e.s AS node FROM f0 JOIN e ON e.o = node JOIN bearing ON p = e.s WHERE e.s != root",
+    "f2": "SELECT DISTINCT root, e.s AS node FROM f1 JOIN e ON e.o = node JOIN bearing ON p = e.s WHERE e.s != root",
+    "front": "SELECT * FROM f0 UNION SELECT * FROM f1 UNION SELECT * FROM f2"}))
+def radius(spark: SparkSession, sf: str) -> DataFrame:
+    """What changing each customer touches within three steps, through references, triples and expressions."""
+    edges, bearing = _dependencies(spark, sf)
     roots = b.table(spark, sf, "customer").select(b.pointer("C", "c_custkey").alias("pointer"))
-    bearing = index.select(F.col("node").alias("pointer")).distinct()
-    return traversal.blast_radius(roots, links.unionByName(triples).unionByName(used), bearing, depth=2)
+    return traversal.blast_radius(roots, edges, bearing, depth=3)
+
+
+@query("t8_reach_all_roots", with_ctes("occ triple otext", _REACHED, {"e": _EDGES, "root": "SELECT 'C'||c_custkey AS r FROM customer UNION ALL SELECT 'S'||s_suppkey FROM supplier",
+    "hop": "SELECT DISTINCT s, o FROM e", "front": "SELECT r AS root, r AS node FROM root UNION SELECT root, hop.s FROM front JOIN hop ON hop.o = node WHERE hop.s != root"}).replace("WITH ", "WITH RECURSIVE ", 1))
+def all_roots(spark: SparkSession, sf: str) -> DataFrame:
+    """All that depends on each customer and each supplier, over any number of steps."""
+    edges, _ = _dependencies(spark, sf)
+    roots = b.table(spark, sf, "customer").select(b.pointer("C", "c_custkey").alias("pointer")).union(
+        b.table(spark, sf, "supplier").select(b.pointer("S", "s_suppkey")))
+    return traversal.count_reached(*traversal.reached(roots, edges), "kind")
