@@ -19,6 +19,7 @@ from corpusloom.corpus import Branch, Corpus, Head, shaped
 from corpusloom.functions import ids, text
 from corpusloom.functions.durable import checkpointed
 from corpusloom.functions.ordered import grouped_rank
+from corpusloom.operators.folding import folded
 from corpusloom.operators.graph import assign_ordinals, check_namespace
 from corpusloom.operators.references import bare_profile, build_reference_index, extract_links, plan_bare, rewrite_legacy, validate_links
 from corpusloom.operators.traversal import canonical_notation, check_traversals, tokenise, traversal_index
@@ -34,8 +35,8 @@ OPERATION = flat_schema(
 CREATING = ("node.create", "node.stage", "tag.create", "graph.create", "sentinel.create")
 TEXT_CHANGING = ("node.update", "traversal.embed")
 SUPPORTED = (*CREATING, *TEXT_CHANGING, "node.revert", "node.promote", "triple.add", "tag.assign")
-# Revisions of one node form a hash chain, so one node's operations are taken one after another: so many at a
-# time, with the node's state carried from each chunk to the next. A node may have any number of them.
+# Revisions of one node form a hash chain, so one node's operations are taken one after another: up to so many within the row,
+# more of them streamed in order with the node's state carried along. A node may have any number of them.
 CHUNK = 500
 ISSUE_SPREAD = 50_000
 ORDINAL_BUCKET = 100_000
@@ -106,14 +107,18 @@ def _histories(c: Corpus, ops: DataFrame, at: str) -> DataFrame:
     texts = ops.where(F.col("operation").isin(*kinds))
     fields = ["index", "operation", "title", "description", "expected_revision_uuid", "reason", "notation", "read", "graph_key",
               "pointer_prefix", "scope", "tracking_note", "request_uuid"]
-    numbered = grouped_rank(texts.select("pointer", *fields), ["pointer"], [F.col("index")], F.floor(F.col("index") / ORDINAL_BUCKET), "_nth")
-    numbered = checkpointed(numbered.withColumn("_chunk", F.floor((F.col("_nth") - 1) / CHUNK)).drop("_nth"))
+    texts = checkpointed(texts.select("pointer", *fields))
     # Identities are pruned to the batch's nodes before any text of the corpus is read.
-    touched = c.with_tables(node_identity=c["node_identity"].join(numbered.select("pointer").distinct(), "pointer", "left_semi"))
+    touched = c.with_tables(node_identity=c["node_identity"].join(texts.select("pointer").distinct(), "pointer", "left_semi"))
     state = current_nodes(touched).select("pointer", *_STATE)
     outcome = ("struct<index:bigint,operation:string,code:string,title:string,description:string,revision_uuid:string,"
                "previous_revision_uuid:string,created_at:string,lifecycle_state:string,reason:string,graph_key:string,"
                "pointer_prefix:string,scope:string,tracking_note:string,request_uuid:string>")
+    default = F.create_map(*[F.lit(x) for pair in {
+        "node.create": "node creation", "node.stage": "staged node creation", "tag.create": "tag creation",
+        "graph.create": "graph creation", "sentinel.create": "create advisory sentinel", "node.update": "node update",
+        "traversal.embed": "embed lawful traversal expression"}.items() for x in pair])
+    reason_of = lambda operation, reason: F.coalesce(F.when(reason != "", reason), F.element_at(default, operation))
     start = F.struct(*[F.col(f).alias(f) for f in _STATE], F.array().cast(f"array<{outcome}>").alias("out"))
     node, base = F.col("uuid"), F.lit(at).cast("timestamp")
 
@@ -133,11 +138,7 @@ def _histories(c: Corpus, ops: DataFrame, at: str) -> DataFrame:
         revision = ids.derived_uuid_col(c.namespace, "revision", node, moment, ids.content_hash(title, description), previous)
         lifecycle = F.when(creates, F.when(op["operation"] == "node.stage", "staged").otherwise("promoted")).otherwise(acc["lifecycle_state"])
         moved = code.isNull()
-        default = F.element_at(F.create_map(*[F.lit(x) for pair in {
-            "node.create": "node creation", "node.stage": "staged node creation", "tag.create": "tag creation",
-            "graph.create": "graph creation", "sentinel.create": "create advisory sentinel", "node.update": "node update",
-            "traversal.embed": "embed lawful traversal expression"}.items() for x in pair]), op["operation"])
-        reason = F.coalesce(F.when(op["reason"] != "", op["reason"]), default)
+        reason = reason_of(op["operation"], op["reason"])
         row = F.struct(
             op["index"].alias("index"), op["operation"].alias("operation"), code.alias("code"), title.alias("title"),
             description.alias("description"), F.when(moved, revision).otherwise(acc["revision_uuid"]).alias("revision_uuid"),
@@ -151,17 +152,20 @@ def _histories(c: Corpus, ops: DataFrame, at: str) -> DataFrame:
             F.when(moved, lifecycle).otherwise(acc["lifecycle_state"]).alias("lifecycle_state"),
             F.array_append(acc["out"], row.cast(outcome)).alias("out"))
 
-    last = numbered.agg(F.max("_chunk")).first()[0] or 0
-    rows = None
-    for chunk in range(last + 1):
-        stacked = numbered.where(F.col("_chunk") == chunk).groupBy("pointer").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("ops"))
-        before = stacked.join(state, "pointer", "left").withColumn("uuid", ids.uuid5_col(c.namespace, F.col("pointer")))
-        folded = before.select("uuid", "pointer", F.aggregate("ops", start, step).alias("s"))
-        folded = folded if last == 0 else checkpointed(folded)
-        state = folded.select("pointer", *[F.col(f"s.{f}").alias(f) for f in _STATE])
-        done = folded.select("uuid", "pointer", F.explode("s.out").alias("o")).select("uuid", "pointer", "o.*")
-        rows = done if rows is None else rows.unionByName(done)
-    return rows
+    crowded = checkpointed(texts.groupBy("pointer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select("pointer"))
+    several = bool(crowded.head(1))
+    within = texts.join(crowded, "pointer", "left_anti") if several else texts
+    stacked = within.groupBy("pointer").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("ops"))
+    before = stacked.join(state, "pointer", "left").withColumn("uuid", ids.uuid5_col(c.namespace, F.col("pointer")))
+    rows = before.select("uuid", "pointer", F.explode(F.aggregate("ops", start, step)["out"]).alias("o")).select("uuid", "pointer", "o.*")
+    if not several:
+        return rows
+    creates = F.col("operation").isin(*CREATING)
+    streamed = texts.join(crowded, "pointer", "left_semi").withColumns({
+        "uuid": ids.uuid5_col(c.namespace, F.col("pointer")), "created_at": ids.ns_time(base, F.col("index")), "creates": creates,
+        "block": text.embedded_block(F.col("notation"), F.col("read")), "reason": reason_of(F.col("operation"), F.col("reason"))})
+    known = state.join(crowded, "pointer", "left_semi")
+    return rows.unionByName(folded(streamed, known, c.namespace, rows.drop("uuid", "pointer").schema))
 
 
 def _known_from(c: Corpus, history: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.corpus import Corpus, Head, shaped
@@ -146,16 +146,11 @@ def ingested(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.unionByName(refused.select("request_id", F.lit(None).cast("long").alias("database_sequence"), "code", "detail"))
 
 
-@query("w4_many_revisions", f"""SELECT event_id, CASE WHEN event_type = p_type AND {_VALUE.format('value', 'props')} = p_text THEN 'unchanged' ELSE 'done' END AS outcome, event_type AS title,
-    CASE WHEN event_type = p_type AND {_VALUE.format('value', 'props')} = p_text THEN NULL ELSE p_type END AS replaced_title
-    FROM (SELECT *, coalesce(lag(event_type) OVER w, last_value(event_type) OVER v) AS p_type, coalesce(lag({_VALUE.format('value', 'props')}) OVER w, last_value({_VALUE.format('value', 'props')}) OVER v) AS p_text
-      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), v AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))""")
-def many_revisions(spark: SparkSession, sf: str) -> DataFrame:
-    """Every event once more as an update of its user, all in one batch: outcomes, and the title that each new revision replaces."""
+def _updates_of(spark: SparkSession, sf: str, node: Column) -> DataFrame:
     c = b.corpus(spark, sf)
     events = b.table(spark, sf, "events")
     numbered = grouped_rank(events.withColumn("_all", F.lit(1)), ["_all"], [F.col("ts"), F.col("event_id")], F.date_trunc("hour", "ts"), "index")
-    numbered = checkpointed(numbered.select("index", "event_id", "event_type", b.pointer("U", "user_id").alias("pointer"),
+    numbered = checkpointed(numbered.select("index", "event_id", "event_type", node.alias("pointer"),
                                             b._text("value=", F.col("value"), " props=", F.col("props")).alias("description")))
     plan = changes.plan_changes(c, numbered.withColumn("operation", F.lit("node.update")).withColumnRenamed("event_type", "title"), kinds={"node.update"})
     new = plan.appended["node_revision"].select("revision_uuid", "previous_revision_uuid")
@@ -166,6 +161,24 @@ def many_revisions(spark: SparkSession, sf: str) -> DataFrame:
     return done.unionByName(rows.where("outcome != 'done'").select("event_id", "outcome", "title", F.lit(None).cast("string").alias("replaced_title")))
 
 
+@query("w4_many_revisions", f"""SELECT event_id, CASE WHEN event_type = p_type AND {_VALUE.format('value', 'props')} = p_text THEN 'unchanged' ELSE 'done' END AS outcome, event_type AS title,
+    CASE WHEN event_type = p_type AND {_VALUE.format('value', 'props')} = p_text THEN NULL ELSE p_type END AS replaced_title
+    FROM (SELECT *, coalesce(lag(event_type) OVER w, last_value(event_type) OVER v) AS p_type, coalesce(lag({_VALUE.format('value', 'props')}) OVER w, last_value({_VALUE.format('value', 'props')}) OVER v) AS p_text
+      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), v AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))""")
+def many_revisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event once more as an update of its user, all in one batch: outcomes, and the title that each new revision replaces."""
+    return _updates_of(spark, sf, b.pointer("U", "user_id"))
+
+
+@query("w4_one_node", f"""SELECT event_id, CASE WHEN event_type = p_type AND {_VALUE.format('value', 'props')} = p_text THEN 'unchanged' ELSE 'done' END AS outcome, event_type AS title,
+    CASE WHEN event_type = p_type AND {_VALUE.format('value', 'props')} = p_text THEN NULL ELSE p_type END AS replaced_title
+    FROM (SELECT *, lag(event_type, 1, (SELECT c_name FROM customer WHERE c_custkey = 0)) OVER w AS p_type, lag({_VALUE.format('value', 'props')}, 1, '') OVER w AS p_text
+      FROM events WINDOW w AS (ORDER BY ts, event_id))""")
+def one_node(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event as an update of one and the same node, all in one batch, streamed through its chain of revisions."""
+    return _updates_of(spark, sf, F.lit("C0"))
+
+
 @query("w5_revert_nodes", with_ctes("urev", "SELECT pointer, title FROM urev WHERE nth=1"))
 def reverted(spark: SparkSession, sf: str) -> DataFrame:
     """Every user set back to the first revision: the titles after the batch."""

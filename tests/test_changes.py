@@ -259,6 +259,23 @@ def test_any_number_of_operations_on_one_node(spark, make_corpus, monkeypatch):
     assert walked == 100 and at == c["node_identity"].where("pointer = 'E1'").first()["current_revision_uuid"]
 
 
+def test_streamed_operations_equal_those_within_the_row(spark, make_corpus, monkeypatch):
+    c = make_corpus([("E1", "one", "x  \n"), ("E2", "two", " ")])
+    first = c["node_identity"].where("pointer = 'E1'").first()["current_revision_uuid"]
+    steps = [{"operation": "node.update", "title": "t1"}, {"operation": "node.update", "description": "d\n\n", "expected_revision_uuid": first},
+             {"operation": "node.update", "title": "t1"}, {"operation": "traversal.embed", "notation": "[(E1)]", "read": "aloud"}, {"operation": "node.create", "title": "n", "description": "d"},
+             {"operation": "node.stage", "title": "s", "description": "", "graph_key": "examples"}, {"operation": "node.update", "title": "é", "reason": "why"},
+             {"operation": "traversal.embed", "notation": "[(E2):(E1)]"}, {"operation": "node.update", "description": "y"}]
+    ops = _ops(spark, *[{**s, "pointer": p} for s in steps for p in ("E1", "E2", "E9")])
+    plans = []
+    for chunk in (500, 2):
+        monkeypatch.setattr(changes, "CHUNK", chunk)
+        history = changes._histories(c, changes._default_graph(changes.operations(ops)), "2000-01-01 00:00:07")
+        plans.append((sorted(history.columns), sorted((str(sorted(r.asDict().items(), key=str)) for r in history.collect()))))
+    assert plans[0] == plans[1] and len(plans[0][1]) == 27
+    assert {code for r in history.collect() if (code := r["code"])} == {"stale_write", "unchanged", "pointer_exists", "node_not_found"}
+
+
 def test_batches_follow_each_other_in_time(spark, make_corpus):
     c = make_corpus([("E1", "one", "x")])
     assert changes.next_moment(c.head) < changes.next_moment(replace(c.head, sequence=1)) < changes.next_moment(replace(c.head, sequence=61))
