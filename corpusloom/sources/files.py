@@ -50,7 +50,7 @@ def _decoded(path: Column) -> Column:
 
 def read_markdown(spark: SparkSession, root: str) -> DataFrame:
     """Every Markdown file below ``root``: (path, text)."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     return files.select(_relative(_decoded(F.col("_metadata.file_path")), root).alias("path"), F.col("value").alias("text"))
 
 
@@ -106,5 +106,5 @@ def file_inventory(spark: SparkSession, root: str, excludes: list[str] | None =
 def read_texts(spark: SparkSession, root: str) -> DataFrame:
     """Text files by suffix below ``root``: (path, text)."""
     suffixes = "*.{md,txt,json,toml,yaml,yml,py,pgx}"  # fixed values
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", suffixes).text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=suffixes)
     return files.select(_relative(_decoded(F.col("_metadata.file_path")), root).alias("path"), F.col("value").alias("text"))

@@ -259,6 +259,23 @@ def test_any_number_of_operations_on_one_node(spark, make_corpus, monkeypatch):
     assert walked == 100 and at == c["node_identity"].where("pointer = 'E1'").first()["current_revision_uuid"]
 
 
+def test_a_writer_that_died_leaves_no_commit(spark, make_corpus, tmp_path):
+    root = str(tmp_path / "corpus")
+    c = make_corpus([("E1", "one", "x")])
+    c = snapshots.write_corpus(c, root, c.head)
+    commits = tmp_path / "corpus" / "commits"
+    (commits / f"{c.head.sequence + 1:012d}.json").write_bytes(b'{"corpus_id": "half')  # between create and close
+    (commits / ".000000000001-aside").write_bytes(b"{}")  # between writing aside and renaming
+    assert snapshots.read_head(spark, root) == c.head
+    plan = changes.plan_changes(c, _ops(spark, {"operation": "node.update", "pointer": "E1", "title": "two"}), kinds={"node.update"})
+    head, _ = changes.next_head(c, c.head, "r1", "batch.apply", "x", {})
+    after = snapshots.commit_changes(c, plan, root, head)
+    assert after.head == head and {r["title"] for r in views.current_nodes(after).where("pointer = 'E1'").collect()} == {"two"}
+    with pytest.raises(snapshots.StaleHead):
+        snapshots._publish(spark, root, {"sequence": head.sequence, "corpus_id": "another"})
+    assert snapshots.read_head(spark, root) == head and not [p for p in commits.iterdir() if p.name.startswith(".") and "aside" not in p.name and not p.name.endswith(".crc")]
+
+
 def test_streamed_operations_equal_those_within_the_row(spark, make_corpus, monkeypatch):
     c = make_corpus([("E1", "one", "x  \n"), ("E2", "two", " ")])
     first = c["node_identity"].where("pointer = 'E1'").first()["current_revision_uuid"]

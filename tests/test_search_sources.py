@@ -158,12 +158,13 @@ def test_file_tree(spark, tmp_path):
     root = tmp_path / "tree"
     (root / "notes" / "__pycache__").mkdir(parents=True)
     (root / "notes" / "Home page.md").write_text("[[Other#top|shown]] [[notes/Other.md]] [[Missing]] [[a/Other]] mentions secret.bin")
-    (root / "notes" / "Other.md").write_text("[[Home page]]")
+    (root / "notes" / "Other.md").write_text("[[Home page]]\n\nand a second line")
     (root / "notes" / "__pycache__" / "x.pyc").write_bytes(b"x")
     inventory = files.file_inventory(spark, str(root))
     assert {r["path"] for r in inventory.collect()} == {"notes/Home page.md", "notes/Other.md", "notes/__pycache__/x.pyc"}
     assert {r["key"] for r in filetree.check_cleanliness(inventory).collect()} == {"notes/__pycache__/x.pyc"}
     notes = files.read_markdown(spark, str(root))
+    assert {r["text"] for r in notes.collect()} == {p.read_text() for p in (root / "notes").glob("*.md")}
     assert {r["detail"] for r in filetree.check_wikilinks(notes).collect()} == {"Missing", "a/Other"}
     assert [(r["key"], r["detail"]) for r in filetree.check_unlinked(files.read_texts(spark, str(root)), ["hidden/secret.bin"]).collect()] == [("hidden/secret.bin", "notes/Home page.md")]
     clean = files.file_inventory(spark, str(root), ["**/__pycache__/**"])
