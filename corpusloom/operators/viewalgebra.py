@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.corpus import Branch
+from corpusloom.functions.durable import checkpointed
+from corpusloom.functions.ordered import grouped_last, grouped_previous
 
 
 def universe(df: DataFrame, id_col: str, container_col: str) -> DataFrame:
@@ -204,3 +206,27 @@ def recurrence(u: DataFrame, terms: DataFrame, period: Column) -> DataFrame:
     """Members using each term per period."""
     said = u.select("member", period.alias("period"), F.explode(F.array_distinct("words")).alias("term")).join(terms.select("term").distinct(), "term")
     return said.groupBy("term", "period").agg(F.count(F.lit(1)).alias("members"))
+
+
+def sessions(u: DataFrame, gap: float, bucket: Column | None = None) -> DataFrame:
+    """Stretches of time in which a term keeps coming back: ``term, started_at, ended_at, members, longest_gap`` from ``u(term, moment)``.
+
+    A stretch ends where the term stays away for more than ``gap`` seconds; ``longest_gap`` is how many seconds it was away at most
+    before and within the stretch, null if it came once only. A term's moments are cut at ``bucket``, by default the hour, and joined again across it, so that a term of
+    all rows meets in no task. Moments that repeat count as members each; rows without term or moment play no part.
+    """
+    rows = u.where("term IS NOT NULL AND moment IS NOT NULL").select("term", F.col("moment").cast("timestamp").alias("moment"))
+    bucket = F.date_trunc("hour", "moment") if bucket is None else bucket
+    times = rows.groupBy("term", "moment").agg(F.count(F.lit(1)).alias("members"))
+    spaced = checkpointed(grouped_previous(times, ["term"], [F.col("moment")], bucket, F.col("moment"), "before"))
+    away = (F.unix_micros("moment") - F.unix_micros("before")) / 1e6
+    marked = spaced.withColumn("away", away).withColumn("starts", F.when(F.col("before").isNull() | (F.col("away") > gap), F.col("moment")))
+    placed = grouped_last(marked, ["term"], [F.col("moment")], bucket, F.col("starts"), "started_at")
+    return placed.groupBy("term", "started_at").agg(
+        F.max("moment").alias("ended_at"), F.sum("members").alias("members"), F.max("away").alias("longest_gap"))
+
+
+def recurrence_over_time(stretches: DataFrame) -> DataFrame:
+    """Per term of :func:`sessions`: ``term, first_at, last_at, islands, longest_gap, members``."""
+    return stretches.groupBy("term").agg(F.min("started_at").alias("first_at"), F.max("ended_at").alias("last_at"), F.count(F.lit(1)).alias("islands"),
+                                         F.max("longest_gap").alias("longest_gap"), F.sum("members").alias("members"))
