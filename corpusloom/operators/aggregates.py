@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.corpus import Corpus
+from corpusloom.operators.changes import Changes
 
 # Measure name -> (table, row filter).
 MEASURES = {
@@ -31,6 +32,49 @@ def corpus_counts(c: Corpus, measures: dict[str, tuple[str, str | None]] | None
     return out
 
 
+def count_changes(before: Corpus, changes: Changes, extra: dict[str, DataFrame] | None = None,
+                  measures: dict[str, tuple[str, str | None]] | None = None) -> DataFrame:
+    """``(measure, change)``: what committing a batch, with ``extra`` rows, adds to each measure, signed.
+
+    New rows count up; rows that a batch removes or replaces count down as they stood before. Only tables that the batch
+    touches are looked at, and of those only the rows under its keys, so a commit's changes can be kept beside it.
+    """
+    measures = measures or MEASURES
+    extra = extra or {}
+    out = before.spark.createDataFrame([], "measure STRING, change BIGINT")
+    for name in dict.fromkeys(t for t, _ in measures.values()):
+        wanted = {m: f for m, (t, f) in measures.items() if t == name}
+        counted = [F.count_if(F.expr(f) if f else F.lit(True)).cast("long").alias(m) for m, f in wanted.items()]
+        signed = [(rows, 1) for rows in (changes.appended.get(name), changes.replaced.get(name), extra.get(name)) if rows is not None]
+        gone = changes.removed.get(name)
+        if gone is not None or changes.replaced.get(name) is not None:
+            signed.append((_hidden(before, name, gone, changes.replaced.get(name)), -1))
+        for rows, sign in signed:
+            sums = rows.agg(*counted)
+            listed = F.array(*[F.struct(F.lit(m).alias("measure"), (F.col(m) * sign).alias("change")) for m in wanted])
+            out = out.unionByName(sums.select(F.explode(listed).alias("m")).select("m.measure", "m.change"))
+    return out.groupBy("measure").agg(F.sum("change").alias("change")).where("change != 0")
+
+
+def _hidden(before: Corpus, name: str, gone: DataFrame | None, replaced: DataFrame | None) -> DataFrame:
+    """The rows of a table that a batch takes away or puts others in place of, once each."""
+    rows, key, hidden = before[name], list(before.spec(name).key), None
+    for keys in (gone, replaced):
+        if keys is not None:
+            on = key if set(key) <= set(keys.columns) else list(keys.columns)
+            met = rows.join(keys.select(*on).distinct(), on, "left_semi").select(*rows.columns)
+            hidden = met if hidden is None else hidden.unionByName(met)
+    return hidden.dropDuplicates(key)
+
+
+def advanced_counts(counts: DataFrame, *deltas: DataFrame) -> DataFrame:
+    """``(measure, value)`` after the commits with these ``count_changes``; the tables are not read again."""
+    rows = counts.select("measure", F.col("value").alias("change"))
+    for delta in deltas:
+        rows = rows.unionByName(delta)
+    return rows.groupBy("measure").agg(F.sum("change").alias("value"))
+
+
 def graph_summary(c: Corpus) -> DataFrame:
     """Every graph, also empty ones, with its declaration pointer and node count."""
     counts = c["graph_membership"].groupBy("graph_uuid").agg(F.count("node_uuid").alias("node_count"))

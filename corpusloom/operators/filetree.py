@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import ids
+from corpusloom.functions.durable import checkpointed
 from corpusloom.sources.files import matches_any
 
 # Files that must not be released.
@@ -88,6 +89,56 @@ def check_unlinked(texts: DataFrame, declared: list[str], excludes: list[str] |
     return _finding(rows, "unlinked.referenced", "resource", F.col("path"))
 
 
+# Needles of one automaton hold so many characters at most; it takes some 30 bytes for each on every executor.
+AUTOMATON_CHARS = 4_000_000
+
+
+def mentions(texts: DataFrame, needles: DataFrame, chars: int = AUTOMATON_CHARS) -> DataFrame:
+    """``(path, needle)`` for each row of ``texts(path, text)`` and each of ``needles(needle)`` that it holds anywhere, in words or across them.
+
+    All needles are sought at once, in one pass over a text, by an automaton that goes to the executors. Needles of more than
+    ``chars`` characters together are dealt into several automata by a hash, each with a pass of its own. Empty needles
+    and null texts match nothing.
+    """
+    import ahocorasick
+
+    wanted = checkpointed(needles.select("needle").where("length(needle) > 0").distinct())
+    total = wanted.agg(F.sum(F.length("needle")).alias("n")).first()["n"] or 0
+    parts = max(1, -(-2 * int(total) // chars)) if total > chars else 1
+    found = None
+    for part in range(parts):
+        chosen = wanted.where(F.pmod(F.xxhash64("needle"), F.lit(parts)) == part)
+        automaton = ahocorasick.Automaton()
+        for row in chosen.toLocalIterator():
+            automaton.add_word(row["needle"], row["needle"])
+        if not len(automaton):
+            continue
+        automaton.make_automaton()
+        rows = texts.select("path", F.explode(_held(texts.sparkSession, automaton)(F.col("text"))).alias("needle"))
+        found = rows if found is None else found.unionByName(rows)
+    return texts.select("path", F.col("path").alias("needle")).limit(0) if found is None else found
+
+
+def _held(spark: SparkSession, automaton) -> Callable[[Column], Column]:
+    shared = spark.sparkContext.broadcast(automaton)
+
+    @F.pandas_udf("array<string>")
+    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([sorted({hit for _, hit in shared.value.iter(text)}) if text else [] for text in batch])
+
+    return held
+
+
+def check_unlinked_many(texts: DataFrame, declared: DataFrame, excludes: list[str] | None = None) -> DataFrame:
+    """Like :func:`check_unlinked` for a table of any number of ``declared(resource)``, sought by path and by name."""
+    name = F.regexp_extract("resource", r"([^/]*)$", 1)
+    sought = declared.select("resource", F.explode(F.array_distinct(F.array("resource", name))).alias("needle")).distinct()
+    searched = texts.where(~matches_any(F.col("path"), excludes or []))
+    rows = mentions(searched, sought).join(sought, "needle").where("path <> resource").select("path", "resource").distinct()
+    return _finding(rows, "unlinked.referenced", "resource", F.col("path"))
+
+
 def listing_digests(declared: DataFrame) -> DataFrame:
     """(bundle, digest): the SHA-256 of each bundle's listing ``(path, sha256, byte_size)`` as canonical JSON in order of paths.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.corpus import Corpus
 from corpusloom.functions import ids, text
+from corpusloom.functions.durable import checkpointed
 from corpusloom.functions.ordered import grouped_previous
 from corpusloom.functions.text import ReferenceProfile
 from corpusloom.operators import aggregates, changes, fingerprints, graph, references, search, views
@@ -613,6 +614,34 @@ def counts(spark: SparkSession, sf: str) -> DataFrame:
     return aggregates.corpus_counts(b.corpus(spark, sf))
 
 
+@query("a1_incremental", with_ctes("ident occ triple tag", """SELECT measure, value + coalesce(CASE measure
+      WHEN 'revisions' THEN (SELECT count(*) FROM customer)
+      WHEN 'tag_assignments' THEN (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic=1))
+      WHEN 'audit_events' THEN (SELECT count(*) FROM customer) + (SELECT count(*) FROM documents) END, 0) AS value, true AS as_counted
+    FROM (SELECT 'identities' AS measure, count(*) AS value FROM ident UNION ALL SELECT 'promoted_nodes', count(*) FROM ident WHERE lifecycle='promoted'
+      UNION ALL SELECT 'staged_nodes', count(*) FROM ident WHERE lifecycle='staged' UNION ALL SELECT 'deprecated_nodes', 0
+      UNION ALL SELECT 'revisions', (SELECT count(*) FROM node)+(SELECT count(*) FROM events) UNION ALL SELECT 'graphs', count(*) FROM decl
+      UNION ALL SELECT 'reference_occurrences', count(*) FROM occ UNION ALL SELECT 'triples', count(*) FROM triple UNION ALL SELECT 'predicates', count(*) FROM pred
+      UNION ALL SELECT 'tags', count(DISTINCT tag) FROM tag UNION ALL SELECT 'tag_assignments', count(*) FROM tag UNION ALL SELECT 'operations', count(*) FROM events
+      UNION ALL SELECT 'audit_events', 0)"""))
+def counts_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus counts carried through two commits by their changes alone, beside a recount of the corpus after them."""
+    start = c = b.corpus(spark, sf)
+    customer, docs = b.table(spark, sf, "customer"), b.table(spark, sf, "documents")
+    batches = [
+        (changes.assign_tags, docs.select(F.col("doc_id").alias("index"), b.pointer("D", "doc_id").alias("subject_pointer"), F.lit("D1").alias("tag_pointer")), "2025-01-02 00:00:00"),
+        (changes.revise_nodes, customer.select(F.col("c_custkey").alias("index"), b.pointer("C", "c_custkey").alias("pointer"), b._text(F.col("c_name"), " again").alias("title")), "2025-01-03 00:00:00")]
+    deltas = []
+    for apply, ops, at in batches:
+        plan = apply(c, ops, at)
+        deltas.append(checkpointed(aggregates.count_changes(c, plan)))
+        after = plan.applied_to(c)
+        c = after.with_tables(**{name: checkpointed(after[name]) for name in {t for t, _ in aggregates.MEASURES.values()} & {*plan.appended, *plan.replaced, *plan.removed}})
+    recount = aggregates.corpus_counts(c).withColumnRenamed("value", "recounted")
+    kept = aggregates.advanced_counts(aggregates.corpus_counts(start), *deltas)
+    return kept.join(recount, "measure").select("measure", "value", (F.col("value") == F.col("recounted")).alias("as_counted"))
+
+
 @query("a2_graph_summary", with_ctes("member", "SELECT d.graph_key, d.prefix AS pointer_prefix, d.decl AS declaration_pointer, count(m.pointer) AS node_count FROM decl d LEFT JOIN member m USING (graph_key) GROUP BY ALL"))
 def graph_counts(spark: SparkSession, sf: str) -> DataFrame:
     return aggregates.graph_summary(b.corpus(spark, sf))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import ids, text
 from corpusloom.functions.durable import shared_folder
-from corpusloom.operators import changes, viewalgebra
+from corpusloom.operators import changes, filetree, viewalgebra, views
 from corpusloom.plans import bindings as b
 from corpusloom.plans.registry import query
 from corpusloom.plans.sqltwins import with_ctes
@@ -56,6 +56,18 @@ def inventory(spark: SparkSession, sf: str) -> DataFrame:
     return files.file_inventory(spark, _document_files(spark, sf))
 
 
+@query("c4_many_needles", with_ctes("node", """SELECT DISTINCT 'unlinked.referenced' AS code, needle AS key, path AS detail FROM (
+      SELECT path, hit[1:i] AS needle FROM (SELECT path, hit, unnest(range(2, len(hit) + 1)) AS i FROM (
+        SELECT pointer AS path, unnest(regexp_extract_all(description, '[OC][0-9]+')) AS hit FROM node)))
+    WHERE needle != path AND (needle IN (SELECT 'O'||o_orderkey FROM orders) OR needle IN (SELECT 'C'||c_custkey FROM customer))"""))
+def many_needles(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text that mentions the name of an order or a customer, sought all at once."""
+    c = b.corpus(spark, sf)
+    texts = views.current_nodes(c).where("NOT pointer RLIKE '^U[0-9]'").select(F.col("pointer").alias("path"), F.col("description").alias("text"))
+    names = b.table(spark, sf, "orders").select(b.pointer("O", "o_orderkey").alias("resource")).union(b.table(spark, sf, "customer").select(b.pointer("C", "c_custkey")))
+    return filetree.check_unlinked_many(texts, names).select("code", "key", "detail")
+
+
 @query("s8_read_branches", with_ctes("slice", """SELECT label AS branch, 'Order '||o_orderkey AS title, 'price '||round(o_totalprice*100)::BIGINT AS description FROM slice
     UNION ALL SELECT label, 'Order '||o_orderkey, 'price '||round(o_totalprice*100)::BIGINT||' seen '||label FROM slice WHERE o_orderpriority = '1-URGENT'"""))
 def branch_sources(spark: SparkSession, sf: str) -> DataFrame:

@@ -259,6 +259,18 @@ def test_any_number_of_operations_on_one_node(spark, make_corpus, monkeypatch):
     assert walked == 100 and at == c["node_identity"].where("pointer = 'E1'").first()["current_revision_uuid"]
 
 
+def test_counts_follow_commits(spark, make_corpus):
+    c = make_corpus([("E1", "one", "x"), ("E2", "two", "[one](E1)"), ("E3", "three", "later", "staged")])
+    plan = changes.plan_changes(c, _ops(spark, {"operation": "node.update", "pointer": "E2", "title": "second"}, {"operation": "node.create", "pointer": "E9", "title": "n", "description": "see [one](E1)", "graph_key": "examples"},
+                                        {"operation": "node.promote", "pointer": "E3", "graph_key": "examples"}))
+    assert _codes(plan) == set()
+    extra = {"operation_ledger": c["operation_ledger"].limit(0)}
+    kept = aggregates.advanced_counts(aggregates.corpus_counts(c), aggregates.count_changes(c, plan, extra))
+    recount = aggregates.corpus_counts(plan.applied_to(c))
+    assert {tuple(r) for r in kept.collect()} == {tuple(r) for r in recount.collect()}
+    assert dict(aggregates.count_changes(c, plan).collect())["staged_nodes"] == -1
+
+
 def test_a_writer_that_died_leaves_no_commit(spark, make_corpus, tmp_path):
     root = str(tmp_path / "corpus")
     c = make_corpus([("E1", "one", "x")])
