@@ -84,6 +84,6 @@ def test_held_out_predictions(spark, sf_dir):
 
 def test_all_are_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in __spark_entry__.queries()
     assert {k for k in __spark_entry__.oracle_sql() if k in queries.QUERIES} == set(queries.SQL)
     assert toxicity.GRAMMAR.arcs
