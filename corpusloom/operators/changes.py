@@ -152,8 +152,9 @@ def _histories(c: Corpus, ops: DataFrame, at: str) -> DataFrame:
             F.when(moved, lifecycle).otherwise(acc["lifecycle_state"]).alias("lifecycle_state"),
             F.array_append(acc["out"], row.cast(outcome)).alias("out"))
 
-    crowded = checkpointed(texts.groupBy("pointer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select("pointer"))
-    several = bool(crowded.head(1))
+    sizes = texts.groupBy("pointer").agg(F.count(F.lit(1)).alias("n"))
+    several = (sizes.agg(F.max("n")).first()[0] or 0) > CHUNK
+    crowded = checkpointed(sizes.where(F.col("n") > CHUNK).select("pointer")) if several else None
     within = texts.join(crowded, "pointer", "left_anti") if several else texts
     stacked = within.groupBy("pointer").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("ops"))
     before = stacked.join(state, "pointer", "left").withColumn("uuid", ids.uuid5_col(c.namespace, F.col("pointer")))
