@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.operators import traversal, viewalgebra, views
+from corpusloom.functions.durable import checkpointed
+from corpusloom.operators import candidates, traversal, viewalgebra, views
 from corpusloom.plans import bindings as b
 from corpusloom.plans.registry import query
 from corpusloom.plans.sqltwins import node_id, uuid5, with_ctes
@@ -200,6 +201,47 @@ def _spoken(spark: SparkSession, sf: str) -> DataFrame:
                                                   "source", text.words(F.col("text")).alias("words"))
 
 
+# A turn is said at the time of one event, and the leading turns of a conversation carry a vector.
+_SAID = f"""SELECT t.member, t.container, t.turn, epoch_us(v.ts) / 1e6 AS at, CASE WHEN t.turn < 4 THEN e.embedding::DOUBLE[] END AS vector,
+    e.label, t.role, list_distinct({_WORDS.replace("(text)", "(t.text)")}) AS words, t.text FROM turnrow t
+    LEFT JOIN events v ON v.event_id = t.container * 7 + t.turn LEFT JOIN embeddings e ON t.turn < 4 AND e.vec_id = t.container * 4 + t.turn"""
+_FUSED = {
+    "said": _SAID,
+    "seed": """SELECT 'asked' AS view, member FROM said WHERE role = 'user' AND turn = 0 AND contains(lower(text), 'sch')
+      UNION SELECT 'third', member FROM said WHERE label = 3 AND turn < 2""",
+    "term": "SELECT member, unnest(words) AS term FROM said",
+    "weight": """SELECT view, term, round(ln((1 + (SELECT count(*) FROM said)) / (1 + df)) * 1000)::BIGINT AS w
+      FROM (SELECT DISTINCT view, term FROM seed JOIN term USING (member)) JOIN (SELECT term, count(*) AS df FROM term GROUP BY term) USING (term)""",
+    "unit": "SELECT member, list_transform(vector, lambda x: x / sqrt(list_sum(list_transform(vector, lambda y: y * y)))) AS e FROM said WHERE vector IS NOT NULL",
+    "near": """SELECT view, member, 'words' AS signal, sum(w)::DOUBLE AS nearness FROM weight JOIN term USING (term) GROUP BY view, member HAVING sum(w) > 0
+      UNION ALL SELECT view, m.member, 'time', -min(abs(m.at - s.at)) FROM seed JOIN said s USING (member) JOIN said m ON abs(m.at - s.at) <= 3600 GROUP BY view, m.member
+      UNION ALL SELECT view, m.member, 'turn', -min(abs(m.turn - s.turn))::DOUBLE FROM seed JOIN said s USING (member) JOIN said m ON m.container = s.container AND abs(m.turn - s.turn) <= 2 GROUP BY view, m.member
+      UNION ALL SELECT view, m.member, 'vector', round(max(list_sum(list_transform(list_zip(m.e, s.e), lambda p: p[1] * p[2]))), 6) FROM seed JOIN unit s USING (member), unit m GROUP BY view, m.member""",
+    "ranked": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY view, signal ORDER BY nearness DESC, member) AS r
+      FROM near ANTI JOIN seed USING (view, member)) WHERE r <= 1000""",
+    "fused": "SELECT view, member, sum(1000000000 // (60 + r))::BIGINT AS s, string_agg(signal||':'||r, ' ' ORDER BY signal) AS reasons FROM ranked GROUP BY view, member",
+}
+
+
+@query("m16_candidates", with_ctes("turnrow", """SELECT view, p::INTEGER AS position, member, s / 1e9 AS score, reasons
+    FROM (SELECT *, row_number() OVER (PARTITION BY view ORDER BY s DESC, member) AS p FROM fused) WHERE p <= 100""", _FUSED))
+def fused_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """The hundred turns nearest to two sets of turns by words, time, place in the conversation and vector, with reasons."""
+    turns = b.turns(spark, sf)
+    times = b.table(spark, sf, "events").select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    vectors = b.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
+    said = (turns.join(times, F.col("event_id") == F.col("container") * 7 + F.col("turn"), "left")
+                 .join(vectors, (F.col("turn") < 4) & (F.col("vec_id") == F.col("container") * 4 + F.col("turn")), "left"))
+    said = checkpointed(said.select("member", "container", "turn", "at", "vector", "label", "role", "text"))
+    asked = said.where((F.col("role") == "user") & (F.col("turn") == 0) & F.lower("text").contains("sch"))
+    seeds = checkpointed(asked.select(F.lit("asked").alias("view"), "member").union(said.where("label = 3 AND turn < 2").select(F.lit("third"), "member")))
+    signals = [candidates.shared_words(said.select("member", text.words(F.col("text")).alias("words")), seeds),
+               candidates.close_along(said.select("member", F.lit("").alias("line"), F.col("at").alias("place")), seeds, 3600, "time"),
+               candidates.close_along(said.select("member", F.col("container").alias("line"), F.col("turn").alias("place")), seeds, 2, "turn"),
+               candidates.nearest_example(said.select("member", "vector"), seeds)]
+    return candidates.fuse(signals, seeds, limit=100)
+
+
 @query("m17_first_seen", f"SELECT term, min(seen_at) AS first_at, arg_min(member, seen_at) AS first_member, max(seen_at) AS last_at, count(*) AS members FROM ({_DOC_WORDS}) JOIN ({_TERMS}) USING (term) GROUP BY term")
 def first_seen(spark: SparkSession, sf: str) -> DataFrame:
     return viewalgebra.first_seen(_spoken(spark, sf), _terms(spark, sf), "seen_at")
