@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -102,24 +103,31 @@ def locate_from(needle: Column, text: Column, start: Column) -> Column:
     return F.call_function("locate", needle, text, start + 1) - 1
 
 
+# Characters of code and escapes that are no markup, and noncharacters that stand for them while markup is dropped.
+_LITERAL, _MASKED = "*#", "\ufdd0\ufdd1"
+
+
 def visible_text(text: Column) -> Column:
-    """Text a reader sees: link destinations and code marks dropped, fence bodies kept."""
+    """Text a reader sees: link destinations and code marks dropped; code and fence bodies kept as they are."""
+    def literal(code: Column) -> Column:
+        return F.translate(code, _LITERAL, _MASKED)
+
     def shown(token: Column) -> Column:
         link = F.regexp_extract(token, LINK_PARTS, 1)
         image = F.regexp_extract(F.substr(token, F.lit(2)), LINK_PARTS, 1)
         return (F.when(token.startswith("[") & token.rlike(LINK_PARTS), _rendered_anchor(link))
                  .when(token.startswith("![") & F.substr(token, F.lit(2)).rlike(LINK_PARTS), image)
                  .when(token.rlike(r"(?s)^ {0,3}(`{3,}|~{3,})"),
-                       F.regexp_replace(F.regexp_replace(token, r"(?s)^ {0,3}(?:`{3,}|~{3,})[^\n]*\n?", ""),
-                                        r"(?s)\n? {0,3}(?:`{3,}|~{3,})[ \t]*$", ""))
-                 .when(token.rlike(r"(?s)^`+.*`+$") & (F.length(token) > 1), F.regexp_replace(token, r"^`+|`+$", ""))
-                 .when(token.rlike(r"^\\."), F.substr(token, F.lit(2)))
+                       literal(F.regexp_replace(F.regexp_replace(token, r"(?s)^ {0,3}(?:`{3,}|~{3,})[^\n]*\n?", ""),
+                                                r"(?s)\n? {0,3}(?:`{3,}|~{3,})[ \t]*$", "")))
+                 .when(token.rlike(r"(?s)^`+.*`+$") & (F.length(token) > 1), literal(F.regexp_replace(token, r"^`+|`+$", "")))
+                 .when(token.rlike(r"^\\."), literal(F.substr(token, F.lit(2))))
                  .otherwise(token))
 
     joined = F.array_join(F.transform(markdown_tokens(text), shown), "")
     unquoted = F.regexp_replace(joined, r"(?m)^ {0,3}#{1,6} +", "")
     plain = F.regexp_replace(unquoted, r"(\*{1,2})([^*\s](?:[^*\n]*[^*\s])?)\1", "$2")
-    return F.trim(F.regexp_replace(plain, r"\n{2,}", "\n"))
+    return F.translate(F.trim(F.regexp_replace(plain, r"\n{2,}", "\n")), _MASKED, _LITERAL)
 
 
 # ---- node line format -------------------------------------------------------------
@@ -143,10 +151,21 @@ def node_line(pointer: Column, title: Column, description: Column, data_one: Col
 
 
 # ---- search words -----------------------------------------------------------------
-# Latin letters whose accents the search index ignores.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyy"
+def _accents() -> tuple[str, str]:
+    """Every small Latin letter that consists of a letter and marks, with that letter; then the marks, which are left out."""
+    letters = {}
+    for code in range(0x80, 0x2000):
+        letter = chr(code)
+        base, *marks = unicodedata.normalize("NFD", letter)
+        if marks and letter == letter.lower() and unicodedata.name(letter, "").startswith("LATIN"):
+            letters[letter] = base
+    return "".join(letters) + "".join(map(chr, range(0x300, 0x370))), "".join(letters.values())
+
+
+# The search index ignores marks on Latin letters, whether they are one character with it or stand behind it.
+ACCENTED, UNACCENTED = _accents()
 WORD = r"[\p{L}\p{N}]+"
+MARKED_WORD = r"[\p{L}\p{N}][\p{L}\p{N}\u0300-\u036f]*+"
 
 
 def fold(text: Column) -> Column:

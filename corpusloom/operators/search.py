@@ -233,8 +233,8 @@ def snippets(hits: DataFrame, nodes: DataFrame, queries: DataFrame, size: int =
     """
     wanted = query_units(queries).where("n_words > 0").groupBy("query_id").agg(F.sort_array(F.collect_set("words")).alias("units"))
     rows = hits.join(nodes.select("uuid", "description"), "uuid").join(wanted, "query_id")
-    # Each piece is a word with the separator that follows it.
-    pieces = F.regexp_extract_all("description", F.lit(r"[\p{L}\p{N}]+[^\p{L}\p{N}]*"), F.lit(0))
+    # Each piece is a word, marks included, with the separator that follows it.
+    pieces = F.regexp_extract_all("description", F.lit(rf"{text.MARKED_WORD}[^\p{{L}}\p{{N}}]*"), F.lit(0))
     rows = computed_once(rows, "_pieces", pieces)
     rows = computed_once(rows, "_places", unit_places(F.transform("_pieces", lambda p: F.regexp_extract(text.fold(p), text.WORD, 0)), F.col("units")))
     rows = computed_once(rows, "_start", best_window(F.col("_places"), F.size("units"), size))
@@ -254,7 +254,7 @@ def snippets(hits: DataFrame, nodes: DataFrame, queries: DataFrame, size: int =
     def shown(piece: Column, i: Column) -> Column:
         at = i + F.col("_start")
         left = F.when(F.array_contains(opened, at), F.concat(F.lit("["), piece)).otherwise(piece)
-        return F.when(F.array_contains(closed, at), F.regexp_replace(left, r"^(\[?[\p{L}\p{N}]+)", "$1]")).otherwise(left)
+        return F.when(F.array_contains(closed, at), F.regexp_replace(left, rf"^(\[?{text.MARKED_WORD})", "$1]")).otherwise(left)
 
     body = F.trim(F.array_join(F.transform(F.slice("_pieces", F.col("_start"), F.lit(size)), shown), ""))
     lead = F.when(F.col("_start") > 1, "…").otherwise("")

@@ -446,10 +446,17 @@ def lineage(spark: SparkSession, sf: str) -> DataFrame:
     return branches.lineage(b.corpus(spark, sf)).select("created_at", "mutation_count")
 
 
-@query("b9_common_base", f"SELECT max(b) AS common_base_snapshot_id FROM (SELECT min({uuid5(b.CORPUS_ID, chr(40) + chr(39) + 'state:' + chr(39) + '||event_id)')}) AS b, min(ts) AS t FROM events GROUP BY user_id)")
+_BASES = f"(SELECT min({uuid5(b.CORPUS_ID, chr(40) + chr(39) + 'state:' + chr(39) + '||event_id)')}) AS b, count(*) AS n FROM events GROUP BY user_id)"
+
+
+@query("b9_common_base", f"SELECT max(b) AS common_base_snapshot_id FROM {_BASES} WHERE n < (SELECT avg(n) FROM {_BASES})")
 def base(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus and another in which the busier workstreams were begun anew elsewhere."""
     c = b.corpus(spark, sf)
-    return branches.common_base(c, c)
+    streams = c["corpus_workstreams"]
+    busy = F.col("mutation_count") >= streams.select(F.avg("mutation_count")).scalar()
+    elsewhere = ids.derived_uuid_col(b.CORPUS_ID, "elsewhere", "workstream_id")
+    return branches.common_base(c, c.with_tables(corpus_workstreams=streams.withColumn("base_snapshot_id", F.when(busy, elsewhere).otherwise(F.col("base_snapshot_id")))))
 
 
 @query("b10_classify_handoffs", """SELECT user_id::VARCHAR AS handoff_id, CASE WHEN n < 50 THEN 'nonmatching' WHEN k='error' THEN 'unverified' WHEN k='view' THEN 'machinery_mismatch' WHEN last=e0 THEN 'exact' ELSE 'unexpected_descendant' END AS classification
@@ -468,10 +475,16 @@ def handoffs(spark: SparkSession, sf: str) -> DataFrame:
     return branches.classify_handoffs(receipts, candidates, history, "r1").select("handoff_id", "classification")
 
 
-@query("b11_merge_laws", "SELECT * FROM (VALUES ('idempotent', true), ('commutative', true), ('associative_left', true), ('associative_right', true)) t(law, holds)")
+@query("b11_merge_laws", """SELECT law, holds OR NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus IN ('F','O') AND o_orderpriority = '2-HIGH') AS holds
+    FROM (VALUES ('idempotent', false), ('commutative', true), ('associative_left', true), ('associative_right', true)) t(law, holds)""")
 def laws(spark: SparkSession, sf: str) -> DataFrame:
-    bare = [b.branch(spark, sf, label) for label in b.BRANCH_RULES]
-    return branches.merge_laws(bare)
+    """The laws for three branches, of which the first holds aliases of pressing orders twice under one key."""
+    east, *others = [b.branch(spark, sf, label) for label in b.BRANCH_RULES]
+    rows = east["object_alias_assertions"]
+    pressing = b.table(spark, sf, "orders").where("o_orderpriority = '2-HIGH'").select(b.pointer("O", "o_orderkey").alias("alias_text"))
+    again = rows.join(pressing, "alias_text", "left_semi").withColumn("created_at", F.lit("later"))
+    doubled = east.with_tables(object_alias_assertions=rows.unionByName(again.select(*rows.columns)))
+    return branches.merge_laws([doubled, *others])
 
 
 # ---- quality ----------------------------------------------------------------------

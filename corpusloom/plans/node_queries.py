@@ -130,17 +130,17 @@ def advisory(spark: SparkSession, sf: str) -> DataFrame:
 _HREF = 'href="([^"]*)"'
 
 
-@query("v9_classify_destinations", with_ctes("otext ident", rf"""SELECT destination, destination_class, CASE WHEN destination_class='bare_pointer' THEN destination END AS pointer,
+@query("v9_classify_destinations", with_ctes("link ident", rf"""SELECT destination, destination_class, CASE WHEN destination_class='bare_pointer' THEN destination END AS pointer,
       destination_class='bare_pointer' AND destination IN (SELECT pointer FROM ident) AS resolved
     FROM (SELECT destination, CASE WHEN regexp_full_match(destination, '[A-Za-z][A-Za-z0-9._-]*') THEN 'bare_pointer'
         WHEN regexp_matches(destination, '(?i)^https?:') THEN 'http' WHEN regexp_matches(destination, '(?i)^arcp:') THEN 'arcp' ELSE 'not_claimed' END AS destination_class
-      FROM (SELECT url AS destination FROM pages UNION SELECT unnest(regexp_extract_all(html, '{_HREF}', 1)) FROM pages UNION SELECT target FROM otext))"""))
+      FROM (SELECT url AS destination FROM pages UNION SELECT unnest(regexp_extract_all(html, '{_HREF}', 1)) FROM pages UNION SELECT target FROM link))"""))
 def classified(spark: SparkSession, sf: str) -> DataFrame:
+    """Every address of and in the pages, and every destination of a link of any node."""
     c = b.corpus(spark, sf)
     pages = b.table(spark, sf, "pages")
     hrefs = pages.select(F.explode(F.regexp_extract_all("html", F.lit(_HREF), F.lit(1))).alias("destination"))
-    links = references.extract_links(views.current_nodes(c)).where(F.col("canonical_uri").rlike("^C")).join(
-        c["node_identity"].where("pointer RLIKE '^O[0-9]'").select(F.col("uuid").alias("source_node_uuid")), "source_node_uuid", "left_semi")
+    links = references.extract_links(views.current_nodes(c))
     rows = pages.select(F.col("url").alias("destination")).union(hrefs).union(links.select("canonical_uri")).distinct()
     out = views.resolve_destinations(rows, c)
     return out.select("destination", "destination_class", "pointer", F.col("target_uuid").isNotNull().alias("resolved"))
@@ -298,10 +298,16 @@ def top_backlinks(spark: SparkSession, sf: str) -> DataFrame:
     return customers.orderBy(F.desc("incoming"), "pointer").limit(10)
 
 
-@query("r6_visible_text", with_ctes("otext", r"""SELECT 'O'||o_orderkey AS pointer, 'Placed by '||anchor||' in '||n_name||'.'||chr(10)||'Traversal expression'||chr(10)||notation AS visible_text FROM otext"""))
+# Prose as a reader sees it: no backslashes, code, braces or links stand in documents, but headings and emphasis do.
+_PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace({}, '(^|\n) {{0,3}}#{{1,6}} +', '\1', 'g'), '(\*{{1,2}})([^*\s](?:[^*\n]*[^*\s])?)(\*{{1,2}})', '\2', 'g'), '\n{{2,}}', chr(10), 'g'))"
+
+
+@query("r6_visible_text", with_ctes("otext cur", rf"""SELECT 'O'||o_orderkey AS pointer, 'Placed by '||anchor||' in '||n_name||'.'||chr(10)||'Traversal expression'||chr(10)||notation AS visible_text FROM otext
+    UNION ALL SELECT 'P'||p_partkey, 'Supplied as '||p_name||' (S'||p_size||'), see (S'||(p_size+60)||'). Kept as written: (*S0*) and {{{{{{x (S1)}}}}}}.' FROM part
+    UNION ALL SELECT pointer, CASE WHEN kind = 'document' THEN {_PLAIN.format("description")} ELSE regexp_replace(description, '\[([^\]]*)\]\([^)]*\)', '\1', 'g') END FROM cur WHERE kind NOT IN ('order', 'part')"""))
 def visible(spark: SparkSession, sf: str) -> DataFrame:
-    orders = views.current_nodes(b.corpus(spark, sf)).where("pointer RLIKE '^O[0-9]'")
-    return references.visible_text(orders).select("pointer", "visible_text")
+    """What a reader sees of every current node's text."""
+    return references.visible_text(views.current_nodes(b.corpus(spark, sf))).select("pointer", "visible_text")
 
 
 _CITED = """SELECT 'P'||p_partkey AS pointer, p_name, p_size, a.s_name AS first_name, b.s_name AS second_name
@@ -398,7 +404,7 @@ def _benchmark_queries(spark: SparkSession, sf: str, joint: str) -> DataFrame:
 
 
 def _benchmark_sql(joint: str) -> str:
-    words = r"regexp_extract_all(translate(lower(text), '" + text.ACCENTED + "', '" + text.UNACCENTED + r"'), '[\p{L}\p{N}]+')"
+    words = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')"
     return f"SELECT query_id, w[1]||'{joint}'||w[2] AS query FROM (SELECT item_id AS query_id, {words} AS w FROM benchmark) WHERE len(w) > 1"
 
 
@@ -450,7 +456,7 @@ _SNIPPETS = r"""SELECT query_id, pointer, CASE WHEN s > 1 THEN '…' ELSE '' END
 
 @query("f4_snippets", with_ctes("tok", _SNIPPETS, search_ctes(_PHRASES_TOO) | {
     "found": "SELECT query_id, pointer FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, pointer) AS position FROM res) WHERE position <= 20",
-    "piece": r"SELECT pointer, pieces, list_transform(pieces, lambda p: regexp_extract(translate(lower(p), '" + text.ACCENTED + "', '" + text.UNACCENTED + r"'), '[\p{L}\p{N}]+')) AS ws FROM "
+    "piece": r"SELECT pointer, pieces, list_transform(pieces, lambda p: regexp_extract(strip_accents(lower(p)), '[\p{L}\p{N}]+')) AS ws FROM "
              r"(SELECT pointer, regexp_extract_all(description, '[\p{L}\p{N}]+[^\p{L}\p{N}]*') AS pieces FROM cur WHERE pointer IN (SELECT pointer FROM found))",
     "place": """SELECT query_id, pointer, words, a, a + len(words) - 1 AS z FROM (SELECT query_id, pointer, words, ws, unnest(range(1, len(ws) - len(words) + 2)) AS a
              FROM found JOIN (SELECT DISTINCT query_id, words FROM u) USING (query_id) JOIN piece USING (pointer)) WHERE ws[a:a + len(words) - 1] = words""",
@@ -547,12 +553,17 @@ def packs(spark: SparkSession, sf: str) -> DataFrame:
     return graph.context_packs(c, roots, max_nodes=20, max_chars=4000)[1]
 
 
-@query("g6_revision_chains", with_ctes("urev node", f"""SELECT u.pointer, u.created_at, (u.nth-1)::BIGINT AS depth, {uuid5(b.NAMESPACE, "('event-revision:'||u.first_event)")} AS root FROM urev u"""))
+_LOADED_ROOT = uuid5(b.NAMESPACE, f"('revision:'||{node_id('pointer')}||'|'||created_at||'|'||sha256(encode(title)||'\\x00'::BLOB||encode(description))||'|')")
+
+
+@query("g6_revision_chains", with_ctes("urev node", f"""SELECT u.pointer, u.created_at, (u.nth-1)::BIGINT AS depth, {uuid5(b.NAMESPACE, "('event-revision:'||u.first_event)")} AS root FROM urev u
+    UNION ALL SELECT pointer, created_at, 0, {_LOADED_ROOT} FROM node"""))
 def chains(spark: SparkSession, sf: str) -> DataFrame:
+    """Depth and root of every revision: users' are chained, all other nodes have one each."""
     c = b.corpus(spark, sf)
     rows = graph.revision_chains(c["node_revision"]).join(c["node_revision"].select("revision_uuid", "node_uuid", "created_at"), "revision_uuid")
     named = rows.join(_pointers(c).withColumnRenamed("uuid", "node_uuid"), "node_uuid")
-    return named.where("pointer RLIKE '^U[0-9]'").select("pointer", "created_at", "depth", "root")
+    return named.select("pointer", "created_at", "depth", "root")
 
 
 _FIRSTS = "(SELECT user_id, min(event_id) AS e0 FROM events GROUP BY user_id)"

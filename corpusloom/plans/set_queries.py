@@ -187,7 +187,7 @@ def nearest(spark: SparkSession, sf: str) -> DataFrame:
     return viewalgebra.nearest_to_seeds(rows.select("member", "vector"), rows.where("label = 3"), 50)
 
 
-_WORDS = rf"regexp_extract_all(translate(lower(text), '{text.ACCENTED}', '{text.UNACCENTED}'), '[\p{{L}}\p{{N}}]+')"
+_WORDS = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')"
 _TERMS = f"SELECT DISTINCT unnest({_WORDS}) AS term FROM benchmark"
 _DOC_WORDS = f"SELECT 'D'||doc_id AS member, lpad(doc_id::VARCHAR, 12, '0') AS seen_at, source, unnest(list_distinct({_WORDS})) AS term FROM documents"
 
@@ -203,7 +203,7 @@ def _spoken(spark: SparkSession, sf: str) -> DataFrame:
 
 # A turn is said at the time of one event, and the leading turns of a conversation carry a vector.
 _SAID = f"""SELECT t.member, t.container, t.turn, epoch_us(v.ts) / 1e6 AS at, CASE WHEN t.turn < 4 THEN e.embedding::DOUBLE[] END AS vector,
-    e.label, t.role, list_distinct({_WORDS.replace("(text)", "(t.text)")}) AS words, t.text FROM turnrow t
+    e.label, t.role, list_distinct({_WORDS.replace("(text", "(t.text")}) AS words, t.text FROM turnrow t
     LEFT JOIN events v ON v.event_id = t.container * 7 + t.turn LEFT JOIN embeddings e ON t.turn < 4 AND e.vec_id = t.container * 4 + t.turn"""
 _FUSED = {
     "said": _SAID,

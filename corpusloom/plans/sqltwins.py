@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from corpusloom.functions.text import ACCENTED, UNACCENTED
 from corpusloom.plans.bindings import CORPUS_ID, GRAPHS, NAMESPACE, PREDICATES
 
 
@@ -32,7 +31,7 @@ def _values(rows: list[tuple], columns: str) -> str:
 
 
 MICROS = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '000Z'"
-FOLD = f"translate(lower({{}}), '{ACCENTED}', '{UNACCENTED}')"
+FOLD = "strip_accents(lower({}))"
 WORDS = r"regexp_extract_all(" + FOLD + r", '[\p{{L}}\p{{N}}]+')"
 _START = "length('Placed by ')"
 

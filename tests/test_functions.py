@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import ids
 from corpusloom.functions.ordered import grouped_page, grouped_previous, grouped_rank
-from corpusloom.functions.text import escape_field, unescape_field
+from corpusloom.functions.text import escape_field, unescape_field, words
 
 
 def test_ids_equal_the_standard_library(spark):
@@ -63,3 +63,10 @@ def test_escapes_invert(spark):
     texts = ["a|b||c", "back\\slash", "line\nbreak\r", "😀 \\n literal", "", "trailing\\"]
     df = spark.createDataFrame([(t,) for t in texts], "t STRING")
     assert all(r["t"] == r["b"] for r in df.select("t", unescape_field(escape_field(F.col("t"))).alias("b")).collect())
+
+
+def test_words_without_marks(spark):
+    said = ["Crème BRÛLÉE", "cafe\u0301s Łódź Việt ǖ", "ĥąčęk’s žluťoučký", "Ёж й ά", "x\u0301\u0323y 1\u0301", None, ""]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i INT, s STRING")
+    got = [r["w"] for r in df.orderBy("i").select(words(F.col("s")).alias("w")).collect()]
+    assert got == [["creme", "brulee"], ["cafes", "łodz", "viet", "u"], ["hacek", "s", "zlutoucky"], ["ёж", "й", "ά"], ["xy", "1"], None, []]

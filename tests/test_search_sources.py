@@ -37,6 +37,13 @@ def test_search(spark, make_corpus):
     assert excerpt == "[dandelion] once, then [dandelion]…"
 
 
+def test_hits_with_marks_are_shown_whole(spark):
+    nodes = spark.createDataFrame([("u", "E1", "one", "Un cafe\u0301 noir, un café.")], "uuid STRING, pointer STRING, title STRING, description STRING")
+    asked = spark.createDataFrame([(0, "CAFE")], "query_id INT, query STRING")
+    hits = search.search(search.build_search_index(nodes), asked)
+    assert search.snippets(hits, nodes, asked).first()["excerpt"] == "Un [cafe\u0301] noir, un [café]."
+
+
 def _excerpt(description, units, size):
     """Tries every window."""
     pieces = re.findall(r"[^\W_]+[\W_]*", description)
