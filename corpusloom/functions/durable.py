@@ -7,6 +7,7 @@ import tempfile
 from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _folders: dict[str, str] = {}
 
@@ -32,6 +33,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df``, marked to be broadcast if it was counted to hold ``rows`` rows at most; beyond them a join shuffles it."""
+    kept = checkpointed(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 class LazyTables(Mapping):
     """Tables whose plans are built when first asked for."""
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.corpus import Branch, Corpus, Head, shaped
 from corpusloom.functions import ids, text
-from corpusloom.functions.durable import checkpointed
+from corpusloom.functions.durable import broadcast_if_small, checkpointed
 from corpusloom.functions.ordered import grouped_rank
 from corpusloom.operators.folding import folded
 from corpusloom.operators.graph import assign_ordinals, check_namespace
@@ -345,6 +345,8 @@ def _triples(c: Corpus, ops: DataFrame, known: DataFrame, at: str) -> tuple[Data
     rejections = []
     for role in ("subject", "predicate", "object"):
         named = since.select(F.col("pointer").alias(f"{role}_pointer"), F.col("uuid").alias(f"{role}_uuid"), F.col("since").alias(f"{role}_since"))
+        if role == "predicate":  # a batch names few, each of them often
+            named = broadcast_if_small(ops.select("predicate_pointer").distinct().join(named, "predicate_pointer"))
         rows = rows.join(named, f"{role}_pointer", "left")
         late = F.col(f"{role}_since").isNull() | (F.col(f"{role}_since") > F.col("index"))
         rejections.append(_rejected(rows.where(late), "node_not_found", F.col(f"{role}_pointer")))

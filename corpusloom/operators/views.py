@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.corpus import Corpus
+from corpusloom.functions.durable import broadcast_if_small
 from corpusloom.functions.ordered import grouped_last, grouped_page
 from corpusloom.functions.text import ReferenceProfile
 
@@ -43,11 +44,13 @@ def staging_worklist(c: Corpus) -> DataFrame:
 
 
 def triples_readable(c: Corpus) -> DataFrame:
+    """Triples by pointer. The few predicates are named first, so that triples are never dealt by their predicate."""
     def named(role: str) -> DataFrame:
         return c["node_identity"].select(F.col("uuid").alias(f"{role}_uuid"), F.col("pointer").alias(f"{role}_pointer"))
 
     rows = c["triples"]
-    for role in ("subject", "predicate", "object"):
+    rows = rows.join(broadcast_if_small(rows.select("predicate_uuid").distinct().join(named("predicate"), "predicate_uuid")), "predicate_uuid")
+    for role in ("subject", "object"):
         rows = rows.join(named(role), f"{role}_uuid")
     return rows.select("triple_uuid", "subject_pointer", "predicate_pointer", "object_pointer", "created_at")
 
