@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusloom.corpus import Corpus
 from corpusloom.functions import text
@@ -38,7 +43,7 @@ def _kind(token: Column) -> Column:
 def check_traversals(df: DataFrame) -> DataFrame:
     """Adds ``lawful``, ``reason`` and ``offset`` (character position in the blank-free notation).
 
-    One fold over the row's own tokens: the kind before, the nesting depth, and the first fault.
+    One fold over the row's own tokens: the kind before, the nesting depth, and the first fault. A null notation is an empty one.
     """
     def fault(before: Column, kind: Column, depth: Column) -> Column:
         return (F.when(kind.isin("[", "]"), "not_a_pointer_token")
@@ -63,11 +68,11 @@ def check_traversals(df: DataFrame) -> DataFrame:
                         found.alias("reason"), first.alias("offset"))
 
     folded = computed_once(df, "_f", F.aggregate("tokens", start, step))
-    reason = (F.when(F.trim("notation") == "", "empty_notation").when(F.col("unbalanced_brackets"), "unmatched_bracket")
+    reason = (F.when(F.col("notation").isNull() | (F.trim("notation") == ""), "empty_notation").when(F.col("unbalanced_brackets"), "unmatched_bracket")
                .when(F.size("tokens") == 0, "empty_notation").when(F.col("_f.reason").isNotNull(), F.col("_f.reason"))
                .when(F.col("_f.depth") != 0, "unmatched_parentheses")
                .when(F.col("_f.before") == ":", "empty_trailing_term"))
-    offset = F.when(F.col("unbalanced_brackets"), 0).otherwise(F.coalesce("_f.offset", "_f.at"))
+    offset = F.when(F.col("unbalanced_brackets"), 0).otherwise(F.coalesce("_f.offset", "_f.at", F.lit(0)))
     return (folded.withColumn("reason", reason).withColumn("lawful", F.col("reason").isNull())
                   .withColumn("offset", F.when(F.col("reason").isNotNull(), offset)).drop("_f"))
 
@@ -77,7 +82,63 @@ def canonical_notation(df: DataFrame) -> DataFrame:
     return df.withColumn("canonical", F.concat(F.lit("["), F.array_join("tokens", ""), F.lit("]")))
 
 
-_TERM = "array<struct<path:array<int>,pointer:string>>"
+_PLACE = T.StructType([T.StructField(name, kind) for name, kind in (
+    ("position", T.IntegerType()), ("depth", T.IntegerType()), ("path", T.ArrayType(T.IntegerType())), ("sibling", T.IntegerType()),
+    ("arity", T.IntegerType()), ("pointer", T.StringType()), ("role", T.StringType()))])
+# Terms that leave a task in one batch; a single expression is never cut.
+_TERMS_A_BATCH = 50_000
+
+
+def _places(tokens: Iterable[str]) -> Iterator[tuple]:
+    """The pointers of one lawful expression with their places, by one pass over its tokens with a stack of open terms."""
+    path, at = [], 0
+    open_terms = [[[], 0, None]]  # the pointers among its terms, how many terms it has, its own pointer
+
+    def settled(pointers: list, arity: int) -> Iterator[tuple]:
+        triad = arity == 3 and any(place[-1] == 1 for _, place, _ in pointers)
+        for position, place, pointer in pointers:
+            role = "term" if not triad else "operator" if place[-1] == 1 else "operand"
+            yield position, len(place), place, place[-1], arity, pointer, role
+
+    for token in tokens:
+        if token == "(":
+            path.append(open_terms[-1][1])
+            open_terms.append([[], 0, None])
+        elif token == ")":
+            pointers, arity, own = open_terms.pop()
+            if own is None:
+                yield from settled(pointers, arity)
+            else:
+                open_terms[-1][0].append((own[0], list(path), own[1]))
+            path.pop()
+            open_terms[-1][1] += 1
+            at += 1
+        elif token != ":":
+            open_terms[-1][2] = (at, token)
+            at += 1
+    yield from settled(*open_terms[0][:2])
+
+
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = to_arrow_schema(_PLACE)
+    for batch in batches:
+        keys = batch.select(["uuid", "block"])
+        rows, owners = [], []
+
+        def flushed(keys=keys, rows=rows, owners=owners) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [[] for _ in schema]
+            places = [pa.array(column, field.type) for column, field in zip(columns, schema, strict=True)]
+            kept = keys.take(pa.array(owners, pa.int64()))
+            rows.clear()
+            owners.clear()
+            return pa.RecordBatch.from_arrays([*kept.columns, *places], names=[*keys.schema.names, *schema.names])
+
+        for i, tokens in enumerate(batch["tokens"]):
+            rows.extend(_places(tokens.as_py()))
+            owners.extend([i] * (len(rows) - len(owners)))
+            if len(rows) >= _TERMS_A_BATCH:
+                yield flushed()
+        yield flushed()
 
 
 def traversal_index(lawful: DataFrame) -> DataFrame:
@@ -85,36 +146,12 @@ def traversal_index(lawful: DataFrame) -> DataFrame:
 
     ``path`` holds the sibling index at every level; ``arity`` counts the terms of the pointer's own
     sequence. In a left-operator-right sequence whose middle is a pointer, that pointer is the
-    ``operator`` and pointers beside it are operands; otherwise the role is ``term``.
+    ``operator`` and pointers beside it are operands; otherwise the role is ``term``. What a pointer's place is
+    shows only where its sequence closes; an expression is read once, in its row and in time that grows with its length,
+    which a fold over arrays, copying its result at every token, cannot do.
     """
-    start = F.struct(F.array().cast("array<int>").alias("path"), F.lit(0).alias("next"), F.array().cast(_TERM).alias("terms"))
-
-    def step(acc: Column, token: Column) -> Column:
-        opening, closing, colon = token == "(", token == ")", token == ":"
-        inside = F.array_append(acc["path"], acc["next"])
-        outside = F.slice(acc["path"], F.lit(1), F.greatest(F.size(acc["path"]) - 1, F.lit(0)))
-        term = F.struct(acc["path"].alias("path"), F.when(~(opening | closing | colon), token).alias("pointer"))
-        # A term is recorded where it closes; pointer terms are recorded at the pointer instead.
-        named = F.when(opening | colon, acc["terms"]).otherwise(F.array_append(acc["terms"], term))
-        return F.struct(
-            F.when(opening, inside).when(closing, outside).otherwise(acc["path"]).alias("path"),
-            F.when(opening, F.lit(0)).when(closing, F.try_element_at(acc["path"], F.lit(-1)) + 1).otherwise(acc["next"]).alias("next"),
-            named.alias("terms"))
-
-    keys = ["uuid", "block"]
-    terms = lawful.where("lawful").select(*keys, F.posexplode(F.aggregate("tokens", start, step)["terms"]).alias("position", "t"))
-    terms = terms.select(*keys, "position", F.col("t.path").alias("path"), F.col("t.pointer").alias("pointer"))
-    terms = terms.withColumn("parent", F.slice("path", F.lit(1), F.size("path") - 1)).withColumn("sibling", F.element_at("path", -1))
-    # One group is one sequence of one expression. Closings give every term once.
-    plain = F.col("pointer").isNotNull()
-    member = F.struct("position", "path", "sibling", "pointer")
-    sequences = terms.groupBy(*keys, "parent").agg(
-        F.count_if(~plain).cast("int").alias("arity"), F.max(plain & (F.col("sibling") == 1)).alias("middle"),
-        F.collect_list(F.when(plain, member)).alias("members"))
-    rows = sequences.select(*keys, "arity", "middle", F.explode("members").alias("m")).select(*keys, "arity", "middle", "m.*")
-    triad = (F.col("arity") == 3) & F.col("middle")
-    role = F.when(~triad, "term").when(F.col("sibling") == 1, "operator").otherwise("operand")
-    return rows.select(*keys, "position", F.size("path").alias("depth"), "path", "sibling", "arity", "pointer", role.alias("role"))
+    rows = lawful.where("lawful").select("uuid", "block", "tokens")
+    return rows.mapInArrow(_indexed, T.StructType([rows.schema["uuid"], rows.schema["block"], *_PLACE.fields]))
 
 
 def resolve_traversals(index: DataFrame, c: Corpus) -> DataFrame:

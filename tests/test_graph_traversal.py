@@ -238,3 +238,36 @@ def test_index_shapes(spark):
 def test_spellings_collapse(spark):
     df = spark.createDataFrame([(t,) for t in ("(E1):(E2)", "[(E1):(E2)]", " [ ( E1 ) :\n(E2) ] ")], "notation STRING")
     assert {r["canonical"] for r in traversal.canonical_notation(traversal.tokenise(df)).collect()} == {"[(E1):(E2)]"}
+
+
+def test_index_equals_the_written_trees(spark):
+    rng = random.Random(12)
+
+    def tree(depth):
+        return [rng.choice("ABC") if depth == 0 or rng.random() < 0.6 else tree(depth - 1) for _ in range(rng.randrange(1, 5))]
+
+    def spelled(terms):
+        return ":".join(f"({t if isinstance(t, str) else spelled(t)})" for t in terms)
+
+    def places(terms, path=()):
+        triad = len(terms) == 3 and isinstance(terms[1], str)
+        for i, t in enumerate(terms):
+            if isinstance(t, str):
+                yield (*path, i), len(terms), t, "operator" if triad and i == 1 else "operand" if triad else "term"
+            else:
+                yield from places(t, (*path, i))
+
+    trees = {str(i): tree(4) for i in range(300)} | {"wide": ["A"] * 60_000}
+    deep = "A"
+    for _ in range(300):
+        deep = [deep]
+    trees["deep"] = deep
+    rows = [(k, spelled(t), 1 << 40) for k, t in trees.items()] + [("none", None, 0), ("empty", "", 0)]
+    df = spark.createDataFrame(rows, "uuid STRING, notation STRING, block LONG")
+    got = {}
+    for r in traversal.traversal_index(traversal.check_traversals(traversal.tokenise(df))).collect():
+        assert r["block"] == 1 << 40 and r["depth"] == len(r["path"]) and r["sibling"] == r["path"][-1]
+        got.setdefault(r["uuid"], []).append((r["position"], (tuple(r["path"]), r["arity"], r["pointer"], r["role"])))
+    assert {k: [place for _, place in sorted(v)] for k, v in got.items()} == {k: list(places(t)) for k, t in trees.items()}
+    none = traversal.traversal_index(traversal.check_traversals(traversal.tokenise(df.limit(0))))
+    assert none.collect() == []
