@@ -16,6 +16,7 @@ from corpusloom.operators import branches, changes, filetree, fingerprints, qual
 from corpusloom.plans import bindings as b
 from corpusloom.plans.registry import query
 from corpusloom.plans.sqltwins import node_id, uuid5, with_ctes
+from corpusloom.schema import COMPOSED_TABLES
 from corpusloom.sources import imports, oplog, snapshots
 from corpusloom.streaming import ingest
 
@@ -327,18 +328,30 @@ def _composed(spark: SparkSession, sf: str):
     return branches.compose(_branches(spark, sf), _OP, _AT)[0]
 
 
-@query("b1_compose", with_ctes("slice", """SELECT table_name, n FROM (SELECT 'semantic_objects' AS table_name, count(DISTINCT o_orderkey) AS n FROM slice
+@query("b1_compose", with_ctes("slice", """SELECT table_name, n::BIGINT AS n FROM (SELECT 'semantic_objects' AS table_name, count(DISTINCT o_orderkey) AS n FROM slice
     UNION ALL SELECT 'node_revisions', count(DISTINCT o_orderkey) + count(*) FILTER (o_orderpriority='1-URGENT') FROM slice
+    UNION ALL SELECT 'semantic_operations', count(DISTINCT o_orderkey) + count(*) FILTER (o_orderpriority='1-URGENT') + 1 FROM slice
     UNION ALL SELECT 'revision_parents', count(*) FILTER (o_orderpriority='1-URGENT') FROM slice
+    UNION ALL SELECT 'graph_membership_assertions', count(DISTINCT o_orderkey) FROM slice
+    UNION ALL SELECT 'replicas', 2 + count(DISTINCT label) FROM slice UNION ALL SELECT 'semantic_snapshots', 1
+    UNION ALL SELECT 'snapshot_parents', count(DISTINCT label) FROM slice
     UNION ALL SELECT 'object_alias_assertions', (SELECT count(DISTINCT o_orderkey) FROM slice) + (SELECT count(*) FROM (SELECT DISTINCT label, o_custkey FROM slice)))"""))
 def composed(spark: SparkSession, sf: str) -> DataFrame:
-    """Row counts of three overlapping branches united."""
+    """Row counts of all tables of three overlapping branches united; the branches list no snapshots, so the composition's is the only one."""
     c = _composed(spark, sf)
-    out = None
-    for name in ("semantic_objects", "node_revisions", "revision_parents", "object_alias_assertions"):
-        rows = c[name].agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return reduce(DataFrame.unionByName, [c[name].agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n")) for name in COMPOSED_TABLES])
+
+
+@query("b1_composed_texts", with_ctes("slice", f"""SELECT 'Order '||o_orderkey AS title, 'price '||round(o_totalprice * 100)::BIGINT||seen AS description,
+    strftime(o_orderdate,'%Y-%m-%dT%H:%M:%S.')||lpad(o_orderkey::VARCHAR,9,'0')||'Z' AS created_at, o_orderpriority = '1-URGENT' AND seen != '' AS revised
+    FROM (SELECT DISTINCT o_orderkey, o_totalprice, o_orderdate, o_orderpriority, '' AS seen FROM slice
+      UNION ALL SELECT o_orderkey, o_totalprice, o_orderdate, o_orderpriority, ' seen '||label FROM slice WHERE o_orderpriority = '1-URGENT')"""))
+def composed_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts of all revisions of the united branches, and which of them revise another."""
+    c = _composed(spark, sf)
+    children = c["revision_parents"].select("revision_uuid", F.lit(True).alias("_child")).distinct()
+    rows = c["node_revisions"].join(children, "revision_uuid", "left")
+    return rows.select("title", "description", "created_at", F.coalesce("_child", F.lit(False)).alias("revised"))
 
 
 @query("b1_collisions", """SELECT 'node_revisions' AS table_name, count(*) AS collisions FROM orders WHERE o_orderpriority='3-MEDIUM' AND o_orderstatus='O' HAVING count(*) > 0""")
