@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import ids
+from corpusloom.functions.durable import broadcast_if_small
 from corpusloom.functions.ordered import grouped_page, grouped_previous, grouped_rank
 from corpusloom.functions.text import escape_field, unescape_field, words
 
@@ -70,3 +71,10 @@ def test_words_without_marks(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i INT, s STRING")
     got = [r["w"] for r in df.orderBy("i").select(words(F.col("s")).alias("w")).collect()]
     assert got == [["creme", "brulee"], ["cafes", "łodz", "viet", "u"], ["hacek", "s", "zlutoucky"], ["ёж", "й", "ά"], ["xy", "1"], None, []]
+
+
+def test_only_counted_tables_are_broadcast(spark):
+    small = spark.range(5)
+    plan = lambda df: spark.range(100).join(df, "id")._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(broadcast_if_small(small, 5)) and "broadcast" not in plan(broadcast_if_small(small, 4))
+    assert spark.range(100).join(broadcast_if_small(small, 4), "id").count() == 5
