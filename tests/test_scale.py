@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions import durable
-from corpusloom.operators import branches, graph, reachability
+from corpusloom.corpus import Corpus
+from corpusloom.functions import durable, ids
+from corpusloom.operators import branches, graph, reachability, views
 from corpusloom.operators.search import BlockIndex, build_blocks, build_search_index, pruned_search, search, summed_blocks
 
 
@@ -97,3 +98,25 @@ def test_blocks_are_summed_from_their_postings(spark):
     page, _ = pruned_search(index, BlockIndex(built.postings, blocks, built.docs), queries, limit=5)
     whole = search(index, queries, limit=5).select("query_id", "uuid", "rank", "position")
     assert sorted(map(tuple, page.select("query_id", "uuid", "rank", "position").collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_ids_are_packed_and_spelled_again(spark):
+    texts = ["8f94d91d-6f6a-5227-8174-41becfe4dbb8", "00000000-0000-0000-0000-000000000000", "8F94D91D-6f6a-5227-8174-41becfe4dbb8", "E1", "", "a" * 16,
+             "8f94d91d-6f6a-5227-8174-41becfe4dbb8\n", "8f94d91d6f6a5227817441becfe4dbb8", "żółć", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t STRING").select("t", ids.packed("t").alias("p"))
+    found = rows.select("t", F.octet_length("p").alias("n"), ids.spelled("p").alias("again")).collect()
+    assert all(r.t == r.again for r in found) and [r.n for r in found[:2]] == [16, 16] and len({bytes(r.p) for r in rows.where("p IS NOT NULL").collect()}) == 9
+
+
+def test_triples_are_dealt_with_packed_ids(spark):
+    name = lambda i: f"00000000-0000-5000-8000-{i:012d}"
+    identity = spark.createDataFrame([(name(i), f"E{i}") for i in range(4)] + [("odd", "E9"), ("odd", "E9")], "uuid STRING, pointer STRING")
+    triples = spark.createDataFrame([(name(7), name(0), name(1), name(2), "t"), ("x", "odd", name(1), name(3), None), (None, name(2), name(1), "odd", "t"),
+                                     ("y", "gone", name(1), name(3), "t"), ("z", None, name(1), name(3), "t")],
+                                    "triple_uuid STRING, subject_uuid STRING, predicate_uuid STRING, object_uuid STRING, created_at STRING")
+    rows = views.triples_readable(Corpus(spark, {"node_identity": identity, "triples": triples}, name(0), name(0)))
+    expected = [(name(7), "E0", "E1", "E2", "t")] + [("x", "E9", "E1", "E3", None)] * 2 + [(None, "E2", "E1", "E9", "t")] * 2
+    assert sorted(map(tuple, rows.collect()), key=repr) == sorted(expected, key=repr)
+    joins = [line for line in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert len(joins) == 3 and rows.schema["triple_uuid"].dataType.simpleString() == "string"
+    assert "unhex" in rows._jdf.queryExecution().optimizedPlan().toString()
