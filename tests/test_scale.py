@@ -7,6 +7,7 @@ from corpusloom.corpus import Corpus
 from corpusloom.functions import durable, ids
 from corpusloom.operators import branches, graph, reachability, views
 from corpusloom.operators.search import BlockIndex, build_blocks, build_search_index, pruned_search, search, summed_blocks
+from corpusloom.plans import bindings
 
 
 @pytest.fixture
@@ -120,3 +121,18 @@ def test_triples_are_dealt_with_packed_ids(spark):
     joins = [line for line in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
     assert len(joins) == 3 and rows.schema["triple_uuid"].dataType.simpleString() == "string"
     assert "unhex" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_first_orders_are_found_without_sorting(spark, tmp_path):
+    orders = spark.sql("""SELECT * FROM VALUES (7L, 1L, 'F', '2-HIGH', TIMESTAMP '1995-01-02', 10.0D), (3L, 1L, 'F', '2-HIGH', TIMESTAMP '1996-01-02', 11.0D),
+        (3L, 1L, 'F', '2-HIGH', TIMESTAMP '1996-01-02', 11.0D), (CAST(NULL AS BIGINT), 1L, 'O', '5-LOW', TIMESTAMP '1994-01-02', 12.0D),
+        (CAST(NULL AS BIGINT), 2L, 'O', '5-LOW', TIMESTAMP '1994-01-02', 13.0D), (1L, 1L, 'P', '5-LOW', TIMESTAMP '1994-01-02', 14.0D)
+        AS t(o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_orderdate, o_totalprice)""")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    rows = bindings.branch(spark, str(tmp_path), "east").tables.builders["object_alias_assertions"]()
+    first = rows.where("alias_text LIKE 'CUST%'")
+    found = {r.alias_text: (r.object_uuid, r.operation_uuid, r.created_at) for r in first.collect()}
+    operation = ids.derived_uuid_col(bindings.NAMESPACE, "order-operation", F.lit(3))
+    told = spark.range(1).select(ids.uuid5_of(operation, F.lit("object:node")), operation).first()
+    assert found == {"CUST1": (*told, "1996-01-02T00:00:00.000000003Z"), "CUST2": (None, None, None)} and first.count() == 2
+    assert "SortAggregate" not in first._jdf.queryExecution().executedPlan().toString()
