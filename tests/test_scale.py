@@ -1,11 +1,14 @@
 """Work and space that may not grow faster than the input."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.corpus import Corpus
 from corpusloom.functions import durable, ids
-from corpusloom.operators import branches, graph, reachability, views
+from corpusloom.functions.durable import LazyTables
+from corpusloom.operators import branches, changes, graph, reachability, views
 from corpusloom.operators.search import BlockIndex, build_blocks, build_search_index, pruned_search, search, summed_blocks
 from corpusloom.plans import bindings
 
@@ -136,3 +139,24 @@ def test_first_orders_are_found_without_sorting(spark, tmp_path):
     told = spark.range(1).select(ids.uuid5_of(operation, F.lit("object:node")), operation).first()
     assert found == {"CUST1": (*told, "1996-01-02T00:00:00.000000003Z"), "CUST2": (None, None, None)} and first.count() == 2
     assert "SortAggregate" not in first._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_batch_asks_only_for_tables_that_its_operations_need(spark, make_corpus):
+    c = make_corpus([("E1", "one", "x")], graphs=(("tags", "T", "T0"), ("examples", "E", "E0")), tags=("E1",))
+    asked = set()
+
+    def noted(name):
+        asked.add(name)
+        return c.tables[name]
+
+    watched = replace(c, tables=LazyTables({name: (lambda name=name: noted(name)) for name in c.tables}))
+    ops = spark.createDataFrame([(0, "T1", "tag", "see [one](E1)")], "index BIGINT, pointer STRING, title STRING, description STRING")
+    plan = changes.create_tags(watched, ops)
+    assert plan.rejections.collect() == [] and [r["pointer"] for r in plan.appended["node_identity"].collect()] == ["T1"]
+    assert plan.appended["reference_occurrences"].count() == 1
+    assert not asked & {"triples", "predicate_registry", "node_tags"}
+    asked.clear()
+    watched = replace(c, tables=LazyTables({name: (lambda name=name: noted(name)) for name in c.tables}))
+    tags = changes.assign_tags(watched, spark.createDataFrame([(0, "E0", "E1"), (1, "E404", "E1")], "index BIGINT, subject_pointer STRING, tag_pointer STRING"))
+    assert tags.appended["node_tags"].count() == 1 and [r["code"] for r in tags.rejections.collect()] == ["node_not_found"]
+    assert not asked & {"triples", "predicate_registry", "graph_membership", "node_revision"}
