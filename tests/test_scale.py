@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from corpusloom.corpus import Corpus
 from corpusloom.functions import durable, ids
 from corpusloom.functions.durable import LazyTables
-from corpusloom.operators import branches, changes, graph, reachability, views
+from corpusloom.operators import branches, changes, graph, quality, reachability, views
 from corpusloom.operators.search import BlockIndex, build_blocks, build_search_index, pruned_search, search, summed_blocks
-from corpusloom.plans import bindings
+from corpusloom.plans import bindings, change_queries
 
 
 @pytest.fixture
@@ -160,3 +160,30 @@ def test_a_batch_asks_only_for_tables_that_its_operations_need(spark, make_corpu
     tags = changes.assign_tags(watched, spark.createDataFrame([(0, "E0", "E1"), (1, "E404", "E1")], "index BIGINT, subject_pointer STRING, tag_pointer STRING"))
     assert tags.appended["node_tags"].count() == 1 and [r["code"] for r in tags.rejections.collect()] == ["node_not_found"]
     assert not asked & {"triples", "predicate_registry", "graph_membership", "node_revision"}
+
+
+def test_a_check_derives_only_the_tables_that_it_reads(spark, make_corpus, monkeypatch, tmp_path):
+    c = make_corpus([("E1", "one", "x")])
+    asked = set()
+
+    def noted(name):
+        asked.add(name)
+        return c.tables[name]
+
+    for name, columns in {"supplier": "0L AS s_suppkey, -1D AS s_acctbal", "part": "0L AS p_partkey, 1 AS p_size", "customer": "0L AS c_custkey, 'BUILDING' AS c_mktsegment"}.items():
+        spark.sql(f"SELECT {columns}").write.parquet(f"{tmp_path}/{name}.parquet")
+    monkeypatch.setattr(bindings, "corpus", lambda *_: replace(c, tables=LazyTables({name: (lambda name=name: noted(name)) for name in c.tables})))
+    assert quality.check_uuid(change_queries.damaged(spark, str(tmp_path))).collect() == []
+    assert asked == {"node_identity"}
+
+
+def test_references_are_counted_before_they_meet_the_keys(spark, make_corpus):
+    c = make_corpus([("E1", "one", "x")], predicates=("E1",))
+    known = c["node_identity"].where("pointer = 'E1'").first()["uuid"]
+    rows = [(f"t{i}", known, "gone", known if i % 2 else None, "now") for i in range(6)]
+    triples = spark.createDataFrame(rows, "triple_uuid STRING, subject_uuid STRING, predicate_uuid STRING, object_uuid STRING, created_at STRING")
+    found = quality.check_foreign_keys(c.with_tables(triples=triples), ["triples"])
+    assert "triples.predicate_uuid=gone" in {r["key"] for r in found.where("detail = '6'").collect()}
+    assert not found.where("key LIKE 'triples.subject%' OR key LIKE 'triples.object%'").collect()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and 0 <= plan.index("LeftOuter") < plan.index("Aggregate")
