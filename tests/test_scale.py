@@ -187,3 +187,20 @@ def test_references_are_counted_before_they_meet_the_keys(spark, make_corpus):
     assert not found.where("key LIKE 'triples.subject%' OR key LIKE 'triples.object%'").collect()
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan and 0 <= plan.index("LeftOuter") < plan.index("Aggregate")
+
+
+def test_last_revisions_are_those_of_the_chains(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(minutes=37 * (i * 7 % 11)), i % 3, "view", 1.0, "p") for i in range(20)]
+    rows += [(3, rows[3][1], 0, "view", 1.0, "p"), (None, start + timedelta(days=9), 1, "view", 1.0, "p"), (40, None, 1, "view", 1.0, "p"), (41, start, None, "view", 1.0, "p")]
+    spark.createDataFrame(rows, "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING").write.parquet(f"{tmp_path}/events.parquet")
+    chained = bindings.user_revisions(spark, str(tmp_path))
+    wanted = chained.groupBy("node_uuid").agg(F.max_by("revision_uuid", F.struct("ts", "event_id")).alias("r")).collect()
+    found = bindings.last_revisions(spark, str(tmp_path)).collect()
+    assert {(r["node_uuid"], r["current_revision_uuid"]) for r in found} == {tuple(r) for r in wanted} and len(found) == 3
+    names = {r["revision_uuid"]: (r["user_id"], r["event_id"]) for r in chained.collect()}
+    links = {(names[r["revision_uuid"]], names.get(r["previous_revision_uuid"])) for r in chained.collect() if r["user_id"] == 2}
+    order = sorted((r for r in rows if r[2] == 2), key=lambda r: (r[1], r[0]))
+    assert links == {((2, r[0]), (2, p[0]) if p else None) for p, r in zip([None, *order], order)}
