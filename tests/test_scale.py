@@ -204,3 +204,14 @@ def test_last_revisions_are_those_of_the_chains(spark, tmp_path):
     links = {(names[r["revision_uuid"]], names.get(r["previous_revision_uuid"])) for r in chained.collect() if r["user_id"] == 2}
     order = sorted((r for r in rows if r[2] == 2), key=lambda r: (r[1], r[0]))
     assert links == {((2, r[0]), (2, p[0]) if p else None) for p, r in zip([None, *order], order)}
+
+
+def test_words_are_counted_where_their_node_is(spark):
+    nodes = spark.createDataFrame([("a", "E1", "one two", "two three two"), ("a", "E1", "one two", "two"), ("b", "E2", "x", "y"), ("c", "E3", None, "z")],
+                                  "uuid STRING, pointer STRING, title STRING, description STRING")
+    postings = build_search_index(nodes).postings
+    plan = postings._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("RepartitionByExpression")
+    assert postings._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    found = {(r["term"], r["uuid"]): r["tf"] for r in postings.collect()}
+    assert found == {("e1", "a"): 2, ("one", "a"): 2, ("two", "a"): 5, ("three", "a"): 1, ("e2", "b"): 1, ("x", "b"): 1, ("y", "b"): 1}
