@@ -89,43 +89,68 @@ def check_unlinked(texts: DataFrame, declared: list[str], excludes: list[str] |
     return _finding(rows, "unlinked.referenced", "resource", F.col("path"))
 
 
-# Needles of one automaton hold so many characters at most; it takes some 30 bytes for each on every executor.
+# Words of the automaton hold so many characters at most; it takes some 30 bytes for each on every executor.
 AUTOMATON_CHARS = 4_000_000
 
 
 def mentions(texts: DataFrame, needles: DataFrame, chars: int = AUTOMATON_CHARS) -> DataFrame:
     """``(path, needle)`` for each row of ``texts(path, text)`` and each of ``needles(needle)`` that it holds anywhere, in words or across them.
 
-    All needles are sought at once, in one pass over a text, by an automaton that goes to the executors. Needles of more than
-    ``chars`` characters together are dealt into several automata by a hash, each with a pass of its own. Empty needles
-    and null texts match nothing.
+    All needles are sought at once, in one pass over a text, by an automaton that goes to the executors. If the needles have more than
+    ``chars`` characters together, the automaton holds the longest beginnings that fit. Where a beginning stands, the text's own
+    pieces of the lengths that such needles have are told from needles by a join. Empty needles and null texts match nothing.
     """
     import ahocorasick
 
     wanted = checkpointed(needles.select("needle").where("length(needle) > 0").distinct())
-    total = wanted.agg(F.sum(F.length("needle")).alias("n")).first()["n"] or 0
-    parts = max(1, -(-2 * int(total) // chars)) if total > chars else 1
-    found = None
-    for part in range(parts):
-        chosen = wanted.where(F.pmod(F.xxhash64("needle"), F.lit(parts)) == part)
-        automaton = ahocorasick.Automaton()
-        for row in chosen.toLocalIterator():
-            automaton.add_word(row["needle"], row["needle"])
-        if not len(automaton):
-            continue
-        automaton.make_automaton()
-        rows = texts.select("path", F.explode(_held(texts.sparkSession, automaton)(F.col("text"))).alias("needle"))
-        found = rows if found is None else found.unionByName(rows)
-    return texts.select("path", F.col("path").alias("needle")).limit(0) if found is None else found
+    size = wanted.agg(F.sum(F.length("needle")).alias("total"), F.max(F.length("needle")).alias("longest")).first()
+    if not size["total"]:
+        return texts.select("path", F.col("path").alias("needle")).limit(0)
+    whole = size["total"] <= chars
+    cut = size["longest"] if whole else _longest_cut(wanted, size["longest"], chars)
+    lengths: dict[str, list[int]] = {}
+    for row in _beginnings(wanted, cut).toLocalIterator():
+        lengths.setdefault(row["beginning"], []).append(row["n"])
+    automaton = ahocorasick.Automaton()
+    for beginning, ns in lengths.items():
+        automaton.add_word(beginning, (len(beginning), tuple(ns)))
+    automaton.make_automaton()
+    rows = texts.select("path", F.explode(_held(texts.sparkSession, automaton)(F.col("text"))).alias("needle"))
+    return rows if whole else rows.join(wanted, "needle", "left_semi").select("path", "needle")
+
+
+def _beginnings(needles: DataFrame, cut: int) -> DataFrame:
+    """The first ``cut`` characters of needles, each with every length ``n`` of a needle that begins so."""
+    return needles.select(F.substring("needle", 1, cut).alias("beginning"), F.length("needle").alias("n")).distinct()
+
+
+def _longest_cut(needles: DataFrame, longest: int, chars: int) -> int:
+    """How long beginnings may be for all of them, counted once for each of their lengths, to hold ``chars`` characters at most; 1 at least."""
+    low, high = 1, longest
+    while low < high:
+        middle = (low + high + 1) // 2
+        if (_beginnings(needles, middle).agg(F.sum(F.length("beginning")).alias("n")).first()["n"] or 0) <= chars:
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
 
 def _held(spark: SparkSession, automaton) -> Callable[[Column], Column]:
+    """The distinct pieces of a text that stand where a word of the automaton does, with the lengths that go with the word."""
     shared = spark.sparkContext.broadcast(automaton)
 
+    def pieces(text: str) -> list[str]:
+        found = set()
+        for last, (size, lengths) in shared.value.iter(text):
+            start = last + 1 - size
+            found.update(text[start:start + n] for n in lengths if start + n <= len(text))
+        return sorted(found)
+
     @F.pandas_udf("array<string>")
     def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([sorted({hit for _, hit in shared.value.iter(text)}) if text else [] for text in batch])
+            yield pd.Series([pieces(text) if text else [] for text in batch])
 
     return held
 

@@ -90,6 +90,14 @@ def test_many_needles(spark, chars):
     assert none.count() == 0
 
 
+def test_many_needles_take_one_pass(spark):
+    needles = [f"O{n}" for n in range(3000)] + ["x", "é😀–tail", "é😀–tall"]
+    texts = spark.createDataFrame([("a", "(O12) 😀O2999."), ("b", "x é😀–tal"), ("c", "é😀–talléO"), ("d", None)], "path STRING, text STRING")
+    found = filetree.mentions(texts, spark.createDataFrame([(n,) for n in needles], "needle STRING"), 500)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(map(tuple, found.collect())) == [("a", "O1"), ("a", "O12"), ("a", "O2"), ("a", "O29"), ("a", "O299"), ("a", "O2999"), ("b", "x"), ("c", "é😀–tall")]
+
+
 def test_unlinked_resources_by_table(spark):
     texts = spark.createDataFrame([("a.md", "see lib/x.bin"), ("b.md", "x.bin and y"), ("lib/x.bin", "x.bin"), ("skip/c.md", "x.bin")], "path STRING, text STRING")
     got = filetree.check_unlinked_many(texts, spark.createDataFrame([("lib/x.bin",), ("q/zzz",)], "resource STRING"), ["skip/**"])
