@@ -215,3 +215,29 @@ def test_words_are_counted_where_their_node_is(spark):
     assert postings._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
     found = {(r["term"], r["uuid"]): r["tf"] for r in postings.collect()}
     assert found == {("e1", "a"): 2, ("one", "a"): 2, ("two", "a"): 5, ("three", "a"): 1, ("e2", "b"): 1, ("x", "b"): 1, ("y", "b"): 1}
+
+
+def _connected(spark, make_corpus):
+    """Chains E1 to E3 and E5 to E44, linked by triples of one predicate."""
+    c = make_corpus([(f"E{i}", f"title {i}", "x") for i in range(1, 45)], predicates=("E4",))
+    u = lambda name: ids.uuid5_col("6ba7b811-9dad-11d1-80b4-00c04fd430c8", name)
+    pairs = [("E1", "E2"), ("E1", "E2"), ("E2", "E3"), *((f"E{i}", f"E{i + 1}") for i in range(5, 44))]
+    rows = spark.createDataFrame([(*p, f"{i:04d}") for i, p in enumerate(pairs)], "s STRING, o STRING, created_at STRING")
+    rows = rows.select(ids.derived_uuid_col("6ba7b811-9dad-11d1-80b4-00c04fd430c8", "triple", "s", "o", "created_at").alias("triple_uuid"),
+                       u("s").alias("subject_uuid"), u(F.lit("E4")).alias("predicate_uuid"), u("o").alias("object_uuid"), "created_at")
+    return c.with_tables(triples=durable.checkpointed(rows))
+
+
+def test_triples_are_not_dealt_by_their_predicate(spark, make_corpus):
+    c = _connected(spark, make_corpus)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        page = graph.list_triples(c, limit=1)
+        assert "hashpartitioning(predicate_uuid" not in page._jdf.queryExecution().executedPlan().toString()
+        found = {r["pointer"]: r for r in page.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    known = {r["triple_uuid"]: r for r in c["triples"].where("created_at = '0000'").collect()}
+    first = found["E1"]
+    assert (first["subject_pointer"], first["predicate_pointer"], first["object_pointer"], first["total"], first["next_cursor"]) == ("E1", "E4", "E2", 2, 1)
+    assert all(first[k] == known[first["triple_uuid"]][k] for k in ("subject_uuid", "predicate_uuid", "object_uuid")) and len(found) == 41
