@@ -241,3 +241,19 @@ def test_triples_are_not_dealt_by_their_predicate(spark, make_corpus):
     first = found["E1"]
     assert (first["subject_pointer"], first["predicate_pointer"], first["object_pointer"], first["total"], first["next_cursor"]) == ("E1", "E4", "E2", 2, 1)
     assert all(first[k] == known[first["triple_uuid"]][k] for k in ("subject_uuid", "predicate_uuid", "object_uuid")) and len(found) == 41
+
+
+def test_context_reads_the_edges_of_reached_nodes_only(spark, make_corpus, monkeypatch):
+    c, made = _connected(spark, make_corpus), []
+
+    def noted(df, keep=durable.checkpointed):
+        kept = keep(df)
+        if {"first", "last", "source"} <= set(kept.columns):
+            made.append(kept)
+        return kept
+
+    monkeypatch.setattr(graph, "checkpointed", noted)
+    members, packs = graph.context_packs(c, spark.createDataFrame([("E1",)], "pointer STRING"))
+    names = {r["uuid"]: r["pointer"] for r in c["node_identity"].collect()}
+    assert [(names[r["uuid"]], r["pointer"]) for r in members.orderBy("position").collect()] == [("E1", "E1"), ("E2", "E2"), ("E3", "E3")]
+    assert packs.first()["node_count"] == 3 and sum(df.count() for df in made) == 2
