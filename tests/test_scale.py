@@ -9,6 +9,7 @@ from corpusloom.corpus import Corpus
 from corpusloom.functions import durable, ids
 from corpusloom.functions.durable import LazyTables
 from corpusloom.operators import branches, changes, graph, quality, reachability, views
+from corpusloom.operators.references import build_reference_index
 from corpusloom.operators.search import BlockIndex, build_blocks, build_search_index, pruned_search, search, summed_blocks
 from corpusloom.plans import bindings, change_queries
 
@@ -257,3 +258,19 @@ def test_context_reads_the_edges_of_reached_nodes_only(spark, make_corpus, monke
     names = {r["uuid"]: r["pointer"] for r in c["node_identity"].collect()}
     assert [(names[r["uuid"]], r["pointer"]) for r in members.orderBy("position").collect()] == [("E1", "E1"), ("E2", "E2"), ("E3", "E3")]
     assert packs.first()["node_count"] == 3 and sum(df.count() for df in made) == 2
+
+
+def test_links_are_read_once_for_the_index(spark, make_corpus):
+    c = make_corpus([("E1", "one", "see [two](E2)"), ("E2", "two", "see [one](E1) and [lost](E404)")])
+    index = build_reference_index(c)
+    assert index._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode") == 1
+    assert [(r["canonical_uri"], r["ordinal"], len(r["target_uuid"])) for r in index.collect()] == [("E2", 0, 36)]
+
+
+def test_revisions_without_a_request_do_not_meet_in_one_task(spark, make_corpus):
+    c = make_corpus([(f"E{i}", f"title {i}", "x") for i in range(1, 9)])
+    asked = spark.createDataFrame([(i, f"E{i}", 0) for i in range(1, 10)], "request_id LONG, pointer STRING, at LONG")
+    seen = views.as_of_sequence(c, asked)
+    joins = [line for line in seen._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join LeftOuter" in line]
+    assert joins and not any("request_uuid" in line for line in joins)
+    assert {r["request_id"]: r["title"] for r in seen.collect()} == {**{i: f"title {i}" for i in range(1, 9)}, 9: None}
