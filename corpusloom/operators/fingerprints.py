@@ -23,10 +23,28 @@ def digest_rows(rows: DataFrame, part: str) -> DataFrame:
     Row digests are added up in four 60-bit parts, so tables of any size combine map-side and in any
     order; the sums and the count are hashed.
     """
-    sums = [F.sum(F.conv(F.substring("d", at, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{at}") for at in _PARTS]
-    totals = rows.agg(F.count(F.lit(1)).alias("n"), *sums)
-    named = F.concat_ws(":", F.col("n").cast("string"), *[F.coalesce(F.col(f"s{at}").cast("string"), F.lit("0")) for at in _PARTS])
-    return totals.select(F.lit(part).alias("part"), "n", F.sha2(named, 256).alias("digest"))
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(value).alias(name) for name, value in digest_halves(F.col("d")).items()])
+    return totals.select(F.lit(part).alias("part"), "n", digest_of_sums(F.col("n"), {name: F.col(name) for name in HALVES}).alias("digest"))
+
+
+# Each part of a row digest is summed in two halves of 30 bits, as numbers that 2 ** 33 rows cannot overflow.
+_HALF = 30
+HALVES = tuple(f"s{at}{half}" for at in _PARTS for half in ("h", "l"))
+
+
+def digest_halves(d: Column) -> dict[str, Column]:
+    """The upper and lower halves of the parts of a row digest, by the names in ``HALVES``."""
+    halves = {}
+    for at in _PARTS:
+        value = F.conv(F.substring(d, at, 15), 16, 10).cast("long")
+        halves |= {f"s{at}h": F.shiftright(value, _HALF), f"s{at}l": value.bitwiseAND(F.lit((1 << _HALF) - 1))}
+    return halves
+
+
+def digest_of_sums(n: Column, halves: dict[str, Column]) -> Column:
+    """The digest of a table of ``n`` rows by the sums of their halves."""
+    whole = lambda at: halves[f"s{at}h"].cast("decimal(38,0)") * F.lit(1 << _HALF) + halves[f"s{at}l"]
+    return F.sha2(F.concat_ws(":", n.cast("string"), *[F.coalesce(whole(at).cast("decimal(38,0)").cast("string"), F.lit("0")) for at in _PARTS]), 256)
 
 
 # ---- digest trees -----------------------------------------------------------------
@@ -70,9 +88,10 @@ def differing_buckets(left: DataFrame, right: DataFrame) -> DataFrame:
     return unlike(within(left), within(right), "bucket")
 
 
-def _root(parts: DataFrame) -> DataFrame:
+def root_of_parts() -> Column:
+    """Aggregates ``part, digest`` rows to a fingerprint."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda p: F.concat(p["part"], F.lit("="), p["digest"]))
-    return parts.agg(F.sha2(F.array_join(listed, ";"), 256).alias("fingerprint"))
+    return F.sha2(F.array_join(listed, ";"), 256)
 
 
 def fingerprint_parts(c: Corpus) -> DataFrame:
@@ -98,7 +117,7 @@ def fingerprint_parts(c: Corpus) -> DataFrame:
 
 def fingerprint(c: Corpus) -> DataFrame:
     """One row: ``fingerprint`` and the ``snapshot_id`` it names in this corpus."""
-    root = _root(fingerprint_parts(c))
+    root = fingerprint_parts(c).agg(root_of_parts().alias("fingerprint"))
     return root.withColumn("snapshot_id", ids.derived_uuid_col(c.corpus_id, "semantic-snapshot", F.col("fingerprint")))
 
 

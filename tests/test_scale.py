@@ -1,14 +1,16 @@
 """Work and space that may not grow faster than the input."""
 
 from dataclasses import replace
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.corpus import Corpus
+from corpusloom import schema
+from corpusloom.corpus import Branch, Corpus, Head, shaped
 from corpusloom.functions import durable, ids
 from corpusloom.functions.durable import LazyTables
-from corpusloom.operators import branches, changes, graph, quality, reachability, views
+from corpusloom.operators import branches, changes, fingerprints, graph, quality, reachability, views
 from corpusloom.operators.references import build_reference_index
 from corpusloom.operators.search import BlockIndex, build_blocks, build_search_index, pruned_search, search, summed_blocks
 from corpusloom.plans import bindings, change_queries
@@ -274,3 +276,42 @@ def test_revisions_without_a_request_do_not_meet_in_one_task(spark, make_corpus)
     joins = [line for line in seen._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join LeftOuter" in line]
     assert joins and not any("request_uuid" in line for line in joins)
     assert {r["request_id"]: r["title"] for r in seen.collect()} == {**{i: f"title {i}" for i in range(1, 9)}, 9: None}
+
+
+def _held(spark, label, rows):
+    """A branch whose aliases and objects are (key, text) pairs; keys may repeat or be null."""
+    given = spark.createDataFrame(rows, "key STRING, text STRING")
+    spec = schema.BRANCH_TABLES
+    tables = {"object_alias_assertions": shaped(given.select(F.col("key").alias("assertion_uuid"), F.col("text").alias("alias_text")), spec["object_alias_assertions"]),
+              "semantic_objects": shaped(given.select(F.col("key").alias("object_uuid"), F.lit("node").alias("object_kind")), spec["semantic_objects"]),
+              "corpus_components": spark.createDataFrame([(bindings.CORPUS_ID, bindings.CORPUS_ID)], spec["corpus_components"].schema)}
+    return Branch(spark, tables, bindings.NAMESPACE, bindings.CORPUS_ID, head=Head(bindings.CORPUS_ID, label, 1), workspace_uuid=label)
+
+
+def test_fingerprints_of_compositions_from_one_pass(spark, monkeypatch):
+    a = _held(spark, "a", [("k1", "x"), ("k1", "x"), ("k1", "y"), ("k2", "z"), (None, "n"), (None, "m")])
+    b, c = _held(spark, "b", [("k1", "w"), ("k3", "q"), (None, "n")]), _held(spark, "c", [])
+    made = lambda *bs: branches.compose(list(bs), "00000000-0000-0000-0000-000000000000", "")[0]
+    states = {"a": a, "c": c, "aa": made(a, a), "ab": made(a, b), "ba": made(b, a), "(ab)c": made(made(a, b), c), "cc": made(c, c),
+              "lost": made(a, b).with_tables(semantic_objects=a["semantic_objects"])}
+    expected = {name: fingerprints.fingerprint(s).first().fingerprint for name, s in states.items()}
+    assert {r.state: r.fingerprint for r in branches.fingerprints(states).collect()} == expected
+    assert expected["ab"] == expected["ba"] == expected["(ab)c"] and len({expected[x] for x in ("a", "aa", "ab", "lost", "c")}) == 5
+    assert {r.law: r.holds for r in branches.merge_laws([a, b, c]).collect()} == {
+        "idempotent": False, "commutative": True, "associative_left": True, "associative_right": True}
+    read, given = [], Branch.__getitem__
+    monkeypatch.setattr(Branch, "__getitem__", lambda s, name: read.append((s.workspace_uuid, name)) or given(s, name))
+    branches.fingerprints({name: s for name, s in states.items() if name != "lost"})
+    assert read.count(("a", "semantic_objects")) == read.count(("b", "semantic_objects")) == 1
+
+
+def test_shuffles_go_with_the_step_that_made_them(spark, tmp_path):
+    setting = durable._RELEASE
+    before = spark.conf.get(setting)
+    context = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    folders = [Path(str(x)) for x in context.blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for folder in folders for f in folder.glob("*/shuffle_*")}
+    old = files()
+    kept = durable.checkpointed(spark.range(20_000).groupBy((F.col("id") % 1_000).alias("k")).agg(F.sum("id").alias("s")))
+    assert not files() - old and kept.count() == 1_000 and kept.agg(F.sum("s")).first()[0] == sum(range(20_000))
+    assert spark.conf.get(setting) == before
