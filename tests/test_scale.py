@@ -315,3 +315,43 @@ def test_shuffles_go_with_the_step_that_made_them(spark, tmp_path):
     kept = durable.checkpointed(spark.range(20_000).groupBy((F.col("id") % 1_000).alias("k")).agg(F.sum("id").alias("s")))
     assert not files() - old and kept.count() == 1_000 and kept.agg(F.sum("s")).first()[0] == sum(range(20_000))
     assert spark.conf.get(setting) == before
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_promotions_are_judged_once(spark, make_corpus):
+    c = make_corpus([("E1", "One", "See [nothing](E9).", "staged"), ("E2", "Two", "Plain.", "staged"), ("E3", "Three", "Plain.")])
+    ops = spark.createDataFrame([(i, f"E{i}") for i in (1, 2, 3, 4)], "index BIGINT, pointer STRING")
+    plan = changes.promote_nodes(c, ops)
+    assert {tuple(r) for r in plan.rejections.collect()} == {(1, "unresolved_pointer", "E9"), (3, "not_staged", "E3"), (4, "node_not_found", "E4")}
+    assert {r.node_uuid for r in plan.appended["graph_membership"].collect()} == {r.uuid for r in c["node_identity"].where("pointer IN ('E1', 'E2')").collect()}
+    # The reasons are read, not found again for each that asks for them.
+    assert "not_staged" not in _plan(plan.rejections)
+
+
+def test_changes_are_settled_without_the_tables_that_they_change(spark, make_corpus):
+    c = make_corpus([("E1", "One", "First."), ("E2", "Two", "Second."), ("E3", "Three", "See [one](E1).")])
+    ops = spark.createDataFrame([(1, "E1", "Uno")], "index BIGINT, pointer STRING, title STRING")
+    plan = changes.revise_nodes(c, ops)
+    settled = plan.settled({"node_identity", "node_revision"})
+    assert settled.appended["node_revision"].count() == 1 and settled.replaced["node_identity"].count() == 1
+    assert "Join" not in _plan(settled.replaced["node_identity"]) and settled.replaced["staging_queue"] is plan.replaced["staging_queue"]
+    rows = lambda corpus, name: sorted(map(str, corpus[name].collect()))
+    for name in ("node_identity", "node_revision", "reference_occurrences"):
+        assert rows(settled.applied_to(c), name) == rows(plan.applied_to(c), name)
+
+
+def test_triples_are_told_by_their_numbers_not_stored(spark, tmp_path):
+    rows = {"nation": "SELECT 1 AS n_nationkey, 0 AS n_regionkey", "customer": "SELECT 7 AS c_custkey, 1 AS c_nationkey",
+            "supplier": "SELECT 3 AS s_suppkey, 1 AS s_nationkey", "orders": "SELECT 9L AS o_orderkey, 7 AS o_custkey",
+            "lineitem": "SELECT 9L AS l_orderkey, 4L AS l_partkey, 3L AS l_suppkey UNION ALL SELECT 9L, 4L, 3L"}
+    c = bindings.corpus(spark, str(tmp_path))
+    derived = lambda: shaped(bindings.triple_rows(spark, str(tmp_path)).select(
+        *[ids.uuid5_col(bindings.NAMESPACE, f"{role}_pointer").alias(f"{role}_uuid") for role in ("subject", "predicate", "object")], "created_at"), schema.CORPUS_TABLES["triples"])
+    for name, sql in rows.items():
+        spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
+    c.tables.builders["triples"] = derived
+    assert c["triples"].count() == 6 and c["triples"].where("subject_uuid IS NULL").count() == 0
+    assert (spark.sparkContext.applicationId, str(tmp_path), "triples") not in durable.StoredTables._written
