@@ -23,27 +23,31 @@ def _united(branches: list[Branch], name: str) -> DataFrame:
 
 
 def _folded(branches: list[Branch], name: str) -> DataFrame:
-    """Rows by key with the least and greatest row digest. Shared rows fold map-side before the shuffle."""
+    """Rows by key, of several the one with the least row digest. Shared rows fold map-side before the shuffle."""
     spec = BRANCH_TABLES[name]
     rest = [n for n in spec.names if n not in spec.key]
-    rows = _united(branches, name).withColumn("_d", row_digest(*spec.names))
-    # One digest goes with all columns of a row, not one with each.
-    kept = F.min(F.struct(F.unhex("_d").alias("_order"), *rest)).alias("_kept")
-    folded = rows.groupBy(*spec.key).agg(F.min("_d").alias("_low"), F.max("_d").alias("_high"), kept)
-    return folded.select(*spec.key, "_low", "_high", *[F.col(f"_kept.{n}").alias(n) for n in rest])
+    kept = F.min(F.struct(F.unhex(row_digest(*spec.names)).alias("_order"), *rest)).alias("_kept")
+    folded = _united(branches, name).groupBy(*spec.key).agg(kept)
+    return folded.select(*spec.key, *[F.col(f"_kept.{n}").alias(n) for n in rest])
+
+
+def _collided(branches: list[Branch], name: str) -> DataFrame:
+    """``(table_name, key)`` of one table; of a row only its packed key and its digest are dealt."""
+    spec = BRANCH_TABLES[name]
+    rows = _united(branches, name).select(*[ids.packed(k).alias(k) for k in spec.key], F.unhex(row_digest(*spec.names)).alias("_d"))
+    collided = rows.repartition(*spec.key).groupBy(*spec.key).agg(F.min("_d").alias("_low"), F.max("_d").alias("_high")).where("_low != _high")
+    return collided.select(F.lit(name).alias("table_name"), F.concat_ws("|", *[ids.spelled(k) for k in spec.key]).alias("key"))
 
 
 def collisions(branches: list[Branch]) -> DataFrame:
     """Keys of immutable rows that branches hold with different content: (table_name, key)."""
-    parts = []
-    for name in COMPOSED_TABLES:
-        collided = _folded(branches, name).where(F.col("_low") != F.col("_high"))
-        parts.append(collided.select(F.lit(name).alias("table_name"), F.concat_ws("|", *BRANCH_TABLES[name].key).alias("key")))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [_collided(branches, name) for name in COMPOSED_TABLES])
 
 
 def collisions_by_table(branches: list[Branch]) -> DataFrame:
-    return collisions(branches).groupBy("table_name").agg(F.count(F.lit(1)).alias("collisions"))
+    """How many keys of each table collide. Tables are taken one after another, so that what one deals is gone before the next."""
+    return reduce(DataFrame.unionByName, [checkpointed(_collided(branches, name).groupBy("table_name").agg(F.count(F.lit(1)).alias("collisions")))
+                                          for name in COMPOSED_TABLES])
 
 
 def compose(branches: list[Branch], operation_uuid: str, at: str) -> tuple[Branch, DataFrame]:

@@ -278,6 +278,10 @@ def test_revisions_without_a_request_do_not_meet_in_one_task(spark, make_corpus)
     assert {r["request_id"]: r["title"] for r in seen.collect()} == {**{i: f"title {i}" for i in range(1, 9)}, 9: None}
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def _held(spark, label, rows):
     """A branch whose aliases and objects are (key, text) pairs; keys may repeat or be null."""
     given = spark.createDataFrame(rows, "key STRING, text STRING")
@@ -305,6 +309,17 @@ def test_fingerprints_of_compositions_from_one_pass(spark, monkeypatch):
     assert read.count(("a", "semantic_objects")) == read.count(("b", "semantic_objects")) == 1
 
 
+def test_collisions_deal_keys_and_digests_only(spark):
+    a = _held(spark, "a", [("k1", "x"), ("k1", "x"), ("k2", "z"), (None, "n"), ("6ba7b811-9dad-11d1-80b4-00c04fd430c8", "u")])
+    b = _held(spark, "b", [("k1", "w"), ("k2", "z"), (None, "m"), ("6ba7b811-9dad-11d1-80b4-00c04fd430c8", "v")])
+    found = branches.collisions([a, b])
+    assert sorted(map(tuple, found.collect())) == [("object_alias_assertions", x) for x in ("", "6ba7b811-9dad-11d1-80b4-00c04fd430c8", "k1")]
+    assert [tuple(r) for r in branches.collisions_by_table([a, b]).collect()] == [("object_alias_assertions", 3)]
+    plan = _plan(branches._collided([a, b], "object_alias_assertions"))
+    dealt = plan[plan.index("RepartitionByExpression"):].splitlines()[1:3]
+    assert "unhex" in " ".join(dealt) and "alias_text#" not in plan.split("RepartitionByExpression")[0]
+
+
 def test_shuffles_go_with_the_step_that_made_them(spark, tmp_path):
     setting = durable._RELEASE
     before = spark.conf.get(setting)
@@ -317,10 +332,6 @@ def test_shuffles_go_with_the_step_that_made_them(spark, tmp_path):
     assert spark.conf.get(setting) == before
 
 
-def _plan(df):
-    return df._jdf.queryExecution().optimizedPlan().toString()
-
-
 def test_promotions_are_judged_once(spark, make_corpus):
     c = make_corpus([("E1", "One", "See [nothing](E9).", "staged"), ("E2", "Two", "Plain.", "staged"), ("E3", "Three", "Plain.")])
     ops = spark.createDataFrame([(i, f"E{i}") for i in (1, 2, 3, 4)], "index BIGINT, pointer STRING")
